@@ -34,7 +34,10 @@ def _file_name() -> F.Column:
 
 def corrupt_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a text format that do not parse: ``(path, broken)``."""
-    schema = T.StructType([T.StructField("_corrupt_record", T.StringType())])
+    # the reader wants a data column beside the corrupt record
+    schema = T.StructType(
+        [T.StructField("id", T.StringType()), T.StructField("_corrupt_record", T.StringType())]
+    )
     parts = []
     for kind, options in (
         ("json", {"multiLine": True}),
@@ -47,10 +50,11 @@ def corrupt_files(spark: SparkSession, path: str) -> DataFrame:
             recursiveFileLookup=True,
             **options,
         )
-        rows = reader.load(path).select("_corrupt_record", F.col("_metadata.file_path").alias("path"))
+        bad = F.when(F.col("_corrupt_record").isNotNull(), F.coalesce("id", F.lit("")))
+        rows = reader.load(path).select(bad.alias("bad"), F.col("_metadata.file_path").alias("path"))
         parts.append(rows)
     both = parts[0].unionByName(parts[1])
-    return both.groupBy("path").agg(F.count("_corrupt_record").alias("broken"))
+    return both.groupBy("path").agg(F.count("bad").alias("broken"))
 
 
 def audit_landing(
