@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from oddledger.schema import EXTRA_TIMESTAMP_FORMATS, TIMESTAMP_FORMATS
+from oddledger.schema import ANY_ISO, LISTED_ISO, SLASHED, SLASHED_MINUTES
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_ISO_START = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 MICROS_PER_HOUR = 3_600_000_000.0
 
 
@@ -36,19 +35,32 @@ def clean_amount(c: str | Column) -> Column:
     return to_number(F.when(text.rlike(r",\d{1,2}$"), european).otherwise(plain))
 
 
+def _iso(text: Column, pattern: str) -> Column:
+    return F.when(text.rlike(pattern), text.try_cast("timestamp"))
+
+
+def _slashed(text: Column, pattern: str, seconds: str = "") -> Column:
+    """Day/month/year, or month/day/year where that is no date."""
+    matches = text.rlike(pattern)
+    day_first = F.concat(F.regexp_replace(text, pattern, "$3-$2-$1$4"), F.lit(seconds))
+    month_first = F.concat(F.regexp_replace(text, pattern, "$3-$1-$2$4"), F.lit(seconds))
+    return F.when(
+        matches, F.coalesce(day_first.try_cast("timestamp"), month_first.try_cast("timestamp"))
+    )
+
+
 def parse_listed_timestamp(c: str | Column) -> Column:
-    """Timestamp by the fixed format list only."""
-    tries = [F.try_to_timestamp(col(c), F.lit(f)) for f in TIMESTAMP_FORMATS]
-    return F.coalesce(*tries)
+    """Timestamp in one of the listed forms only."""
+    text = col(c)
+    return F.coalesce(_iso(text, LISTED_ISO), _slashed(text, SLASHED))
 
 
 def parse_timestamp(c: str | Column) -> Column:
-    """Timestamp by ISO forms, the fixed list and the extra ingest formats."""
+    """Timestamp in any ISO form, a listed form, or day/month/year hour:minute."""
     text = F.trim(col(c))
-    iso = F.when(text.rlike(_ISO_START), text.try_cast("timestamp"))
-    rest = [f for f in TIMESTAMP_FORMATS if not f.startswith("yyyy")]
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in rest + EXTRA_TIMESTAMP_FORMATS]
-    return F.coalesce(iso, *tries)
+    return F.coalesce(
+        _iso(text, ANY_ISO), _slashed(text, SLASHED), _slashed(text, SLASHED_MINUTES, ":00")
+    )
 
 
 def hours_between(later: Column, earlier: Column) -> Column:

@@ -46,21 +46,19 @@ COLUMN_ALIASES = {
     "external_transaction_id": ["external_id", "transaction_id", "reference", "referens"],
 }
 
-# Timestamp formats, day before month where a date is ambiguous.
-TIMESTAMP_FORMATS = [
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d'T'H:m:s'Z'",
-    "yyyy-M-d'T'H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]'Z'",
-    "yyyy-M-d",
-    "d/M/yyyy H:m:s",
-    "d/M/yyyy",
-    "M/d/yyyy H:m:s",
-    "M/d/yyyy",
-]
-
-# Further formats the ingest accepts.
-EXTRA_TIMESTAMP_FORMATS = ["d/M/yyyy H:m", "M/d/yyyy H:m"]
+# Accepted timestamp forms.  Listed are
+#   year-month-day, alone or with hour:minute:second after a blank or T,
+#   the T form also with Z, and with fraction and Z;
+#   day/month/year and month/day/year, alone or with hour:minute:second.
+# Where a slashed date is ambiguous the day comes first.
+LISTED_ISO = (
+    r"^\d{4}-\d{1,2}-\d{1,2}"
+    r"( \d{1,2}:\d{1,2}:\d{1,2}|T\d{1,2}:\d{1,2}:\d{1,2}((\.\d{1,6})?Z)?)?$"
+)
+SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})( \d{1,2}:\d{1,2}:\d{1,2})?$"
+# The ingest also takes other ISO forms and slashed dates with hour:minute.
+ANY_ISO = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
+SLASHED_MINUTES = r"^(\d{1,2})/(\d{1,2})/(\d{4})( \d{1,2}:\d{1,2})$"
 
 # Account ids that stand for "no account".
 NULL_ACCOUNTS = ["", "NAN", "NONE", "NULL"]
