@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["ingest", "checks", "detect"]
+GROUPS = ["ingest", "checks", "detect", "serving"]
 
 
 def _groups():

@@ -1,6 +1,6 @@
 """The detectors; importing this package registers all of them."""
 
-from oddledger.operators.detectors import correlation, iforest, timeseries, weekend, zscore
+from oddledger.operators.detectors import base, correlation, iforest, timeseries, weekend, zscore
 from oddledger.operators.detectors.base import (
     Detector,
     Transactions,
@@ -12,6 +12,7 @@ from oddledger.operators.detectors.base import (
 __all__ = [
     "Detector",
     "Transactions",
+    "base",
     "correlation",
     "get",
     "iforest",
