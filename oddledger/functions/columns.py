@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddledger.schema import ANY_ISO, LISTED_ISO, SLASHED, SLASHED_MINUTES
@@ -23,16 +23,21 @@ def to_number(c: str | Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
-def clean_amount(c: str | Column) -> Column:
+def clean_amount(df: DataFrame, name: str) -> DataFrame:
     """Amount text with currency signs and separators to double.
 
     A final comma with one or two digits marks the European form
-    (``1.234,56``); every other comma is a thousands separator.
+    (``1.234,56``); every other comma is a thousands separator.  The steps are
+    columns of their own, so that no pattern is applied twice to a value.
     """
-    text = F.regexp_replace(col(c).cast("string"), r"[€$£¥₹\s ]", "")
-    european = F.regexp_replace(F.regexp_replace(text, r"\.", ""), ",", ".")
-    plain = F.regexp_replace(text, ",", "")
-    return to_number(F.when(text.rlike(r",\d{1,2}$"), european).otherwise(plain))
+    european = F.translate("_bare", ",.", ".")  # comma to dot, dots removed
+    plain = F.replace(F.col("_bare"), F.lit(","), F.lit(""))
+    return (
+        df.withColumn("_bare", F.regexp_replace(F.col(name).cast("string"), r"[€$£¥₹\s\u00a0]", ""))
+        .withColumn("_plain", F.when(F.col("_bare").rlike(r",\d{1,2}$"), european).otherwise(plain))
+        .withColumn(name, to_number("_plain"))
+        .drop("_bare", "_plain")
+    )
 
 
 def _iso(text: Column, pattern: str) -> Column:

@@ -31,7 +31,7 @@ from oddledger.operators.groups import (
     merge_rows,
 )
 from oddledger.operators.transform import with_time_features
-from oddledger.session import durable, group_rows
+from oddledger.session import durable, group_rows, shuffle_partitions, spread_small
 
 AUTO_SAMPLE = 256
 OVERSAMPLE = 1.5
@@ -193,6 +193,7 @@ def grow_forest(sampled: DataFrame, count: int, seed: int, key: list[str]) -> Da
 
     return (
         sampled.select(*key, "tree", "id", *names)
+        .repartition(shuffle_partitions(sampled.sparkSession), *key, "tree")
         .groupBy(*key, "tree")
         .applyInPandas(grow, f"{keys}tree int, {TREE_FIELDS}")
     )
@@ -299,7 +300,7 @@ class IsolationForestDetector(Detector):
         drawn = sample_rows(slim, trees, seed, F.lit(rate), F.lit(sample), [])
         # a model is a few hundred small arrays: stored once, read by every job
         forest = durable(grow_forest(drawn, len(names), seed, []))
-        values = durable(_score_values(slim, forest, len(names), sample))
+        values = durable(_score_values(spread_small(slim, rows), forest, len(names), sample))
         border = global_quantiles(
             values.withColumn("_minus", -F.col("_s")),
             "_minus",
@@ -454,10 +455,13 @@ def _score_per_account(large: DataFrame, forest: DataFrame, count: int) -> DataF
         s = anomaly_value(points, grown, int(trees["_psi"].iloc[0]))
         return pd.DataFrame({"id": rows["id"], "account_id": rows["account_id"], "_s": s})
 
-    left = rows.select("id", "account_id", "_block", *names).groupBy("account_id", "_block")
-    right = trees.select(
-        "account_id", "_block", "tree", "feature", "threshold", "child", "path", "_psi"
-    ).groupBy("account_id", "_block")
+    parts, keys = shuffle_partitions(large.sparkSession), ["account_id", "_block"]
+    left = rows.select("id", *keys, *names).repartition(parts, *keys).groupBy(*keys)
+    right = (
+        trees.select(*keys, "tree", "feature", "threshold", "child", "path", "_psi")
+        .repartition(parts, *keys)
+        .groupBy(*keys)
+    )
     return left.cogroup(right).applyInPandas(score, "id string, account_id string, _s double")
 
 

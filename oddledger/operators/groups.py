@@ -38,14 +38,17 @@ class HotKeys:
 
 
 def hot_keys(df: DataFrame, key: str) -> HotKeys:
-    """Find the hot keys: one aggregation over the key column alone."""
+    """Find the hot keys: one map-side combined count over the key column alone."""
     spark = df.sparkSession
     limit = group_rows(spark)
     share = shuffle_partitions(spark)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    big = counts.filter(F.col("n") > limit)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = big.filter(F.col("n") > total / share).collect()
+    # no more than ``share`` keys can each hold more than rows / share
+    large = counts.filter(F.col("n") > limit).orderBy(F.desc("n")).limit(share).collect()
+    if not large:
+        return HotKeys(key)
+    fair = df.count() / share
+    rows = [r for r in large if r["n"] > fair]
     if not rows:
         return HotKeys(key)
     return HotKeys(key, spark.createDataFrame(rows, counts.schema), [r[key] for r in rows])

@@ -18,6 +18,7 @@ def local_session(cores: str = "8", name: str = "oddledger", memory: str = "8g")
         .appName(name)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -60,3 +61,20 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name next to the checkpoints, for tables a job hands on."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Store once as Parquet and read back, so that later passes prune columns."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+SMALL_ROWS = 10_000_000
+
+
+def spread_small(df: DataFrame, rows: int) -> DataFrame:
+    """Use all cores for Python work on a table too small to have many splits."""
+    if rows > SMALL_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

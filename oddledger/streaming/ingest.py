@@ -12,14 +12,12 @@ from oddledger.operators.transform import (
     add_amount_category,
     add_amount_features,
     add_time_features,
-    clean_amounts,
     dedupe_ids,
     ensure_ids,
+    parse_rows,
     require_fields,
-    standardize_accounts,
-    standardize_columns,
-    standardize_timestamps,
 )
+from oddledger.session import staged
 from oddledger.sources.readers import tidy_text
 from oddledger.sources.tables import write_transactions
 
@@ -42,16 +40,19 @@ def landed_files(spark: SparkSession, folder: str, schema: T.StructType, files:
 
 def standardise_stream(rows: DataFrame) -> DataFrame:
     """The row-wise part of the transform; needs no state."""
-    df = standardize_columns(tidy_text(rows))
-    df = require_fields(df, check_empty=False)
-    df = standardize_accounts(clean_amounts(standardize_timestamps(df)))
-    df = df.withColumn("upload_id", F.sha2("_file", 256))
-    return add_amount_category(add_amount_features(add_time_features(df))).drop("_file")
+    df = parse_rows(tidy_text(rows))
+    return df.withColumn("upload_id", F.sha2("_file", 256)).drop("_file")
 
 
 def store_batch(batch: DataFrame, out_dir: str) -> None:
-    """Ids and account order per upload, then the upload's partition is replaced."""
-    df = dedupe_ids(ensure_ids(batch))
+    """Ids and account order per upload, then the upload's partition is replaced.
+
+    The parsed batch is stored with a fixed row id before anything reads it twice.
+    """
+    rows = staged(batch.withColumn("_row_tag", F.monotonically_increasing_id()), "batch")
+    df = dedupe_ids(ensure_ids(rows))
+    df = require_fields(df, check_empty=False)
+    df = add_amount_category(add_amount_features(add_time_features(df)))
     df = df.withColumn(KEY, F.concat_ws("|", "upload_id", "account_id"))
     df = add_account_order(df, key=KEY).drop(KEY)
     write_transactions(df, out_dir)
