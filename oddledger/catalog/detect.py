@@ -257,8 +257,8 @@ for _unit, _how in [("hour", "count"), ("day", "sum"), ("week", "mean")]:
 )
 def d3b(spark, d):
     df = events_txn(spark, d)
-    periods = timeseries.period_count(df, "hour")
-    found = timeseries.seasonal_adjustment(timeseries.period_series(df, "hour", "count"), periods)
+    series = timeseries.period_series(df, "hour", "count")
+    found = timeseries.seasonal_adjustment(series, series.count())
     return found.select(micros("period").alias("period"), r6("adjusted").alias("adjusted"))
 
 
@@ -272,10 +272,8 @@ def _flagged(method: str, k: float):
         config = {
             "threshold_method": method, "threshold_multiplier": k, "seasonal_adjustment": True
         }
-        periods = timeseries.period_count(df, "hour")
-        found = timeseries.anomalous_periods(
-            timeseries.period_series(df, "hour", "count"), periods, config
-        )
+        series = timeseries.period_series(df, "hour", "count")
+        found = timeseries.anomalous_periods(series, series.count(), config)
         numbers = ["period_score", "period_confidence", "period_value", "deviation"]
         return found.select(micros("period").alias("period"), *[r6(c).alias(c) for c in numbers])
 

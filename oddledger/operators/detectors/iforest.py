@@ -180,21 +180,27 @@ def sample_rows(
 
 
 def grow_forest(sampled: DataFrame, count: int, seed: int, key: list[str]) -> DataFrame:
-    """One row per (key, tree); a group is one tree's sample."""
+    """One row per (key, tree).
+
+    A Python group is one tree's sample, or with a key the samples of all trees
+    of that key: never more than trees x sample rows.
+    """
     names = [f"_x{i}" for i in range(count)]
     keys = "".join(f"{k} string, " for k in key)
+    by = key or ["tree"]
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        tree = int(pdf["tree"].iloc[0])
-        grown = grow_tree(pdf[names].to_numpy(float), np.random.default_rng([seed, tree]))
-        head = {k: [pdf[k].iloc[0]] for k in key}
-        return pd.DataFrame({**head, "tree": [tree], **{k: [v] for k, v in grown.items()}})
+        out = []
+        for tree, part in pdf.sort_values(["tree", "id"]).groupby("tree"):
+            rng = np.random.default_rng([seed, int(tree)])
+            grown = grow_tree(part[names].to_numpy(float), rng)
+            out.append({**{k: part[k].iloc[0] for k in key}, "tree": int(tree), **grown})
+        return pd.DataFrame(out)
 
     return (
         sampled.select(*key, "tree", "id", *names)
-        .repartition(shuffle_partitions(sampled.sparkSession), *key, "tree")
-        .groupBy(*key, "tree")
+        .repartition(shuffle_partitions(sampled.sparkSession), *by)
+        .groupBy(*by)
         .applyInPandas(grow, f"{keys}tree int, {TREE_FIELDS}")
     )
 

@@ -271,6 +271,37 @@ def global_quantiles(
     return found.agg(*[F.max(name).alias(name) for name in probs])
 
 
+def table_stats(
+    df: DataFrame,
+    aggregates: dict[str, Column],
+    quantiles: dict[str, tuple[str, float]],
+    rows: int | None = None,
+) -> DataFrame:
+    """One row of aggregates and exact quantiles ``name: (column, p)``.
+
+    Up to ``groupRows`` rows all of it is one aggregation; beyond that each
+    quantile column is sorted over all tasks.
+    """
+    rows = df.count() if rows is None else rows
+    plain = [agg.alias(name) for name, agg in aggregates.items()]
+    if rows <= group_rows(df.sparkSession):
+        by_value: dict[str, list[str]] = {}
+        for name, (value, _) in quantiles.items():
+            by_value.setdefault(value, []).append(name)
+        arrays, picks = [], []
+        for i, (value, names) in enumerate(by_value.items()):
+            probs = F.array(*[F.lit(float(quantiles[n][1])) for n in names])
+            arrays.append(F.percentile(f"`{value}`", probs).alias(f"_q{i}"))
+            picks += [F.col(f"_q{i}")[k].alias(n) for k, n in enumerate(names)]
+        return df.agg(*plain, *arrays).select(*aggregates, *picks)
+    parts = [df.agg(*plain)] if plain else []
+    by_probs: dict[str, dict[str, float]] = {}
+    for name, (value, p) in quantiles.items():
+        by_probs.setdefault(value, {})[name] = p
+    parts += [global_quantiles(df, value, probs, rows) for value, probs in by_probs.items()]
+    return merge_rows(*parts)
+
+
 def one_row(df: DataFrame) -> Column:
     """A one-row DataFrame as a struct column (scalar subquery, no join)."""
     return df.select(F.struct(*df.columns).alias("row")).scalar()

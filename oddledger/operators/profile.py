@@ -8,7 +8,14 @@ from pyspark.sql import types as T
 
 from oddledger.errors import ConfigError
 from oddledger.functions.columns import hours_between, pearson, sample_kurtosis, sample_skewness
-from oddledger.operators.groups import HotKeys, global_quantiles, merge_rows, one_row, ordered_columns
+from oddledger.operators.groups import (
+    HotKeys,
+    global_quantiles,
+    merge_rows,
+    one_row,
+    ordered_columns,
+    table_stats,
+)
 
 NUMERIC_TYPES = ("byte", "short", "integer", "long", "float", "double", "decimal")
 PERCENTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -242,18 +249,16 @@ def basic_statistics(
     if not names:
         raise ConfigError("no numeric columns to describe")
     rows = df.count() if rows is None else rows
-    aggs = []
+    aggs, medians = {}, {}
     for i, c in enumerate(names):
         v = F.col(f"`{c}`").cast("double")
-        aggs += [
-            F.count(v).alias(f"_count{i}"),
-            F.avg(v).alias(f"_mean{i}"),
-            F.stddev_samp(v).alias(f"_std{i}"),
-            F.min(v).alias(f"_min{i}"),
-            F.max(v).alias(f"_max{i}"),
-        ]
-    medians = [global_quantiles(df, c, {f"_median{i}": 0.5}, rows) for i, c in enumerate(names)]
-    wide = merge_rows(df.agg(*aggs), *medians)
+        aggs[f"_count{i}"] = F.count(v)
+        aggs[f"_mean{i}"] = F.avg(v)
+        aggs[f"_std{i}"] = F.stddev_samp(v)
+        aggs[f"_min{i}"] = F.min(v)
+        aggs[f"_max{i}"] = F.max(v)
+        medians[f"_median{i}"] = (c, 0.5)
+    wide = table_stats(df.select(*[F.col(f"`{c}`") for c in names]), aggs, medians, rows)
     metrics = ["count", "mean", "std", "min", "max", "median"]
     return _long(wide, [(c, m, f"_{m}{i}") for i, c in enumerate(names) for m in metrics])
 
@@ -299,10 +304,8 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 def distribution(df: DataFrame, column: str, rows: int | None = None) -> DataFrame:
     """Percentiles, skewness and kurtosis (sample-corrected)."""
     value = F.col(f"`{column}`").cast("double")
-    shape = df.agg(
-        sample_skewness(value).alias("skewness"), sample_kurtosis(value).alias("kurtosis")
-    )
-    wide = merge_rows(shape, global_quantiles(df, column, PERCENTILES, rows))
+    shape = {"skewness": sample_skewness(value), "kurtosis": sample_kurtosis(value)}
+    wide = table_stats(df, shape, {n: (column, p) for n, p in PERCENTILES.items()}, rows)
     return _long(wide, [(column, m, m) for m in ["skewness", "kurtosis", *PERCENTILES]])
 
 

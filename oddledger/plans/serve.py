@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddledger.errors import ConfigError
 from oddledger.operators.fusion import detector_log
-from oddledger.operators.groups import global_quantiles, merge_rows
+from oddledger.operators.groups import merge_rows, table_stats
 from oddledger.schema import RUN_RETENTION_DAYS, UPLOAD_RETENTION_DAYS
 
 DEFAULT_MIN_SCORE = 0.7
@@ -266,13 +266,13 @@ def score_distribution(scores: DataFrame, rows: int | None = None) -> DataFrame:
     """Quantiles, mean and spread of the score per transaction."""
     best = best_scores(scores)
     probs = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    stats = best.agg(
-        F.avg("score").alias("mean_score"),
-        F.stddev_samp("score").alias("std_score"),
-        F.min("score").alias("min_score"),
-        F.max("score").alias("max_score"),
-    )
-    return merge_rows(stats, global_quantiles(best, "score", probs, rows))
+    stats = {
+        "mean_score": F.avg("score"),
+        "std_score": F.stddev_samp("score"),
+        "min_score": F.min("score"),
+        "max_score": F.max("score"),
+    }
+    return table_stats(best, stats, {n: ("score", p) for n, p in probs.items()}, rows)
 
 
 def results_summary(scores: DataFrame, flags: DataFrame, k: int = 10) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from oddledger.errors import AnalysisError, ConfigError
 from oddledger.functions.columns import sample_skewness
 from oddledger.operators.detectors import Transactions, get
 from oddledger.operators.fusion import METHODS, fuse
-from oddledger.operators.groups import global_quantiles, merge_rows
+from oddledger.operators.groups import merge_rows, table_stats
 from oddledger.schema import REQUIRED_FIELDS
 
 DEFAULT_METHOD = "max"
@@ -225,30 +225,29 @@ def data_characteristics(df: DataFrame) -> DataFrame:
     completeness = nulls[0]
     for share in nulls[1:]:
         completeness = completeness + share
-    aggs = [
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.countDistinct("account_id").alias("unique_accounts"),
-        F.floor(
+    aggs = {
+        "transaction_count": F.count(F.lit(1)),
+        "unique_accounts": F.countDistinct("account_id"),
+        "date_range_days": F.floor(
             (F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp")))
             / 86_400_000_000
-        ).alias("date_range_days"),
-        F.avg("amount").alias("amount_mean"),
-        F.stddev_samp("amount").alias("amount_std"),
-        F.min("amount").alias("amount_min"),
-        F.max("amount").alias("amount_max"),
-        sample_skewness("amount").alias("amount_skewness"),
-        (completeness / len(df.columns)).alias("completeness"),
-        F.array_compact(
+        ),
+        "amount_mean": F.avg("amount"),
+        "amount_std": F.stddev_samp("amount"),
+        "amount_min": F.min("amount"),
+        "amount_max": F.max("amount"),
+        "amount_skewness": sample_skewness("amount"),
+        "completeness": completeness / len(df.columns),
+        "missing_critical_fields": F.array_compact(
             F.array(*[F.when(F.count_if(F.col(c).isNull()) > 0, F.lit(c)) for c in REQUIRED_FIELDS])
-        ).alias("missing_critical_fields"),
-    ]
+        ),
+    }
     if "is_weekend" in df.columns:
-        aggs.append(F.avg(F.col("is_weekend").cast("double")).alias("weekend_ratio"))
+        aggs["weekend_ratio"] = F.avg(F.col("is_weekend").cast("double"))
     if "is_business_hours" in df.columns:
-        aggs.append(F.avg(F.col("is_business_hours").cast("double")).alias("business_hours_ratio"))
+        aggs["business_hours_ratio"] = F.avg(F.col("is_business_hours").cast("double"))
     row = merge_rows(
-        df.agg(*aggs),
-        global_quantiles(df, "amount", {"amount_median": 0.5}, rows),
+        table_stats(df, aggs, {"amount_median": ("amount", 0.5)}, rows),
         _extra_copies(df, df.columns, "duplicate_rows"),
     )
     share = F.try_divide(F.col("amount_std"), F.col("amount_mean"))
