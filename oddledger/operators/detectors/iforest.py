@@ -35,7 +35,7 @@ from oddledger.session import durable, group_rows, shuffle_partitions, spread_sm
 
 AUTO_SAMPLE = 256
 OVERSAMPLE = 1.5
-SCORE_BLOCK = 50_000
+SCORE_BLOCK = 200_000
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 TREE_FIELDS = "feature array<int>, threshold array<double>, child array<int>, path array<double>"
