@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,20 +18,30 @@ from oddledger.schema import (
 MAX_NAME = 255
 
 
+def _plain(path: Column) -> Column:
+    """One spelling for a path, whichever reader names it."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"^([A-Za-z0-9]+):/+", "$1:/")
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Names and sizes; the ``content`` column is pruned, so nothing is read."""
+    """Names and sizes; the ``content`` column is pruned, so nothing is read.
+
+    A scan leaves empty files out; they are in the listing Spark has made.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    sizes = scan.select(
+        F.regexp_replace("path", r"^([A-Za-z0-9]+):/+", "$1:/").alias("path"),
+        F.col("length").alias("size"),
+    )
+    listed = spark.createDataFrame([(f,) for f in scan.inputFiles()], "path string")
     return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select("path", F.col("length").alias("size"))
+        listed.select(_plain(F.col("path")).alias("path"))
+        .join(sizes, "path", "left")
+        .select("path", F.coalesce("size", F.lit(0)).alias("size"))
     )
 
 
-def _file_name() -> F.Column:
-    return F.url_decode(F.element_at(F.split(F.col("path"), "/"), -1))
-
-
 def corrupt_files(spark: SparkSession, path: str) -> DataFrame:
     """Files of a text format that do not parse: ``(path, broken)``."""
     # the reader wants a data column beside the corrupt record
@@ -51,7 +61,9 @@ def corrupt_files(spark: SparkSession, path: str) -> DataFrame:
             **options,
         )
         bad = F.when(F.col("_corrupt_record").isNotNull(), F.coalesce("id", F.lit("")))
-        rows = reader.load(path).select(bad.alias("bad"), F.col("_metadata.file_path").alias("path"))
+        rows = reader.load(path).select(
+            bad.alias("bad"), _plain(F.col("_metadata.file_path")).alias("path")
+        )
         parts.append(rows)
     both = parts[0].unionByName(parts[1])
     return both.groupBy("path").agg(F.count("bad").alias("broken"))
@@ -65,7 +77,7 @@ def audit_landing(
 ) -> DataFrame:
     """``(path, file, type, size, errors, warnings, valid)`` per file."""
     allowed = allowed or ALLOWED_FILE_TYPES
-    files = list_files(spark, path).withColumn("file", _file_name())
+    files = list_files(spark, path).withColumn("file", F.element_at(F.split("path", "/"), -1))
     ending = F.lower(F.regexp_extract("file", r"\.([^.]+)$", 1))
     types = F.create_map(*[F.lit(x) for pair in FILE_TYPE_BY_EXTENSION.items() for x in pair])
     files = files.withColumn("type", F.element_at(types, ending))
