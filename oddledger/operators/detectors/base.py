@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddledger.errors import AnalysisError, ConfigError
-from oddledger.operators.groups import HotKeys, hot_keys
+from oddledger.operators.groups import HotKeys, key_facts
 from oddledger.operators.transform import prepare
 
 
@@ -21,12 +21,16 @@ class Transactions:
         self.df = prepare(df)
 
     @cached_property
+    def _facts(self) -> tuple[int, HotKeys]:
+        return key_facts(self.df, "account_id")
+
+    @property
     def rows(self) -> int:
-        return self.df.count()
+        return self._facts[0]
 
-    @cached_property
+    @property
     def hot(self) -> HotKeys:
-        return hot_keys(self.df, "account_id")
+        return self._facts[1]
 
 
 class Detector(ABC):

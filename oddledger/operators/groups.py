@@ -39,19 +39,23 @@ class HotKeys:
 
 def hot_keys(df: DataFrame, key: str) -> HotKeys:
     """Find the hot keys: one map-side combined count over the key column alone."""
+    return key_facts(df, key)[1]
+
+
+def key_facts(df: DataFrame, key: str) -> tuple[int, HotKeys]:
+    """Number of rows and the hot keys."""
     spark = df.sparkSession
     limit = group_rows(spark)
     share = shuffle_partitions(spark)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    # no more than ``share`` keys can each hold more than rows / share
-    large = counts.filter(F.col("n") > limit).orderBy(F.desc("n")).limit(share).collect()
-    if not large:
-        return HotKeys(key)
-    fair = df.count() / share
-    rows = [r for r in large if r["n"] > fair]
-    if not rows:
-        return HotKeys(key)
-    return HotKeys(key, spark.createDataFrame(rows, counts.schema), [r[key] for r in rows])
+    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+    bound = max(limit, (total or 0) / share)
+    if not total or largest <= bound:
+        return total or 0, HotKeys(key)
+    # fewer than ``share`` keys can each hold more than rows / share
+    rows = counts.filter(F.col("n") > bound).collect()
+    table = spark.createDataFrame(rows, counts.schema)
+    return total, HotKeys(key, table, [r[key] for r in rows])
 
 
 def position_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
