@@ -301,8 +301,7 @@ def _rows_sql(unit: str, how: str) -> str:
 def d3d(spark, d):
     txns = Transactions(events_txn(spark, d))
     config = det.get("statistical", "timeseries").merged({"aggregation_method": "sum"})
-    slim = txns.df.select("id", "account_id", "timestamp", "amount")
-    found = timeseries._global_scores(txns, slim, config)
+    found = timeseries.global_scores(txns, txns.df, config)
     return found.select(
         F.col("id").alias("transaction_id"),
         r6("g_score").alias("score"),
@@ -325,9 +324,7 @@ TIMING = """gp AS (SELECT id, account_id, (epoch_us("timestamp") - lag(epoch_us(
 def _timing(view):
     def run(spark, d):
         txns = Transactions(view(spark, d))
-        found = timeseries.account_timing(
-            txns.df.select("id", "account_id", "timestamp", "amount"), txns.hot
-        )
+        found = timeseries.account_timing(txns.split())
         return found.select(
             F.col("id").alias("transaction_id"),
             r6("a_score").alias("score"),
@@ -423,10 +420,14 @@ def d4b(spark, d):
     return result(found, "violations").withColumn("violations", joined("violations"))
 
 
-WEEKEND_SQL = f"""{FEATS}, {_GLOBAL_BASE}, {_ACCOUNT_BASE}, {evaluate_sql("eg", "gb", "cnt = 0", 0.2)},
-    {evaluate_sql("ea", "ab", "cnt < 3", 0.3)},
+def weekend_sql(mult: float = 0.3) -> str:
+    return f"""{FEATS}, {_GLOBAL_BASE}, {_ACCOUNT_BASE}, {evaluate_sql("eg", "gb", "cnt = 0", 0.2, mult)},
+    {evaluate_sql("ea", "ab", "cnt < 3", 0.3, mult)},
     wk AS (SELECT eg.id, greatest(ea.s, eg.s) AS score, greatest(ea.c, eg.c) AS confidence,
       CASE WHEN ea.s > eg.s THEN 'account' ELSE 'global' END AS score_source FROM eg JOIN ea USING (id))"""
+
+
+WEEKEND_SQL = weekend_sql()
 _WEEKEND_OUT = "SELECT id AS transaction_id, round(score, 6) AS score, round(confidence, 6) AS confidence, score_source FROM wk"
 
 
@@ -439,8 +440,7 @@ def d4c(spark, d):
     detector = det.get(*WEEKEND)
     txns = Transactions(orders_txn(spark, d))
     config = detector.merged({})
-    df = add_time_features(txns.df).select("id", "account_id", "amount", "hour", "is_weekend")
-    based = detector._with_account_baseline(df, txns, config)
+    based = weekend.account_baseline(txns.split().map(add_time_features), config)
     s, c, _ = weekend._evaluate(
         config, F.col("_count"), F.col("_q"), F.col("_max"), F.col("_count") < 3, 0.3
     )

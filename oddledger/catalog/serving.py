@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddledger.catalog.common import FEATS, TXN, events_txn, joined, micros, r6, table
-from oddledger.catalog.detect import TIMESERIES_SQL, WEEKEND_SQL, zscore_sql
+from oddledger.catalog.detect import TIMESERIES_SQL, WEEKEND_SQL, weekend_sql, zscore_sql
 from oddledger.operators import detectors as det
 from oddledger.operators.fusion import detector_log, fuse, run_summary
 from oddledger.operators.transform import add_time_features
@@ -165,6 +165,16 @@ def f09(spark, d):
     return found.select("transaction_id", r6("final_score").alias("final_score"), "is_anomaly")
 
 
+@query(
+    "f09_preset_rules",
+    f"""WITH {TXN}, {weekend_sql(0.2)} SELECT id AS transaction_id, round(score, 6) AS final_score, score >= 0.8 AS is_anomaly FROM wk""",
+)
+def f09_rules(spark, d):
+    """One of its two rules exists nowhere and is skipped."""
+    found = strategy.analyse(events_txn(spark, d), strategy.PRESETS["Rule-Based Only"])
+    return found.select("transaction_id", r6("final_score").alias("final_score"), "is_anomaly")
+
+
 @query("f09_preset_comprehensive")
 def f09b(spark, d):
     found = strategy.analyse(

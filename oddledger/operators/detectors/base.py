@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddledger.errors import AnalysisError, ConfigError
-from oddledger.operators.groups import HotKeys, key_facts
+from oddledger.operators.groups import HotKeys, Split, key_facts
 from oddledger.operators.transform import prepare
 
 
+CORE = ["id", "account_id", "timestamp", "amount"]
+
+
 class Transactions:
     """Prepared detector input with facts that several detectors need once."""
 
@@ -32,6 +35,17 @@ class Transactions:
     def hot(self) -> HotKeys:
         return self._facts[1]
 
+    def split(self, *extra: str) -> Split:
+        """The core columns by account.  Detectors that need no others start
+        from the same exchange."""
+        if extra:
+            return Split.of(self.df.select(*CORE, *extra), "account_id", self.hot)
+        return self._core
+
+    @cached_property
+    def _core(self) -> Split:
+        return Split.of(self.df.select(*CORE), "account_id", self.hot)
+
 
 class Detector(ABC):
     """A detector turns transactions into scores.

@@ -378,6 +378,10 @@ class IsolationForestDetector(Detector):
         counted = durable(counted.select("id", "account_id", "_n", *kept))
         large = counted.filter(F.col("_n") >= least)
         size = config["max_samples"]
+        if size != "auto":
+            biggest = counted.agg(F.max("_n")).first()[0] or 0
+            if sample_size(config, biggest) > group_rows(counted.sparkSession):
+                raise AnalysisError("max_samples: too many rows for one tree")
         if size == "auto":
             sample = F.least(F.lit(AUTO_SAMPLE), F.col("_n"))
         elif isinstance(size, float):

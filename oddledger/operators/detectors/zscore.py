@@ -57,9 +57,8 @@ class ZScoreDetector(Detector):
 
     def _per_account(self, txns: Transactions, config: dict) -> DataFrame:
         size = config["window_size"]
-        slim = txns.df.select("id", "account_id", "timestamp", "amount")
         df = grouped_columns(
-            slim,
+            txns.split(),
             "account_id",
             ORDER,
             ordered=_rolling(size) if config["use_rolling_window"] else None,
@@ -69,7 +68,6 @@ class ZScoreDetector(Detector):
                 "_mean": F.avg("amount"),
                 "_std": F.stddev_samp("amount"),
             },
-            hot=txns.hot,
         )
         whole = {
             "mean_amount": F.col("_mean"),

@@ -37,6 +37,28 @@ class HotKeys:
         return df.join(names, self.key, "left_anti"), df.join(names, self.key, "left_semi")
 
 
+@dataclass
+class Split:
+    """Rows of cold keys, already partitioned by the key, and rows of hot keys.
+
+    Several detectors that start from the same split share its one exchange.
+    """
+
+    cold: DataFrame
+    large: DataFrame | None = None
+
+    @staticmethod
+    def of(df: DataFrame, key: str, hot: HotKeys) -> Split:
+        if not hot:
+            return Split(df.repartition(key))
+        cold, large = hot.split(df)
+        return Split(cold.repartition(key), large)
+
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> Split:
+        """The same row-wise change on both sides."""
+        return Split(change(self.cold), None if self.large is None else change(self.large))
+
+
 def hot_keys(df: DataFrame, key: str) -> HotKeys:
     """Find the hot keys: one map-side combined count over the key column alone."""
     return key_facts(df, key)[1]
@@ -118,7 +140,7 @@ def block_size(df: DataFrame, before: int, after: int) -> int:
 
 
 def grouped_columns(
-    df: DataFrame,
+    df: DataFrame | Split,
     key: str,
     order: list[str],
     ordered: dict[str, Callable[[WindowSpec], Column]] | None = None,
@@ -135,12 +157,12 @@ def grouped_columns(
     reach at most ``before`` / ``after`` rows.  ``sequence`` names a 1-based row
     number.  ``aggregates`` and ``quantiles`` (column, p) cover the whole key and
     may use the ordered columns.  Cold keys need one exchange for all of it.
+    Give a ``Split`` to share that exchange with other calls.
     """
     ordered, aggregates, quantiles = ordered or {}, aggregates or {}, quantiles or {}
-    hot = hot_keys(df, key) if hot is None else hot
-    cold = df
-    if hot:
-        cold, large = hot.split(df)
+    if not isinstance(df, Split):
+        df = Split.of(df, key, hot_keys(df, key) if hot is None else hot)
+    cold, large = df.cold, df.large
     window = Window.partitionBy(key).orderBy(*order)
     steps = {name: make(window) for name, make in ordered.items()}
     if sequence:
@@ -151,7 +173,7 @@ def grouped_columns(
         totals[name] = F.percentile(value, F.lit(float(p))).over(whole)
     result = cold.withColumns(steps) if steps else cold
     result = result.withColumns(totals) if totals else result
-    if not hot:
+    if large is None:
         return result
     done = large
     if steps:
