@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddledger.errors import AnalysisError, ConfigError
-from oddledger.operators.groups import HotKeys, Split, key_facts
-from oddledger.operators.transform import prepare
+from oddledger.operators.groups import POSITION, HotKeys, Split, key_facts, position_rows
+from oddledger.operators.transform import ORDER, prepare
 
 
 CORE = ["id", "account_id", "timestamp", "amount"]
@@ -35,17 +35,24 @@ class Transactions:
     def hot(self) -> HotKeys:
         return self._facts[1]
 
-    def split(self, *extra: str) -> Split:
+    def split(self, *extra: str, ordered: bool = False) -> Split:
         """The core columns by account.  Detectors that need no others start
-        from the same exchange."""
+        from the same exchange, and with ``ordered`` from the same numbered hot
+        rows."""
         if extra:
             return Split.of(self.df.select(*CORE, *extra), "account_id", self.hot)
+        if ordered and self.hot:
+            return Split(self._core.cold, self._numbered)
         return self._core
 
     @cached_property
     def _core(self) -> Split:
         return Split.of(self.df.select(*CORE), "account_id", self.hot)
 
+    @cached_property
+    def _numbered(self) -> DataFrame:
+        return position_rows(self._core.large, ["account_id"], ORDER, POSITION)
+
 
 class Detector(ABC):
     """A detector turns transactions into scores.

@@ -58,7 +58,7 @@ class ZScoreDetector(Detector):
     def _per_account(self, txns: Transactions, config: dict) -> DataFrame:
         size = config["window_size"]
         df = grouped_columns(
-            txns.split(),
+            txns.split(ordered=True),
             "account_id",
             ORDER,
             ordered=_rolling(size) if config["use_rolling_window"] else None,

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from oddledger.session import durable, group_rows, shuffle_partitions
 
 _ALL = "_all"
+POSITION = "_position"
 
 
 @dataclass
@@ -42,6 +43,7 @@ class Split:
     """Rows of cold keys, already partitioned by the key, and rows of hot keys.
 
     Several detectors that start from the same split share its one exchange.
+    Hot rows may come numbered already, in the order the windows will use.
     """
 
     cold: DataFrame
@@ -177,14 +179,15 @@ def grouped_columns(
         return result
     done = large
     if steps:
-        numbered = position_rows(large, [key], order, "_pos")
-        size = block_size(df, before, after)
-        blocks = spread_blocks(numbered, "_pos", size, before, after)
-        window = Window.partitionBy(key, "_block").orderBy("_pos")
+        if POSITION not in large.columns:
+            large = position_rows(large, [key], order, POSITION)
+        size = block_size(large, before, after)
+        blocks = spread_blocks(large, POSITION, size, before, after)
+        window = Window.partitionBy(key, "_block").orderBy(POSITION)
         done = blocks.withColumns({name: make(window) for name, make in ordered.items()})
         done = done.filter("_own").drop("_block", "_own")
         if sequence:
-            done = done.withColumn(sequence, F.col("_pos"))
+            done = done.withColumn(sequence, F.col(POSITION))
     if totals:
         stats = key_table(done, key, aggregates, quantiles)
         done = done.join(F.broadcast(stats), key, "left")

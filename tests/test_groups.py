@@ -136,6 +136,11 @@ CASES = [
     ("statistical", "timeseries", {"threshold_method": "iqr"}),
     ("rule_based", "weekend_threshold", {}),
     ("rule_based", "weekend_threshold", {"amount_threshold_method": "median_iqr"}),
+    (
+        "ml_based", "isolation_forest",
+        {"account_specific": True, "n_estimators": 5, "min_samples_fit": 20, "max_samples": 32},
+    ),
+    ("ml_based", "isolation_forest", {"n_estimators": 5, "max_samples": 32}),
 ]
 
 
