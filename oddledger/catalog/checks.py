@@ -307,12 +307,6 @@ def p01(spark, d):
     return p.missing_values(_gappy(spark, d)).withColumn("value", r6("value"))
 
 
-def _rounded_txn(spark, d):
-    return events_txn(spark, d).select(
-        "account_id", "category", F.round("amount", -1).alias("amount")
-    )
-
-
 @query(
     "p02_duplicates",
     f"""WITH {TXN}, x AS (SELECT account_id, category, round(amount / 10) * 10 AS amount FROM txn)

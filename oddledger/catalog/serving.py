@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddledger.catalog.common import FEATS, TXN, events_txn, joined, micros, r6, table
+from oddledger.catalog.common import FEATS, TXN, events_txn, joined, micros, r6
 from oddledger.catalog.detect import TIMESERIES_SQL, WEEKEND_SQL, weekend_sql, zscore_sql
 from oddledger.operators import detectors as det
-from oddledger.operators.fusion import detector_log, fuse, run_summary
+from oddledger.operators.fusion import detector_log, run_summary
 from oddledger.operators.transform import add_time_features
 from oddledger.plans import serve, strategy, views
+from oddledger.schema import UPLOAD_STATUSES
 from oddledger.session import scratch
 from oddledger.sources import tables
 from oddledger.streaming.ingest import start_ingest
@@ -505,7 +506,7 @@ def r10d(spark, d):
     return row.select(*[r6(c).alias(c) for c in row.columns])
 
 
-_STATUSES = ["uploaded", "processing", "processed", "failed"]
+_STATUSES = UPLOAD_STATUSES[:4]
 
 
 def _uploads(spark, d):

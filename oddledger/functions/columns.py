@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,9 +82,6 @@ def amount_category(c: str | Column) -> Column:
     )
 
 
-AMOUNT_CATEGORIES = ["micro", "small", "medium", "large", "huge"]
-
-
 def messages(*items: tuple[Column, str | Column]) -> Column:
     """Array of the messages whose condition holds, in the given order."""
     texts = [
@@ -96,14 +91,6 @@ def messages(*items: tuple[Column, str | Column]) -> Column:
     return F.array_compact(F.array(*texts)) if texts else F.array().cast("array<string>")
 
 
-def first_of(columns: list[Column]) -> Column:
-    return F.coalesce(*columns)
-
-
-def product(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a * b, columns)
-
-
 def sample_skewness(c: str | Column) -> Column:
     """Skewness with the small-sample correction; NULL below three values."""
     n = F.count(c).cast("double")

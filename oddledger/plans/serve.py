@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from oddledger.errors import ConfigError
 from oddledger.operators.fusion import detector_log
 from oddledger.operators.groups import merge_rows, table_stats
-from oddledger.schema import RUN_RETENTION_DAYS, UPLOAD_RETENTION_DAYS
+from oddledger.schema import (
+    RUN_RETENTION_DAYS,
+    RUN_STATUSES,
+    UPLOAD_RETENTION_DAYS,
+    UPLOAD_STATUSES,
+)
 
 DEFAULT_MIN_SCORE = 0.7
 
@@ -286,6 +291,11 @@ def results_summary(scores: DataFrame, flags: DataFrame, k: int = 10) -> dict[st
     }
 
 
+def _known(status: str | None, statuses: list[str]) -> None:
+    if status is not None and status not in statuses:
+        raise ConfigError(f"status must be one of {statuses}")
+
+
 def list_runs(
     runs: DataFrame,
     upload_id: str | None = None,
@@ -295,6 +305,7 @@ def list_runs(
     per_page: int = 20,
 ) -> DataFrame:
     """Newest runs first."""
+    _known(status, RUN_STATUSES)
     for name, value in (("upload_id", upload_id), ("strategy_id", strategy_id), ("status", status)):
         if value is not None:
             runs = runs.filter(F.col(name) == value)
@@ -305,6 +316,7 @@ def list_uploads(
     uploads: DataFrame, status: str | None = None, page_number: int = 1, per_page: int = 20
 ) -> DataFrame:
     """Newest uploads first."""
+    _known(status, UPLOAD_STATUSES)
     if status is not None:
         uploads = uploads.filter(F.col("status") == status)
     return page(uploads, "upload_timestamp", "desc", page_number, per_page)

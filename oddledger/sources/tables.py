@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddledger.operators.detectors.weekend import RULES
-from oddledger.schema import DERIVED_FIELDS, DERIVED_SCHEMA
+from oddledger.schema import DERIVED_FIELDS, DERIVED_SCHEMA, TXN_SCHEMA
+
+
+def core_columns(df: DataFrame) -> DataFrame:
+    """All columns of the transaction schema with their types, absent ones as NULL,
+    so that every upload is stored alike."""
+    core = {
+        f.name: (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType)
+        for f in TXN_SCHEMA
+    }
+    return df.withColumns(core)
 
 
 def pack_derived(df: DataFrame) -> DataFrame:
@@ -40,7 +50,7 @@ def _overwrite(df: DataFrame, path: str, partition: str) -> None:
 
 def write_transactions(df: DataFrame, path: str) -> None:
     """S7"""
-    _overwrite(pack_derived(df), path, "upload_id")
+    _overwrite(pack_derived(core_columns(df)), path, "upload_id")
 
 
 def load_transactions(spark: SparkSession, path: str, upload_id: str | None = None) -> DataFrame:
