@@ -423,7 +423,7 @@ def r07c(spark, d):
 @query(
     "r08_account_summaries",
     f"""WITH {zscore_sql()}, an AS (SELECT account_id, count(*) AS hits FROM txn JOIN zs USING (id) WHERE score >= 0.7 GROUP BY 1)
-    SELECT account_id, count(*) AS transaction_count, round(sum(amount), 4) AS total_amount, round(avg(amount), 6) AS average_amount,
+    SELECT account_id, count(*) AS transaction_count, round(sum(amount), 4) AS total_amount, round(avg(amount), 8) AS average_amount,
     min(amount) AS min_amount, max(amount) AS max_amount, epoch_us(min("timestamp")) AS first_transaction,
     epoch_us(max("timestamp")) AS last_transaction, coalesce(any_value(hits), 0) AS anomalies_detected
     FROM txn LEFT JOIN an USING (account_id) GROUP BY account_id HAVING count(*) >= 60""",
@@ -434,7 +434,7 @@ def r08(spark, d):
     return found.withColumns(
         {
             "total_amount": F.round("total_amount", 4),
-            "average_amount": r6("average_amount"),
+            "average_amount": F.round("average_amount", 8),
             "first_transaction": micros("first_transaction"),
             "last_transaction": micros("last_transaction"),
         }

@@ -24,7 +24,7 @@ def connection(folder: str):
 
 def _cell(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return None if math.isnan(v) else round(v, 8) + 0.0
     if type(v).__name__ == "Decimal":
         return float(v)
     return v
