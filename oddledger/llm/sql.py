@@ -1,5 +1,9 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
+from __future__ import annotations
+
+from oddledger.llm.templates import UNITS
+
 OP9 = r"""
 WITH RECURSIVE tokens AS (
     SELECT doc_id, regexp_extract_all(
@@ -36,4 +40,79 @@ SELECT d.doc_id, z.n AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
 FROM documents d JOIN sizes z ON z.doc_id = d.doc_id JOIN smallest m ON m.start = d.doc_id
 """
 
-SQL = {"op9_minhash": OP9.replace("{num}", "85")}
+_UNITS = "|".join(UNITS)
+_BARE = r"""trim(regexp_replace(translate({0}, '.,;:!?"()[]{{}}', ''), '[\x20\x09-\x0D]+', ' ', 'g'))"""
+_NAMED = (
+    r"regexp_replace({0}, '([^.!?:\x20\x09-\x0D][ ]+)\p{{Lu}}\p{{Ll}}\p{{L}}*', '\1<name>', 'g')"
+)
+_NUMBERED = r"regexp_replace(lower({0}), '[0-9][0-9.,:/-]*', '<num>', 'g')"
+_UNITED = (
+    r"regexp_replace({0}, '<num>([ ]?)(" + _UNITS + r")([^\p{{L}}]|$)', '<num>\1<unit>\3', 'g')"
+)
+_TEMPLATE = _BARE.format(
+    _UNITED.format(_NUMBERED.format(_NAMED.format(_NAMED.format("coalesce(text, '')"))))
+)
+_RAW = _BARE.format("lower(coalesce(text, ''))")
+
+OP5 = rf"""
+WITH docs AS (
+    SELECT DISTINCT doc_id, text, CASE WHEN {_TEMPLATE} = '' THEN [] ELSE string_split({_TEMPLATE}, ' ') END AS w,
+           string_split({_RAW}, ' ') AS r
+    FROM documents
+), items AS (
+    SELECT DISTINCT item_id, string_split({_TEMPLATE}, ' ') AS w, string_split({_RAW}, ' ') AS r,
+           regexp_matches(regexp_extract(text, '[^\x20\x09-\x0D]+'), '^\p{{Lu}}\p{{Ll}}') AS capital
+    FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL AND {_TEMPLATE} <> ''
+), readings AS (
+    SELECT item_id, w, r, w AS v, false AS second FROM items
+    UNION ALL
+    SELECT item_id, w, r, list_concat(['<name>'], w[2:]), true FROM items WHERE capital
+), windows AS (
+    SELECT item_id, k, pos - 1 AS ipos, array_to_string(v[pos:pos + k - 1], ' ') AS g, len(w) AS n
+    FROM (SELECT *, least(8, len(w)) AS k, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS pos FROM readings)
+    WHERE (NOT second OR pos = 1)
+      AND len(list_filter(v[pos:pos + k - 1],
+            lambda x: NOT (contains(x, '<num>') OR x IN ('<name>', '<unit>')))) >= least(4, k)
+), sizes AS (
+    SELECT DISTINCT k FROM windows
+), total AS (
+    SELECT item_id, count(DISTINCT ipos) AS windows FROM windows GROUP BY 1
+), own AS (
+    SELECT doc_id, text, len(w) AS n, k, pos - 1 AS dpos, array_to_string(w[pos:pos + k - 1], ' ') AS g
+    FROM (SELECT doc_id, text, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM docs, sizes WHERE len(w) >= k)
+), hits AS (
+    SELECT DISTINCT doc_id, text, item_id, o.k, dpos - ipos AS shift, ipos
+    FROM own o JOIN windows i ON o.g = i.g AND o.k = i.k WHERE i.n >= 5 OR i.n = o.n
+), spots AS (
+    SELECT DISTINCT doc_id, text, item_id, shift, unnest(range(ipos, ipos + k)) AS i FROM hits
+), slots AS (
+    SELECT DISTINCT s.doc_id, s.text, s.item_id, shift, i.w[s.i + 1] AS kind, i.r[s.i + 1] AS a, d.r[s.i + shift + 1] AS b
+    FROM spots s JOIN items i USING (item_id)
+    JOIN docs d ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.text = s.text
+    WHERE contains(i.w[s.i + 1], '<num>') OR i.w[s.i + 1] IN ('<name>', '<unit>')
+), checked AS (
+    SELECT doc_id, text, item_id, shift, count(*) AS pairs, count(DISTINCT (kind, a)) AS f,
+           count(DISTINCT (kind, b)) AS t, count(*) FILTER (a <> b) AS changed
+    FROM slots GROUP BY ALL
+), agreeing AS (
+    SELECT h.*, coalesce(c.changed, 0) AS changed FROM hits h
+    LEFT JOIN checked c USING (doc_id, text, item_id, shift)
+    WHERE coalesce(c.pairs = c.f AND c.pairs = c.t, true)
+), found AS (
+    SELECT doc_id, text, item_id, count(DISTINCT ipos) AS matched, min(changed) AS changed
+    FROM agreeing GROUP BY ALL
+), best AS (
+    SELECT doc_id, text, count(*) AS items,
+           arg_min(item_id, (-matched / windows, item_id)) AS item_id,
+           arg_min(changed, (-matched / windows, item_id)) AS changed
+    FROM found JOIN total USING (item_id) WHERE matched >= 0.5 * windows GROUP BY ALL
+)
+SELECT d.doc_id, b.items IS NOT NULL AS contaminated, coalesce(b.items, 0) AS items, b.item_id,
+       coalesce(b.changed, 0) AS changed
+FROM documents d LEFT JOIN best b ON d.doc_id IS NOT DISTINCT FROM b.doc_id AND d.text = b.text
+"""
+
+SQL = {
+    "op5_templates": OP5,
+    "op9_minhash": OP9.replace("{num}", "85"),
+}
