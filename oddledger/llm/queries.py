@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddledger.llm import minhash, templates
+from oddledger.llm import language, minhash, templates
 from oddledger.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -18,6 +18,10 @@ def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_bigru(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"))
+
+
 def op5_templates(spark: SparkSession, folder: str) -> DataFrame:
     return templates.decontaminate(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
@@ -25,6 +29,7 @@ def op5_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bigru": op3_bigru,
     "op5_templates": op5_templates,
     "op9_minhash": op9_minhash,
 }
