@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddledger.llm import language, minhash, templates
+from oddledger.llm import language, minhash, quality, templates
 from oddledger.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op8_boosting(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -31,5 +35,6 @@ def op5_templates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_bigru": op3_bigru,
     "op5_templates": op5_templates,
+    "op8_boosting": op8_boosting,
     "op9_minhash": op9_minhash,
 }
