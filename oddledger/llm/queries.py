@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddledger.llm import language, minhash, quality, templates
+from oddledger.llm import language, minhash, pieces, quality, templates
 from oddledger.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -22,6 +22,10 @@ def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(_table(spark, folder, "documents"))
+
+
 def op3_bigru(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
@@ -33,6 +37,7 @@ def op5_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pieces": op1_pieces,
     "op3_bigru": op3_bigru,
     "op5_templates": op5_templates,
     "op8_boosting": op8_boosting,
