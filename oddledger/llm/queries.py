@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddledger.llm import language, minhash, pieces, quality, templates
+from oddledger.llm import language, minhash, pieces, quality, templates, warc
 from oddledger.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -36,10 +36,15 @@ def op5_templates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_archive(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.index(warc.write(_table(spark, folder, "pages")), spark)
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op3_bigru": op3_bigru,
     "op5_templates": op5_templates,
     "op8_boosting": op8_boosting,
     "op9_minhash": op9_minhash,
+    "op10_archive": op10_archive,
 }

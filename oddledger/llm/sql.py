@@ -112,7 +112,21 @@ SELECT d.doc_id, b.items IS NOT NULL AS contaminated, coalesce(b.items, 0) AS it
 FROM documents d LEFT JOIN best b ON d.doc_id IS NOT DISTINCT FROM b.doc_id AND d.text = b.text
 """
 
+OP10 = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+), q AS (
+    SELECT *, max(page_id) OVER (PARTITION BY html) AS owner FROM p
+)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM owner AND owner IS NOT NULL
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+FROM q
+"""
+
 SQL = {
     "op5_templates": OP5,
+    "op10_archive": OP10,
     "op9_minhash": OP9.replace("{num}", "85"),
 }
