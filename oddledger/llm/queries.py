@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddledger.llm import language, minhash, pieces, quality, templates, warc
+from oddledger.llm import html, language, minhash, pieces, quality, templates, warc
 from oddledger.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -26,6 +26,10 @@ def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(_table(spark, folder, "documents"))
 
 
+def op2_mincut(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(_table(spark, folder, "pages"))
+
+
 def op3_bigru(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
@@ -42,6 +46,7 @@ def op10_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_pieces": op1_pieces,
+    "op2_mincut": op2_mincut,
     "op3_bigru": op3_bigru,
     "op5_templates": op5_templates,
     "op8_boosting": op8_boosting,
