@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddledger.llm import counts, html, language, minhash, pieces, quality, templates, warc
+from oddledger.llm import counts, html, language, minhash, pieces, quality, spots, templates, warc
 from oddledger.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op6_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spots.fingerprint(_table(spark, folder, "documents"))
+
+
 def op7_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.count_tokens(_table(spark, folder, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_mincut": op2_mincut,
     "op3_bigru": op3_bigru,
     "op5_templates": op5_templates,
+    "op6_spotsigs": op6_spotsigs,
     "op7_counts": op7_counts,
     "op8_boosting": op8_boosting,
     "op9_minhash": op9_minhash,
