@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddledger.llm import counts, html, language, minhash, pieces, quality, spots, templates, warc
+from oddledger.llm import counts, entropy, html, language, minhash, pieces, quality, spots, templates, warc
 from oddledger.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -42,6 +42,12 @@ def op3_bigru(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
 
 
+def op4_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    """Target documents are those that ``labels`` marks as good."""
+    good = _table(spark, folder, "labels").filter("quality = 1")
+    return entropy.score(_table(spark, folder, "documents"), good)
+
+
 def op5_templates(spark: SparkSession, folder: str) -> DataFrame:
     return templates.decontaminate(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
@@ -56,6 +62,7 @@ QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_mincut": op2_mincut,
     "op3_bigru": op3_bigru,
+    "op4_entropy": op4_entropy,
     "op5_templates": op5_templates,
     "op6_spotsigs": op6_spotsigs,
     "op7_counts": op7_counts,
