@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import DataType, StructField, StructType
 
 SLICE_BYTES = 1 << 20
 
@@ -39,3 +41,28 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def append(
+    rows: DataFrame,
+    compute: Callable[[pa.RecordBatch], list[pa.Array]],
+    added: dict[str, DataType],
+    omit: tuple[str, ...] = (),
+) -> DataFrame:
+    """``rows`` with columns that ``compute`` derives from slices of about ``SLICE_BYTES`` text.
+
+    Columns in ``omit`` go into ``compute`` but not into the result.
+    """
+    names = [c for c in rows.columns if c not in omit]
+    spots = [rows.columns.index(c) for c in names]
+    schema = StructType(
+        [rows.schema[c] for c in names] + [StructField(n, kind) for n, kind in added.items()]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                columns = [batch.column(i) for i in spots] + compute(batch)
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+
+    return rows.mapInArrow(run, schema)

@@ -11,13 +11,15 @@ from __future__ import annotations
 import math
 import re
 from collections import deque
-from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
+
+from oddledger.llm.arrow import append
 
 # fixed values: HTML elements by role
 SKIPPED = "script style noscript template svg math iframe object canvas audio video textarea select title"
@@ -303,19 +305,9 @@ def extract(pages: DataFrame, p: Cut | None = None) -> DataFrame:
     """
     p = p or Cut()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            text = [main_text(h, p) for h in frame["html"]]
-            yield pd.DataFrame(
-                {
-                    "page_id": frame["page_id"],
-                    "url": frame["url"],
-                    "text": text,
-                    "n_chars": [len(t) for t in text],
-                }
-            )
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(
-        run, f"page_id {kind}, url string, text string, n_chars long"
-    )
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = [main_text(h, p) for h in batch.column("text").to_pylist()]
+        return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+
+    rows = pages.select("page_id", "url", F.col("html").alias("text"))
+    return append(rows, compute, {"text": StringType(), "n_chars": LongType()}, omit=("text",))

@@ -15,9 +15,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from oddledger.llm import bigru
-from oddledger.llm.arrow import slices, utf8_column
+from oddledger.llm.arrow import append, utf8_column
 from oddledger.llm.sampling import held_out, labelled_sample
 
 UNKNOWN = "und"
@@ -103,42 +104,43 @@ def document_probabilities(
     return total / np.maximum(letters, 1)
 
 
-def predict(
-    docs: DataFrame, labels: list[str], net: bigru.Params | None, p: LanguageModel | None = None
+def with_language(
+    rows: DataFrame,
+    labels: list[str],
+    net: bigru.Params | None,
+    p: LanguageModel | None = None,
+    names: tuple[str, str] = ("lang_pred", "score"),
+    omit: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row from its text alone.
+    """``rows`` (text, further columns) with the predicted label and its score.
 
     A null text, an empty one and one without letters is ``und`` with score 0, and so is
     everything where no labelled row was there to learn from.  Ties go to the first label.
     """
     p = p or LanguageModel()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                probs = document_probabilities(net, *utf8_column(batch.column(3)), p)
-                known = batch.column(2).to_numpy(zero_copy_only=False)
-                best = probs.argmax(axis=0)
-                name = [labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-                score = np.where(known, probs.max(axis=0), 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(name, pa.string()), pa.array(score)],
-                    ["doc_id", "held_out", "lang_pred", "score"],
-                )
-
-    rows = docs.select(
-        F.col("doc_id").cast("long"),
-        held_out().alias("held_out"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("known"),
-        "text",
-    )
+    label, score = names
     if net is None:
-        return rows.select(
-            "doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")
-        )
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+        return rows.withColumns({label: F.lit(UNKNOWN), score: F.lit(0.0)}).drop(*omit)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        probs = document_probabilities(net, *utf8_column(batch.column("text")), p)
+        known = batch.column("_letters").to_numpy(zero_copy_only=False)
+        best = probs.argmax(axis=0)
+        name = [labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+        return [pa.array(name, pa.string()), pa.array(np.where(known, probs.max(axis=0), 0.0))]
+
+    return append(
+        rows.withColumn("_letters", letters),
+        compute,
+        {label: StringType(), score: DoubleType()},
+        ("_letters", *omit),
+    )
 
 
 def identify(docs: DataFrame, p: LanguageModel | None = None) -> DataFrame:
-    """Learn from the labelled rows of ``docs`` and predict all of them."""
-    return predict(docs, *fit(docs, p), p)
+    """Learn from the labelled rows of ``docs`` and predict all of them from their texts alone:
+    (doc_id, held_out, lang_pred, score)."""
+    labels, net = fit(docs, p)
+    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
+    return with_language(rows, labels, net, p, omit=("text",))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from oddledger.llm.arrow import slices, utf8_column
+from oddledger.llm.arrow import append, list_column, utf8_column
 from oddledger.llm.boosting import Boosting, Model, train
 from oddledger.llm.hashing import words
 from oddledger.llm.sampling import held_out, labelled_sample
@@ -83,21 +83,10 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _with_statistics(rows: DataFrame, keep: list[str]) -> DataFrame:
-    kept = rows.select(*keep, "text")
-    fields = ", ".join(f"{name} {kept.schema[name].dataType.simpleString()}" for name in keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                x = statistics(*utf8_column(batch.column(len(keep))))
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES))
-                lists = flat.cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(keep)], lists], [*keep, "x"]
-                )
-
-    return kept.mapInArrow(run, f"{fields}, x array<double>")
+def _statistics_column(batch: pa.RecordBatch) -> list[pa.Array]:
+    x = statistics(*utf8_column(batch.column("text")))
+    width = np.full(len(x), len(FEATURES))
+    return [list_column(x.ravel(), width, pa.float64())]
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: QualityModel | None = None) -> Model:
@@ -113,35 +102,33 @@ def fit(docs: DataFrame, labels: DataFrame, p: QualityModel | None = None) -> Mo
     sample = labelled_sample(known, "quality", p.rows)
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
     # at most ``rows`` of each label
-    found = _with_statistics(rows, ["doc_id", "quality"]).toPandas()
+    found = append(rows, _statistics_column, {"x": ArrayType(DoubleType())}, ("text",)).toPandas()
     found["x"] = found["x"].map(tuple)
     found = found.sort_values(["doc_id", "quality", "x"])
     x = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES))
     return train(x, (found["quality"].to_numpy() == 1).astype(float), p.boosting)
 
 
-def predict(docs: DataFrame, model: Model, p: QualityModel | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row from its text alone; null is empty."""
+def with_quality(
+    rows: DataFrame,
+    model: Model,
+    p: QualityModel | None = None,
+    names: tuple[str, str] = ("score", "predicted"),
+    omit: tuple[str, ...] = (),
+) -> DataFrame:
+    """``rows`` (text, further columns) with score and prediction; a null text is empty."""
     p = p or QualityModel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                score = model.score(statistics(*utf8_column(batch.column(2))))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(1),
-                        pa.array(score),
-                        pa.array((score >= p.bar).astype(np.int32)),
-                    ],
-                    ["doc_id", "held_out", "score", "predicted"],
-                )
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        score = model.score(statistics(*utf8_column(batch.column("text"))))
+        return [pa.array(score), pa.array((score >= p.bar).astype(np.int32))]
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    score, predicted = names
+    return append(rows, compute, {score: DoubleType(), predicted: IntegerType()}, omit)
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: QualityModel | None = None) -> DataFrame:
-    """Learn from the labelled rows and score all of ``docs``."""
-    return predict(docs, fit(docs, labels, p), p)
+    """Learn from the labelled rows and score all of ``docs`` from their texts alone:
+    (doc_id, held_out, score, predicted)."""
+    rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
+    return with_quality(rows, fit(docs, labels, p), p, omit=("text",))
