@@ -71,31 +71,31 @@ _DIRTY = """raw AS (SELECT event_id, ts,
    TRY_CAST(regexp_replace(amount, '[^0-9.-]', '', 'g') AS DOUBLE) AS a,
    regexp_replace(amount, '[^0-9.-]', '', 'g') AS cleaned FROM raw)"""
 
-_AMOUNT_E = """CASE WHEN a IS NULL THEN 'Invalid amount format: ' || amount END"""
-_AMOUNT_W = """CASE WHEN a = 0 THEN 'Zero amount transaction' WHEN a < 0 THEN 'Negative amount transaction'
-   WHEN a > 1000000 THEN 'Very large amount transaction' END,
-   CASE WHEN a IS NOT NULL AND length(regexp_extract(cleaned, '\\.([0-9]*)$', 1)) > 2 THEN 'Amount has more than 2 decimal places' END"""
-_TIME_E = "CASE WHEN t IS NULL THEN 'Invalid timestamp format: ' || tstext END"
-_TIME_W = f"""CASE WHEN t > TIMESTAMP '{NOW}' THEN 'Future timestamp detected'
-   WHEN year(t) < 2000 THEN 'Very old timestamp detected' END"""
-_ACCOUNT_E = "CASE WHEN trim(account_id) = '' THEN 'Account ID cannot be empty' END"
-_ACCOUNT_W = """CASE WHEN trim(account_id) <> '' AND length(trim(account_id)) < 3 THEN 'Account ID is very short'
-   WHEN length(trim(account_id)) > 50 THEN 'Account ID is very long' END,
-   CASE WHEN lower(trim(account_id)) IN ('test', 'demo', 'example') THEN 'Account ID appears to be a test account' END"""
-_ID_W = """CASE WHEN trim(id) = '' THEN 'Empty transaction ID' WHEN length(trim(id)) > 100 THEN 'Transaction ID is very long' END"""
-_DESC_W = """CASE WHEN trim(description) = '' THEN 'Empty description' WHEN length(trim(description)) > 1000 THEN 'Very long description' END,
-   CASE WHEN regexp_matches(lower(description), 'test|dummy|fake|sample') THEN 'Description contains test-like content' END"""
+_AMOUNT_E = """CASE WHEN a IS NULL THEN 'amount.unreadable: ' || amount END"""
+_AMOUNT_W = """CASE WHEN a = 0 THEN 'amount.zero' WHEN a < 0 THEN 'amount.negative'
+   WHEN a > 1000000 THEN 'amount.large' END,
+   CASE WHEN a IS NOT NULL AND length(regexp_extract(cleaned, '\\.([0-9]*)$', 1)) > 2 THEN 'amount.fraction' END"""
+_TIME_E = "CASE WHEN t IS NULL THEN 'timestamp.unreadable: ' || tstext END"
+_TIME_W = f"""CASE WHEN t > TIMESTAMP '{NOW}' THEN 'timestamp.future'
+   WHEN year(t) < 2000 THEN 'timestamp.old' END"""
+_ACCOUNT_E = "CASE WHEN trim(account_id) = '' THEN 'account.empty' END"
+_ACCOUNT_W = """CASE WHEN trim(account_id) <> '' AND length(trim(account_id)) < 3 THEN 'account.short'
+   WHEN length(trim(account_id)) > 50 THEN 'account.long' END,
+   CASE WHEN lower(trim(account_id)) IN ('test', 'demo', 'example') THEN 'account.test' END"""
+_ID_W = """CASE WHEN trim(id) = '' THEN 'id.empty' WHEN length(trim(id)) > 100 THEN 'id.long' END"""
+_DESC_W = """CASE WHEN trim(description) = '' THEN 'description.empty' WHEN length(trim(description)) > 1000 THEN 'description.long' END,
+   CASE WHEN regexp_matches(lower(description), 'test|dummy|fake|sample') THEN 'description.test' END"""
 _REQ = "amount IS NULL"
 _ROWS = f"""{_DIRTY}, checked AS (SELECT *,
-   CASE WHEN {_REQ} THEN 'Required field ''amount'' is null' ELSE concat_ws('; ', {_AMOUNT_E}, {_TIME_E}, {_ACCOUNT_E}) END AS errors,
+   CASE WHEN {_REQ} THEN 'field.null: amount' ELSE concat_ws('; ', {_AMOUNT_E}, {_TIME_E}, {_ACCOUNT_E}) END AS errors,
    CASE WHEN {_REQ} THEN '' ELSE concat_ws('; ', {_AMOUNT_W}, {_TIME_W}, {_ACCOUNT_W}, {_ID_W}, {_DESC_W}) END AS warnings FROM parsed)"""
 
 
 def _matching(column: str, words: str, sql_words: str):
     """Validated rows whose messages are about one field."""
-    sql = f"""WITH {_ROWS} SELECT event_id, list_aggregate(list_filter(string_split({column}, '; '),
-      lambda m: regexp_matches(m, '{sql_words}')), 'string_agg', '; ') AS found FROM checked
-      WHERE regexp_matches({column}, '{sql_words}')"""
+    sql = f"""WITH {_ROWS}, hits AS (SELECT event_id, list_filter(string_split({column}, '; '),
+      lambda m: regexp_matches(m, '{sql_words}')) AS h FROM checked)
+      SELECT event_id, list_aggregate(h, 'string_agg', '; ') AS found FROM hits WHERE len(h) > 0"""
 
     def run(spark, d):
         rows = v.validate_rows(_dirty(spark, d), NOW)
@@ -108,15 +108,15 @@ def _matching(column: str, words: str, sql_words: str):
 
 
 for _name, _column, _words in [
-    ("v01_required_fields", "errors", "^Required field|; Required field"),
-    ("v02_amount_errors", "errors", "Invalid amount"),
-    ("v02_amount_warnings", "warnings", "mount transaction|decimal places"),
-    ("v03_timestamp_errors", "errors", "Invalid timestamp"),
-    ("v03_timestamp_warnings", "warnings", "timestamp detected"),
-    ("v04_account_errors", "errors", "Account ID"),
-    ("v04_account_warnings", "warnings", "Account ID"),
-    ("v05_transaction_id", "warnings", "ransaction ID"),
-    ("v06_description", "warnings", "escription"),
+    ("v01_required_fields", "errors", "^field"),
+    ("v02_amount_errors", "errors", "^amount"),
+    ("v02_amount_warnings", "warnings", "^amount"),
+    ("v03_timestamp_errors", "errors", "^timestamp"),
+    ("v03_timestamp_warnings", "warnings", "^timestamp"),
+    ("v04_account_errors", "errors", "^account"),
+    ("v04_account_warnings", "warnings", "^account"),
+    ("v05_transaction_id", "warnings", "^id"),
+    ("v06_description", "warnings", "^description"),
 ]:
     QUERIES[_name], SQL[_name] = _matching(_column, _words, _words)
 
@@ -140,9 +140,9 @@ def v07(spark, d):
     f"""WITH {_ROWS}, o AS (SELECT t < lag(t) OVER (ORDER BY event_id) AS back FROM parsed WHERE t IS NOT NULL)
     SELECT count(nullif(id, '')) <> count(DISTINCT nullif(id, '')) AS duplicate_ids, (SELECT bool_or(back) FROM o) AS out_of_order,
       count(DISTINCT account_id) = 1 AND count(*) > 100 AS single_account,
-      CASE WHEN count(nullif(id, '')) <> count(DISTINCT nullif(id, '')) THEN 'Duplicate transaction IDs detected' ELSE '' END AS batch_errors,
-      concat_ws('; ', CASE WHEN (SELECT bool_or(back) FROM o) THEN 'Transactions are not chronologically ordered' END,
-        CASE WHEN count(DISTINCT account_id) = 1 AND count(*) > 100 THEN 'All transactions belong to a single account' END) AS batch_warnings
+      CASE WHEN count(nullif(id, '')) <> count(DISTINCT nullif(id, '')) THEN 'batch.repeated_ids' ELSE '' END AS batch_errors,
+      concat_ws('; ', CASE WHEN (SELECT bool_or(back) FROM o) THEN 'batch.unordered' END,
+        CASE WHEN count(DISTINCT account_id) = 1 AND count(*) > 100 THEN 'batch.one_account' END) AS batch_warnings
     FROM parsed""",
 )
 def v08(spark, d):
@@ -201,10 +201,10 @@ _GAPPY = """g AS (SELECT CAST(event_id // 2 AS VARCHAR) AS id, CASE WHEN event_i
 _CELLS = """c AS (SELECT count(*) AS n, count(*) - count(amount) AS ma, count(*) - count(t) AS mt,
    count(*) - count(account_id) AS mc FROM g)"""
 _RATE = "(5.0 * n - ma - mt - mc) / (5.0 * n)"
-_COMPLETE_ISSUES = f"""concat_ws('; ', CASE WHEN {_RATE} < 0.95 THEN printf('Dataset has %.1f%% completeness', 100 * {_RATE}) END,
-   CASE WHEN ma > 0 THEN printf('Required column ''amount'' has %.1f%% missing values', 100.0 * ma / n) END,
-   CASE WHEN mt > 0 THEN printf('Required column ''timestamp'' has %.1f%% missing values', 100.0 * mt / n) END,
-   CASE WHEN mc > 0 THEN printf('Required column ''account_id'' has %.1f%% missing values', 100.0 * mc / n) END)"""
+_COMPLETE_ISSUES = f"""concat_ws('; ', CASE WHEN {_RATE} < 0.95 THEN printf('completeness: %.1f%%', 100 * {_RATE}) END,
+   CASE WHEN ma > 0 THEN printf('missing.amount: %.1f%%', 100.0 * ma / n) END,
+   CASE WHEN mt > 0 THEN printf('missing.timestamp: %.1f%%', 100.0 * mt / n) END,
+   CASE WHEN mc > 0 THEN printf('missing.account_id: %.1f%%', 100.0 * mc / n) END)"""
 
 
 @query(
@@ -227,8 +227,8 @@ def q01(spark, d):
       regexp_matches(amount, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$')) AS ba FROM parsed)
     SELECT bt AS bad_timestamps, ba AS bad_amounts, round((CASE WHEN bt > 0 THEN 0.9 ELSE 1.0 END)
       * (CASE WHEN ba > 0 THEN 0.9 ELSE 1.0 END), 6) AS consistency_score,
-      concat_ws('; ', CASE WHEN bt > 0 THEN bt || ' timestamps could not be parsed' END,
-        CASE WHEN ba > 0 THEN ba || ' amounts are not numeric' END) AS consistency_issues FROM n""",
+      concat_ws('; ', CASE WHEN bt > 0 THEN 'unreadable_timestamps: ' || bt END,
+        CASE WHEN ba > 0 THEN 'unreadable_amounts: ' || ba END) AS consistency_issues FROM n""",
 )
 def q02(spark, d):
     return q.check_consistency(_dirty(spark, d)).withColumns(
@@ -244,8 +244,8 @@ def q02(spark, d):
     f"""WITH {_GAPPY}, n AS (SELECT count(*) FILTER (amount < 0) AS neg, count(*) FILTER (t > TIMESTAMP '{NOW}') AS late FROM g)
     SELECT neg AS negative_amounts, late AS future_timestamps, round((CASE WHEN neg > 0 THEN 0.95 ELSE 1.0 END)
       * (CASE WHEN late > 0 THEN 0.98 ELSE 1.0 END), 6) AS validity_score,
-      concat_ws('; ', CASE WHEN neg > 0 THEN neg || ' transactions have negative amounts' END,
-        CASE WHEN late > 0 THEN late || ' transactions have future timestamps' END) AS validity_issues FROM n""",
+      concat_ws('; ', CASE WHEN neg > 0 THEN 'negative_amounts: ' || neg END,
+        CASE WHEN late > 0 THEN 'future_timestamps: ' || late END) AS validity_issues FROM n""",
 )
 def q03(spark, d):
     return q.check_validity(_gappy(spark, d), NOW).withColumns(
@@ -261,8 +261,8 @@ _DUPES = """dup AS (SELECT (SELECT count(*) FROM g) - (SELECT count(*) FROM (SEL
     "q04_uniqueness",
     f"""WITH {_GAPPY}, {_DUPES} SELECT dr AS duplicate_rows, di AS duplicate_id,
       round((CASE WHEN dr > 0 THEN 0.9 ELSE 1.0 END) * (CASE WHEN di > 0 THEN 0.9 ELSE 1.0 END), 6) AS uniqueness_score,
-      concat_ws('; ', CASE WHEN dr > 0 THEN dr || ' duplicate rows found' END,
-        CASE WHEN di > 0 THEN di || ' duplicate values in id' END) AS uniqueness_issues FROM dup""",
+      concat_ws('; ', CASE WHEN dr > 0 THEN 'repeated_rows: ' || dr END,
+        CASE WHEN di > 0 THEN 'repeated_id: ' || di END) AS uniqueness_issues FROM dup""",
 )
 def q04(spark, d):
     return q.check_uniqueness(_gappy(spark, d)).withColumns(
@@ -281,8 +281,8 @@ def q04(spark, d):
       round(us, 6) AS uniqueness_score, round((cs + ks + vs + us) / 4, 6) AS quality_score,
       CASE WHEN (cs + ks + vs + us) / 4 >= 0.8 THEN 'excellent' WHEN (cs + ks + vs + us) / 4 >= 0.6 THEN 'good'
         WHEN (cs + ks + vs + us) / 4 >= 0.4 THEN 'fair' ELSE 'poor' END AS overall_quality,
-      concat_ws('; ', CASE WHEN cs < 0.95 THEN 'Review and handle missing values' END,
-        CASE WHEN dr > 0 THEN 'Remove duplicate transactions' END) AS recommendations FROM s""",
+      concat_ws('; ', CASE WHEN cs < 0.95 THEN 'fill_missing' END,
+        CASE WHEN dr > 0 THEN 'drop_repeated' END) AS recommendations FROM s""",
 )
 def q05(spark, d):
     row = q.quality_report(_gappy(spark, d), NOW)

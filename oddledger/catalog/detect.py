@@ -141,7 +141,7 @@ def _moments(view: str) -> str:
 
 _PEARSON = "pe AS (SELECT *, {} FROM mo)".format(
     ", ".join(
-        f"CASE WHEN s{i} > 1e-9 AND s{j} > 1e-9 THEN c{i}{j} / (s{i} * s{j}) END AS r{i}{j}"
+        f"CASE WHEN s{i} > 1e-9 * abs(m{i}) AND s{j} > 1e-9 * abs(m{j}) THEN c{i}{j} / (s{i} * s{j}) END AS r{i}{j}"
         for i, j in [(0, 1), (0, 2), (1, 2)]
     )
 )
@@ -153,6 +153,16 @@ def d2a(spark, d):
     return result(det.get(*CORRELATION).run(events_txn(spark, d)))
 
 
+_TINY = TXN.replace("value AS amount", "value * 1e-12 AS amount")
+
+
+@query("d2a_correlation_tiny_amounts", f"WITH {_moments(_TINY)}, {_PEARSON}, {_correlation_finish('pe')}")
+def d2a_tiny(spark, d):
+    """Amounts in another unit: the relation between features is the same."""
+    tiny = events_txn(spark, d).withColumn("amount", F.col("amount") * 1e-12)
+    return result(det.get(*CORRELATION).run(tiny, None))
+
+
 @query(
     "d2a_correlation_constant_hour",
     f"""WITH {ORDERS}, c AS (SELECT id, count(*) OVER (PARTITION BY account_id) AS n FROM txn)

@@ -121,7 +121,7 @@ def s06(spark, d):
     tables.write_transactions(_with_upload(t.add_time_features(events_txn(spark, d))), path)
     found = tables.load_transactions(spark, path, "2024-01-06")
     return found.select(
-        "id", "account_id", "amount", F.col("upload_id").cast("string").alias("upload_id"),
+        "id", "account_id", "amount", "upload_id",
         "hour", "day_of_week", "is_weekend",
     )
 
@@ -137,7 +137,7 @@ def s07(spark, d):
     tables.write_transactions(_with_upload(df), path)
     return (
         tables.load_transactions(spark, path)
-        .groupBy(F.col("upload_id").cast("string").alias("upload_id"))
+        .groupBy("upload_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
             r6(F.sum("amount_abs")).alias("total_abs"),
@@ -165,7 +165,7 @@ def s08(spark, d):
     tables.write_scores(run_strategy(events_txn(spark, d), DEFAULT_STRATEGY), path, "run-1")
     return (
         tables.read_run(spark, path, "run-1")
-        .groupBy(F.col("run_id").cast("string").alias("run_id"), "algorithm_name")
+        .groupBy("run_id", "algorithm_name")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.round(F.sum("score").cast("double"), 2).alias("total"),
@@ -291,6 +291,25 @@ def t05(spark, d):
     )
 
 
+@query(
+    "t05_more_forms",
+    """WITH x AS (SELECT event_id, CASE event_id % 6
+      WHEN 0 THEN strftime(ts, '%Y/%m/%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y%m%d')
+      WHEN 2 THEN strftime(ts, '%d.%m.%Y') WHEN 3 THEN strftime(ts, '%d-%m-%Y %H:%M:%S')
+      WHEN 4 THEN strftime(ts, '%b %-d, %Y') ELSE strftime(ts, '%d. %B %Y') END AS s FROM events)
+    SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(try_strptime(s, ['%Y/%m/%d %H:%M:%S', '%Y%m%d', '%d.%m.%Y',
+      '%d-%m-%Y %H:%M:%S', '%b %d, %Y', '%d. %B %Y'])) AS micros FROM x""",
+)
+def t05b(spark, d):
+    forms = [
+        "yyyy/MM/dd HH:mm:ss", "yyyyMMdd", "dd.MM.yyyy", "dd-MM-yyyy HH:mm:ss", "MMM d, yyyy", "dd. MMMM yyyy",
+    ]
+    key = F.col("id").cast("long") % 6
+    text = F.coalesce(*[F.when(key == i, F.date_format("timestamp", f)) for i, f in enumerate(forms)])
+    found = t.standardize_timestamps(events_txn(spark, d).withColumn("timestamp", text))
+    return found.select("id", micros("timestamp").alias("micros"))
+
+
 def _mixed_amounts(spark, d):
     """Signed amounts in plain, currency, thousands and European form, and junk."""
     key = F.col("id").cast("long") % 5

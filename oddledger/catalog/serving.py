@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from oddledger.catalog.common import FEATS, TXN, events_txn, joined, micros, r6
 from oddledger.catalog.detect import TIMESERIES_SQL, WEEKEND_SQL, weekend_sql, zscore_sql
 from oddledger.operators import detectors as det
+from oddledger.operators.groups import merge_rows
 from oddledger.operators.fusion import detector_log, run_summary
 from oddledger.operators.transform import add_time_features
 from oddledger.plans import serve, strategy, views
@@ -214,15 +215,21 @@ def f10(spark, d):
       round(CASE WHEN wr < 0.1 THEN 0.15 WHEN wr > 0.3 THEN 0.45 ELSE 0.3 END, 6) AS weekend_multiplier FROM st""",
 )
 def f11(spark, d):
-    df = add_time_features(events_txn(spark, d))
-    stats = strategy.data_characteristics(df)
-    tuned = strategy.tune(TWO, stats.first().asDict())
-    zscore, rule = (a["config"] for a in tuned["algorithms"])
-    return stats.select(
+    stats = strategy.data_characteristics(add_time_features(events_txn(spark, d)))
+    changes = strategy.tuning(TWO, stats)
+
+    def tuned(setting, default):
+        new = F.max(F.when(F.col("parameter") == setting, F.col("new")))
+        return F.coalesce(new, F.lit(float(default))).alias(setting)
+
+    settings = changes.agg(
+        tuned("threshold", 3.0), tuned("window_size", 30), tuned("weekend_multiplier", 0.3)
+    )
+    return merge_rows(stats.select("transaction_count"), settings).select(
         "transaction_count",
-        r6(F.lit(float(zscore.get("threshold", 3.0)))).alias("threshold"),
-        F.lit(zscore.get("window_size", 30)).alias("window_size"),
-        r6(F.lit(float(rule.get("weekend_multiplier", 0.3)))).alias("weekend_multiplier"),
+        r6("threshold").alias("threshold"),
+        F.col("window_size").cast("int").alias("window_size"),
+        r6("weekend_multiplier").alias("weekend_multiplier"),
     )
 
 

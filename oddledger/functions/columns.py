@@ -9,6 +9,7 @@ from oddledger.schema import ANY_ISO, LISTED_ISO, SLASHED, SLASHED_MINUTES
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 MICROS_PER_HOUR = 3_600_000_000.0
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 
 def col(c: str | Column) -> Column:
@@ -58,11 +59,37 @@ def parse_listed_timestamp(c: str | Column) -> Column:
     return F.coalesce(_iso(text, LISTED_ISO), _slashed(text, SLASHED))
 
 
+def _usual_form(text: Column) -> Column:
+    """Year first with slashes or without signs, day first with dots or dashes: as ISO or slashed."""
+    for pattern, form in (
+        (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?=[ T]|$)", "$1-$2-$3"),
+        (r"^(\d{4})(\d{2})(\d{2})(?=[ T]|$)", "$1-$2-$3"),
+        (r"^(\d{1,2})[.-](\d{1,2})[.-](\d{4})(?= |$)", "$1/$2/$3"),
+    ):
+        text = F.regexp_replace(text, pattern, form)
+    return text
+
+
+def _named_month(text: Column) -> Column:
+    """``Jan 5, 2024`` and ``5 January 2024``, with or without a time."""
+    pattern = r"^(?:([A-Za-z]{3})[a-z]*\.? (\d{1,2}),?|(\d{1,2})\.? ([A-Za-z]{3})[a-z]*\.?,?) (\d{4})( \d{1,2}:\d{2}(?::\d{2})?)?$"
+    part = [F.regexp_extract(text, pattern, i) for i in range(1, 7)]
+    name = F.initcap(F.concat(part[0], part[3]))
+    at = F.call_function("locate", name, F.lit(MONTHS))
+    date = F.concat_ws("-", part[4], ((at + 2) / 3).cast("int"), F.concat(part[1], part[2]))
+    known = text.rlike(pattern) & (at > 0) & ((at - 1) % 3 == 0)
+    return F.when(known, F.concat(date, part[5]).try_cast("timestamp"))
+
+
 def parse_timestamp(c: str | Column) -> Column:
-    """Timestamp in any ISO form, a listed form, or day/month/year hour:minute."""
-    text = F.trim(col(c))
+    """Timestamp in any ISO form, a listed form, day/month/year hour:minute, or another usual
+    form of a date; where day and month could be either, the day comes first."""
+    text = _usual_form(F.trim(col(c)))
     return F.coalesce(
-        _iso(text, ANY_ISO), _slashed(text, SLASHED), _slashed(text, SLASHED_MINUTES, ":00")
+        _iso(text, ANY_ISO),
+        _slashed(text, SLASHED),
+        _slashed(text, SLASHED_MINUTES, ":00"),
+        _named_month(text),
     )
 
 

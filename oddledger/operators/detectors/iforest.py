@@ -255,23 +255,18 @@ class IsolationForestDetector(Detector):
     }
 
     def validate(self, config: dict) -> None:
+        features, size = config["features"], config["max_samples"]
+        require(isinstance(features, list) and bool(features), "features: a list of names")
+        for name, least in (("n_estimators", 1), ("min_samples_fit", 10)):
+            fine = isinstance(config[name], int) and config[name] >= least
+            require(fine, f"{name}: a whole number from {least} on")
         share = config["contamination"]
-        require(is_number(share) and 0 < share <= 0.5, "contamination must be between 0 and 0.5")
-        trees = config["n_estimators"]
-        require(isinstance(trees, int) and trees >= 1, "n_estimators must be a positive integer")
-        size = config["max_samples"]
-        if size != "auto":
-            require(is_number(size), "max_samples must be 'auto', float, or int")
-            if isinstance(size, float):
-                require(0 < size <= 1, "max_samples as float must be between 0 and 1")
-            else:
-                require(size >= 1, "max_samples as int must be positive")
-        features = config["features"]
-        require(
-            isinstance(features, list) and len(features) > 0, "features must be a non-empty list"
-        )
-        least = config["min_samples_fit"]
-        require(isinstance(least, int) and least >= 10, "min_samples_fit must be an integer >= 10")
+        require(is_number(share) and 0 < share <= 0.5, "contamination: above 0, at most 0.5")
+        if size == "auto":
+            return
+        require(is_number(size), "max_samples: 'auto', a share of the rows or a number of rows")
+        top = 1 if isinstance(size, float) else float("inf")
+        require(0 < size <= top, "max_samples: a share is at most 1, a number at least 1")
 
     def detect(self, txns: Transactions, config: dict) -> DataFrame:
         if config["account_specific"]:

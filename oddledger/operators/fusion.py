@@ -92,9 +92,12 @@ def fuse(
     )
 
 
-def run_summary(fused: DataFrame) -> DataFrame:
-    """flagged and all transactions, rate, detectors that gave scores."""
-    return fused.agg(
+def run_summary(fused: DataFrame, skipped: dict[str, str] | None = None) -> DataFrame:
+    """flagged and all transactions, rate, detectors that gave scores.
+
+    With ``skipped`` the detectors that could not run are listed with the reason.
+    """
+    summary = fused.agg(
         F.count_if("is_anomaly").alias("anomaly_count"),
         F.count(F.lit(1)).alias("total_transactions"),
         F.coalesce(
@@ -105,6 +108,11 @@ def run_summary(fused: DataFrame) -> DataFrame:
             "algorithms_executed"
         ),
     )
+    if skipped is None:
+        return summary
+    pairs = [F.lit(text) for item in sorted(skipped.items()) for text in item]
+    listed = F.create_map(*pairs).cast("map<string,string>")
+    return summary.withColumn("algorithms_skipped", listed)
 
 
 def detector_log(scores: DataFrame) -> DataFrame:

@@ -1,16 +1,16 @@
 """Per-key work that stays balanced when one key holds a large share of all rows.
 
 A key is *hot* when it holds more rows than one task should: more than
-``spark.oddledger.groupRows`` and more than a fair share (all rows / shuffle
-partitions).  There are therefore never more hot keys than shuffle partitions,
-and a table of hot keys may be broadcast.  Cold keys use ordinary windows; hot
-keys are range-partitioned on (key, order), numbered, and cut into blocks.
+``spark.oddledger.groupRows``, whatever the size of the table.  Cold keys use ordinary
+windows; hot keys are range-partitioned on (key, order), numbered, and cut into blocks.
+The table of hot keys and what is derived from it are stored and counted, and broadcast
+only up to ``BROADCAST_ROWS`` rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -18,24 +18,33 @@ from pyspark.sql import functions as F
 from oddledger.session import durable, group_rows, shuffle_partitions
 
 _ALL = "_all"
+BROADCAST_ROWS = 200_000
+
+
+def join_side(side: DataFrame) -> DataFrame:
+    """A stored side of a join: broadcast up to ``BROADCAST_ROWS`` rows, else shuffled."""
+    side = durable(side)
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 POSITION = "_position"
 
 
 @dataclass
 class HotKeys:
-    """Keys too large for one task, with their row counts."""
+    """Keys too large for one task; ``table`` is None when there are none."""
 
     key: str
     table: DataFrame | None = None
-    keys: list = field(default_factory=list)
 
     def __bool__(self) -> bool:
-        return bool(self.keys)
+        return self.table is not None
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(rows of cold keys, rows of hot keys)."""
-        names = F.broadcast(self.table.select(self.key))
-        return df.join(names, self.key, "left_anti"), df.join(names, self.key, "left_semi")
+        return df.join(self.table, self.key, "left_anti"), df.join(
+            self.table, self.key, "left_semi"
+        )
 
 
 @dataclass
@@ -68,18 +77,12 @@ def hot_keys(df: DataFrame, key: str) -> HotKeys:
 
 def key_facts(df: DataFrame, key: str) -> tuple[int, HotKeys]:
     """Number of rows and the hot keys."""
-    spark = df.sparkSession
-    limit = group_rows(spark)
-    share = shuffle_partitions(spark)
+    limit = group_rows(df.sparkSession)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total, largest = counts.agg(F.sum("n"), F.max("n")).first()
-    bound = max(limit, (total or 0) / share)
-    if not total or largest <= bound:
+    if not total or largest <= limit:
         return total or 0, HotKeys(key)
-    # fewer than ``share`` keys can each hold more than rows / share
-    rows = counts.filter(F.col("n") > bound).collect()
-    table = spark.createDataFrame(rows, counts.schema)
-    return total, HotKeys(key, table, [r[key] for r in rows])
+    return total, HotKeys(key, join_side(counts.filter(F.col("n") > limit).select(key)))
 
 
 def position_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
@@ -104,7 +107,7 @@ def position_rows(df: DataFrame, keys: list[str], order: list[str], out: str) ->
         keys,
     )
     return (
-        numbered.join(F.broadcast(spans), [*keys, "_part"])
+        numbered.join(join_side(spans), [*keys, "_part"])
         .withColumn(out, F.col("_mid") - F.col("_first") + F.col("_before") + 1)
         .drop("_mid", "_part", "_first", "_n", "_before", "_total")
     )
@@ -190,7 +193,7 @@ def grouped_columns(
             done = done.withColumn(sequence, F.col(POSITION))
     if totals:
         stats = key_table(done, key, aggregates, quantiles)
-        done = done.join(F.broadcast(stats), key, "left")
+        done = done.join(join_side(stats), key, "left")
     return result.unionByName(done.select(result.columns))
 
 
@@ -261,7 +264,7 @@ def sorted_quantiles(
         ranged.withColumn(
             "_run", F.sum("_c").over(running.rowsBetween(Window.unboundedPreceding, 0))
         )
-        .join(F.broadcast(spans), [*keys, "_part"])
+        .join(join_side(spans), [*keys, "_part"])
         .withColumn("_upto", F.col("_before") + F.col("_run"))
         .withColumn("_from", F.col("_upto") - F.col("_c"))
     )

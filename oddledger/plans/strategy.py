@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import copy
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddledger.errors import AnalysisError, ConfigError
 from oddledger.functions.columns import sample_skewness
 from oddledger.operators.detectors import Transactions, get
-from oddledger.operators.fusion import METHODS, fuse
+from oddledger.operators.fusion import METHODS, fuse, run_summary
 from oddledger.operators.groups import merge_rows, table_stats
+from oddledger.operators.quality import extra_copies
 from oddledger.schema import REQUIRED_FIELDS
 
 DEFAULT_METHOD = "max"
@@ -80,73 +82,63 @@ DEFAULT_STRATEGY = PRESETS["Basic Statistical Detection"]
 
 
 def check_strategy(strategy) -> dict:
-    """``{valid, errors, warnings}`` without touching any data."""
-    errors: list[str] = []
-    warnings: list[str] = []
+    """``{valid, errors, warnings}`` as short codes, without touching any data."""
+    found = [*_shape_problems(strategy)]
+    return {
+        "valid": not any(level == "error" for level, _ in found),
+        "errors": [text for level, text in found if level == "error"],
+        "warnings": [text for level, text in found if level == "warning"],
+    }
+
+
+def _shape_problems(strategy) -> Iterator[tuple[str, str]]:
     if not isinstance(strategy, dict):
-        errors.append("Configuration must be a dictionary")
-        return {"valid": False, "errors": errors, "warnings": warnings}
-    specs = strategy.get("algorithms")
-    if "algorithms" not in strategy:
-        errors.append("Configuration must include 'algorithms' section")
-    elif not isinstance(specs, list):
-        errors.append("Algorithms must be a list")
-    elif not specs:
-        errors.append("At least one algorithm must be configured")
-    else:
-        for i, spec in enumerate(specs):
-            errors += _detector_problems(spec, i)
-            if isinstance(spec, dict) and "config" not in spec and "name" in spec:
-                warnings.append(
-                    f"Algorithm {spec.get('type')}.{spec['name']} using default configuration"
-                )
-        if not any(s.get("enabled", True) for s in specs if isinstance(s, dict)):
-            warnings.append("No algorithms are enabled")
-    if "global_settings" not in strategy:
-        warnings.append("No global settings specified, using defaults")
+        yield "error", "strategy: not a mapping"
+        return
+    if "global_settings" in strategy:
+        yield from _settings_problems(strategy["global_settings"])
     else:
-        bad, odd = _settings_problems(strategy["global_settings"])
-        errors += bad
-        warnings += odd
-    return {"valid": not errors, "errors": errors, "warnings": warnings}
+        yield "warning", "global_settings: defaults"
+    specs = strategy.get("algorithms")
+    if not isinstance(specs, list) or not specs:
+        yield "error", "algorithms: a list with at least one detector"
+        return
+    for place, spec in enumerate(specs):
+        yield from _detector_problems(spec, f"algorithms[{place}]")
+    if all(isinstance(s, dict) and not s.get("enabled", True) for s in specs):
+        yield "warning", "algorithms: all switched off"
 
 
-def _detector_problems(spec, index: int) -> list[str]:
+def _detector_problems(spec, place: str) -> Iterator[tuple[str, str]]:
     if not isinstance(spec, dict):
-        return [f"Algorithm {index} must be a dictionary"]
-    missing = [f for f in ("type", "name", "enabled") if f not in spec]
-    if missing:
-        return [f"Algorithm {index} missing required field: {f}" for f in missing]
-    label = f"Algorithm {spec['type']}.{spec['name']}"
-    try:
-        detector = get(spec["type"], spec["name"])
-    except ConfigError as e:
-        return [f"{label} not found: {e}"]
+        yield "error", f"{place}: not a mapping"
+        return
+    absent = {"type", "name", "enabled"} - spec.keys()
+    if absent:
+        yield "error", f"{place}: without {', '.join(sorted(absent))}"
+        return
+    if "config" not in spec:
+        yield "warning", f"{place}: default configuration"
     try:
-        detector.merged(spec.get("config"))
+        get(spec["type"], spec["name"]).merged(spec.get("config"))
     except (ConfigError, TypeError) as e:
-        return [f"{label} config invalid: {e}"]
-    return []
+        yield "error", f"{place}: {e}"
 
 
-def _settings_problems(settings) -> tuple[list[str], list[str]]:
+def _settings_problems(settings) -> Iterator[tuple[str, str]]:
     if not isinstance(settings, dict):
-        return ["Global settings must be a dictionary"], []
-    errors, warnings = [], []
+        yield "error", "global_settings: not a mapping"
+        return
+    limit = settings.get("confidence_threshold", DEFAULT_THRESHOLD)
+    number = isinstance(limit, (int, float)) and not isinstance(limit, bool)
+    if not (number and 0 <= limit <= 1):
+        yield "error", "confidence_threshold: between 0 and 1"
     method = settings.get("aggregation_method", DEFAULT_METHOD)
     if method not in METHODS:
-        errors.append(f"Invalid aggregation method '{method}'. Must be one of: {METHODS}")
-    if method == "weighted_average":
-        if "weights" not in settings:
-            warnings.append("Weighted average method specified but no weights provided")
-        elif not isinstance(settings["weights"], dict):
-            errors.append("Weights must be a dictionary")
-    limit = settings.get("confidence_threshold", DEFAULT_THRESHOLD)
-    if isinstance(limit, bool) or not isinstance(limit, (int, float)):
-        errors.append("Confidence threshold must be a number")
-    elif not 0 <= limit <= 1:
-        errors.append("Confidence threshold must be between 0 and 1")
-    return errors, warnings
+        yield "error", f"aggregation_method: one of {', '.join(METHODS)}"
+    elif method == "weighted_average" and not isinstance(settings.get("weights"), dict):
+        given = "weights" in settings
+        yield ("error", "weights: not a mapping") if given else ("warning", "weights: none")
 
 
 def _enabled(strategy: dict) -> list[dict]:
@@ -216,10 +208,15 @@ def analyse(data: DataFrame | Transactions, strategy: dict | None = None) -> Dat
     return fuse_strategy(plan_strategy(data, strategy), strategy)
 
 
+def summarise(data: DataFrame | Transactions, strategy: dict | None = None) -> DataFrame:
+    """F7 of a run of the strategy, with the detectors that were left out and why."""
+    strategy = strategy or DEFAULT_STRATEGY
+    run = plan_strategy(data, strategy)
+    return run_summary(fuse_strategy(run, strategy), run.skipped)
+
+
 def data_characteristics(df: DataFrame) -> DataFrame:
     """one row of facts a strategy can be tuned by."""
-    from oddledger.operators.quality import _extra_copies
-
     rows = df.count()
     nulls = [F.avg(F.col(f"`{c}`").isNotNull().cast("double")) for c in df.columns]
     completeness = nulls[0]
@@ -248,7 +245,7 @@ def data_characteristics(df: DataFrame) -> DataFrame:
         aggs["business_hours_ratio"] = F.avg(F.col("is_business_hours").cast("double"))
     row = merge_rows(
         table_stats(df, aggs, {"amount_median": ("amount", 0.5)}, rows),
-        _extra_copies(df, df.columns, "duplicate_rows"),
+        extra_copies(df, df.columns, "duplicate_rows"),
     )
     share = F.try_divide(F.col("amount_std"), F.col("amount_mean"))
     return row.withColumns(
@@ -262,53 +259,74 @@ def data_characteristics(df: DataFrame) -> DataFrame:
     ).drop("duplicate_rows")
 
 
-def tune(strategy: dict, stats: dict) -> dict:
-    """a changed copy of the strategy, by the facts of ``data_characteristics``."""
+# How facts about the data change settings.  Where the fact lies below or
+# above the limit, the setting is scaled, kept at most, or kept at least.
+TUNING = [
+    # kind, setting, default, fact, side, limit, change, by
+    ("statistical", "threshold", 3.0, "outlier_potential", "below", 0.5, "scale", 0.8),
+    ("statistical", "threshold", 3.0, "outlier_potential", "above", 2.0, "scale", 1.2),
+    ("statistical", "window_size", 30, "transaction_count", "below", 100, "at most", 10),
+    ("statistical", "window_size", 30, "transaction_count", "above", 10_000, "at least", 100),
+    ("rule_based", "weekend_multiplier", 0.3, "weekend_ratio", "below", 0.1, "scale", 0.5),
+    ("rule_based", "weekend_multiplier", 0.3, "weekend_ratio", "above", 0.3, "scale", 1.5),
+    ("ml_based", "contamination", 0.1, "transaction_count", "below", 1000, "at most", 0.05),
+    ("ml_based", "n_estimators", 100, "transaction_count", "below", 500, "at most", 50),
+    ("ml_based", "n_estimators", 100, "transaction_count", "above", 10_000, "at least", 200),
+]
+LEAST_COMPLETE, STRICTER, STRICTEST = 0.8, 1.2, 0.9
+GLOBAL = -1
+
+
+def tuning(strategy: dict, facts: DataFrame) -> DataFrame:
+    """(place, detector, parameter, old, new) of the settings that the facts change.
+
+    ``facts`` is the row of ``data_characteristics``; ``place`` is the detector's index in
+    the strategy, -1 for the global settings.  A fact that is absent changes nothing.
+    """
+    changes = []
+
+    def change(place: int, detector: str, setting: str, old, applies: Column, new: Column) -> None:
+        row = F.struct(
+            F.lit(place).alias("place"),
+            F.lit(detector).alias("detector"),
+            F.lit(setting).alias("parameter"),
+            F.lit(float(old)).alias("old"),
+            new.cast("double").alias("new"),
+        )
+        changes.append(F.when(applies, row))
+
+    for place, spec in enumerate(strategy.get("algorithms", [])):
+        for kind, setting, default, fact, side, limit, how, by in TUNING:
+            if spec.get("type") != kind or fact not in facts.columns:
+                continue
+            old = spec.get("config", {}).get(setting, default)
+            value = F.col(fact)
+            applies = value < limit if side == "below" else value > limit
+            by, was = F.lit(float(by)), F.lit(float(old))
+            new = {"scale": was * by, "at most": F.least(was, by), "at least": F.greatest(was, by)}
+            change(place, f"{kind}.{spec.get('name')}", setting, old, applies, new[how])
+    old = strategy.get("global_settings", {}).get("confidence_threshold", DEFAULT_THRESHOLD)
+    loose = F.col("completeness") < LEAST_COMPLETE
+    new = F.least(F.lit(float(old)) * STRICTER, F.lit(STRICTEST))
+    change(GLOBAL, "global_settings", "confidence_threshold", old, loose, new)
+    return facts.select(F.inline(F.array_compact(F.array(*changes))))
+
+
+def with_tuning(strategy: dict, changes: DataFrame) -> dict:
+    """A copy of the strategy with the changes; they are as few as its settings."""
     tuned = copy.deepcopy(strategy)
-    rows = stats["transaction_count"]
-    for spec in tuned.get("algorithms", []):
-        config = spec.setdefault("config", {})
-        adjust = {"statistical": _tune_statistical, "rule_based": _tune_rules, "ml_based": _tune_ml}
-        if spec.get("type") in adjust:
-            adjust[spec["type"]](config, stats, rows)
-    settings = tuned.setdefault("global_settings", {})
-    if stats["completeness"] < 0.8:
-        limit = settings.get("confidence_threshold", DEFAULT_THRESHOLD)
-        settings["confidence_threshold"] = min(limit * 1.2, 0.9)
+    for row in changes.collect():
+        if row["place"] == GLOBAL:
+            config = tuned.setdefault("global_settings", {})
+        else:
+            config = tuned["algorithms"][row["place"]].setdefault("config", {})
+        whole = row["parameter"] in ("window_size", "n_estimators")
+        config[row["parameter"]] = int(row["new"]) if whole else row["new"]
     return tuned
 
 
-def _tune_statistical(config: dict, stats: dict, rows: int) -> None:
-    spread = stats.get("outlier_potential", 1.0)
-    factor = 0.8 if spread < 0.5 else 1.2 if spread > 2.0 else None
-    if factor:
-        config["threshold"] = config.get("threshold", 3.0) * factor
-    window = config.get("window_size", 30)
-    if rows < 100:
-        config["window_size"] = min(window, 10)
-    elif rows > 10_000:
-        config["window_size"] = max(window, 100)
-
-
-def _tune_rules(config: dict, stats: dict, rows: int) -> None:
-    ratio = stats.get("weekend_ratio", 0.2)
-    factor = 0.5 if ratio < 0.1 else 1.5 if ratio > 0.3 else None
-    if factor:
-        config["weekend_multiplier"] = config.get("weekend_multiplier", 0.3) * factor
-
-
-def _tune_ml(config: dict, stats: dict, rows: int) -> None:
-    if rows < 1000:
-        config["contamination"] = min(config.get("contamination", 0.1), 0.05)
-    trees = config.get("n_estimators", 100)
-    if rows < 500:
-        config["n_estimators"] = min(trees, 50)
-    elif rows > 10_000:
-        config["n_estimators"] = max(trees, 200)
-
-
 def tune_for(strategy: dict, df: DataFrame) -> dict:
-    return tune(strategy, data_characteristics(df).first().asDict())
+    return with_tuning(strategy, tuning(strategy, data_characteristics(df)))
 
 
 def compatibility(strategy: dict, df: DataFrame) -> DataFrame:
@@ -336,7 +354,7 @@ def sample_by_id(df: DataFrame, size: int) -> DataFrame:
     """A repeatable sample: the rows with the smallest id hashes."""
     if not 10 <= size <= 1000:
         raise ConfigError("sample_size must be between 10 and 1000")
-    return df.orderBy(F.xxhash64("id"), "id").limit(size)
+    return df.orderBy(F.sha2(F.col("id").cast("string"), 256), "id").limit(size)
 
 
 def preview(strategy: dict, df: DataFrame, sample_size: int = 100) -> DataFrame:

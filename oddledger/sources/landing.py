@@ -88,31 +88,28 @@ def audit_landing(
     )
     size = F.col("size")
     errors = messages(
-        (size == 0, "File is empty"),
+        (size == 0, "file.empty"),
         (
             size > max_bytes,
             F.concat(
-                F.lit("File size ("), mb(size), F.lit("MB) exceeds maximum allowed size ("),
-                mb(F.lit(max_bytes)), F.lit("MB)"),
+                F.lit("file.size: "), mb(size), F.lit(" MB, at most "), mb(F.lit(max_bytes)),
+                F.lit(" MB"),
             ),
         ),
         (
             F.col("type").isNull() | ~F.col("type").isin(allowed),
-            F.concat(
-                F.lit("File type '"), F.coalesce("type", ending),
-                F.lit(f"' is not supported. Allowed types: {', '.join(allowed)}"),
-            ),
+            F.concat(F.lit("file.type: "), F.coalesce("type", ending)),
         ),
-        (bad_part.isNotNull(), F.concat(F.lit("Filename contains dangerous character: "), bad_part)),
-        (F.length("file") > MAX_NAME, f"Filename is too long (max {MAX_NAME} characters)"),
+        (bad_part.isNotNull(), F.concat(F.lit("name.part: "), bad_part)),
+        (F.length("file") > MAX_NAME, f"name.long: at most {MAX_NAME}"),
         (
             (size > 0) & (F.col("broken") > 0),
-            F.concat(F.lit("Invalid "), F.upper("type"), F.lit(" format")),
+            F.concat(F.lit("content.broken: "), "type"),
         ),
     )
     warnings = messages(
-        (size > LARGE_FILE_BYTES, "Large file detected - processing may take longer"),
-        (~F.contains("file", F.lit(".")), "Filename has no extension"),
+        (size > LARGE_FILE_BYTES, "file.large"),
+        (~F.contains("file", F.lit(".")), "name.no_ending"),
     )
     return files.select(
         "path",

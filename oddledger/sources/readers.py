@@ -8,28 +8,38 @@ from pyspark.sql import types as T
 
 from oddledger.errors import IngestError
 from oddledger.schema import REQUIRED_FIELDS, TABULAR_FILE_TYPES
-from oddledger.session import durable
+from oddledger.session import durable, staged
 
 BROADCAST_BLOCKS = 200_000
+ROW_TAGS = ("_source_file", "_source_path", "_row_number")
 
 
 def number_rows(df: DataFrame) -> DataFrame:
-    """Add ``_source_file`` and the 1-based ``_row_number`` within the file.
+    """Add ``_source_file``, ``_source_path`` and the 1-based ``_row_number`` within the file.
 
-    A file is read as several blocks, each by one task, in order.  Counting the
-    rows per block gives the offset of every block; no file passes through a
-    single task and the rows themselves are not shuffled.
+    A file is read as several blocks, each by one task, in order.  The rows are stored
+    once with their block, as the cut into blocks follows the cluster and may differ from
+    scan to scan; the rows of the earlier blocks of a file give the offset of a block.  No
+    file passes through a single task and the rows themselves are not shuffled.
     """
-    tagged = df.select(
-        "*",
-        F.col("_metadata.file_name").alias("_source_file"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_mid"),
+    stored = staged(
+        df.select(
+            "*",
+            F.col("_metadata.file_name").alias("_source_file"),
+            F.col("_metadata.file_path").alias("_source_path"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_mid"),
+        ),
+        "rows",
     )
-    earlier = Window.partitionBy("_file").orderBy("_start")
+    return numbered_blocks(stored)
+
+
+def numbered_blocks(stored: DataFrame) -> DataFrame:
+    """``_row_number`` of stored rows from ``_source_path``, ``_start`` and ``_mid``."""
+    earlier = Window.partitionBy("_source_path").orderBy("_start")
     blocks = durable(
-        tagged.groupBy("_file", "_start")
+        stored.groupBy("_source_path", "_start")
         .agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .withColumn(
             "_before",
@@ -40,10 +50,11 @@ def number_rows(df: DataFrame) -> DataFrame:
         .drop("_n")
     )
     side = F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+    kept = [c for c in stored.columns if c not in ("_start", "_mid")]
     return (
-        tagged.join(side, ["_file", "_start"])
+        stored.join(side, ["_source_path", "_start"])
         .withColumn("_row_number", F.col("_mid") - F.col("_first") + F.col("_before") + 1)
-        .drop("_file", "_start", "_mid", "_first", "_before")
+        .select(*[F.col(f"`{c}`") for c in kept], "_row_number")
     )
 
 
@@ -73,32 +84,76 @@ def read_csv(
     return tidy_text(number_rows(reader.csv(path)))
 
 
+def line_files(spark: SparkSession, path: str) -> DataFrame:
+    """(_source_path, lines): whether a JSON file holds one object on each line.
+
+    It does when it has several lines and each of them opens and closes an object.
+    """
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_source_path"), F.trim("value").alias("line")
+    )
+    whole = F.col("line").startswith("{") & F.col("line").endswith("}")
+    return (
+        text.filter("line <> ''")
+        .groupBy("_source_path")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("objects"))
+        .select("_source_path", ((F.col("n") > 1) & (F.col("n") == F.col("objects"))).alias("lines"))
+    )
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """An array of objects, ``{"transactions": [...]}`` or one object per file."""
-    reader = spark.read.options(multiLine=True, primitivesAsString=True)
-    if schema is not None:
-        reader = reader.schema(schema)
-    raw = reader.json(path)
-    wrapped = "transactions" in raw.columns and isinstance(
+    """An array of objects, ``{"transactions": [...]}``, one object per file or per line.
+
+    Files of all these shapes may lie side by side; no record of any is left out.
+    """
+    shapes = staged(line_files(spark, path), "shapes")
+    kinds = {r["lines"] for r in shapes.select("lines").distinct().collect()}
+    parts = []
+    for lines in sorted(kinds or {False}):
+        reader = spark.read.options(multiLine=not lines, primitivesAsString=True)
+        if schema is not None:
+            reader = reader.schema(schema)
+        raw = number_rows(reader.json(path))
+        if len(kinds) > 1:
+            own = shapes.filter(F.col("lines") == lines).select("_source_path")
+            raw = raw.join(own, "_source_path", "left_semi").select(raw.columns)
+            raw = _without_empty(raw)
+        parts.append(_unwrapped(raw))
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return tidy_text(rows)
+
+
+def _without_empty(rows: DataFrame) -> DataFrame:
+    """Leave out columns that no row fills: they come from files of another shape."""
+    names = [c for c in rows.columns if c not in ROW_TAGS]
+    if not names:
+        return rows
+    filled = rows.agg(
+        *[F.max(F.col(f"`{c}`").isNotNull()).alias(f"_{i}") for i, c in enumerate(names)]
+    ).first()
+    return rows.drop(*[c for i, c in enumerate(names) if not filled[i]])
+
+
+def _unwrapped(raw: DataFrame) -> DataFrame:
+    """Records of wrapped files as rows beside those of plain files."""
+    if "transactions" not in raw.columns or not isinstance(
         raw.schema["transactions"].dataType, T.ArrayType
-    )
-    if not wrapped:
-        return tidy_text(number_rows(raw))
+    ):
+        return raw
     inside = raw.filter(F.col("transactions").isNotNull()).select(
-        F.col("_metadata.file_name").alias("_source_file"),
-        F.posexplode("transactions").alias("_at", "_t"),
+        "_source_file", "_source_path", F.posexplode("transactions").alias("_at", "_t")
     )
     inside = inside.select(
-        "_t.*", "_source_file", (F.col("_at") + 1).cast("long").alias("_row_number")
+        "_t.*", "_source_file", "_source_path", (F.col("_at") + 1).cast("long").alias("_row_number")
     )
-    others = [c for c in raw.columns if c != "transactions"]
-    if not others:
-        return tidy_text(inside)
-    plain = number_rows(raw).filter(F.col("transactions").isNull()).drop("transactions")
-    known = set(inside.columns) | {"_source_file", "_row_number"}
-    if not known.intersection(others):
-        return tidy_text(inside)  # the other fields only describe the wrapper
-    return tidy_text(inside.unionByName(plain, allowMissingColumns=True))
+    plain = raw.filter(F.col("transactions").isNull()).drop("transactions")
+    others = [c for c in plain.columns if c not in ROW_TAGS]
+    if not others or plain.isEmpty():
+        return inside
+    # what only describes a wrapper is empty in every plain row
+    return inside.unionByName(_without_empty(plain), allowMissingColumns=True)
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str = "transaction") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oddledger.operators.detectors.weekend import RULES
 from oddledger.schema import DERIVED_FIELDS, DERIVED_SCHEMA, TXN_SCHEMA
@@ -48,6 +49,13 @@ def _overwrite(df: DataFrame, path: str, partition: str) -> None:
     )
 
 
+def _stored(spark: SparkSession, path: str, partition: str) -> DataFrame:
+    """A stored table whose partition values are text as written (``007`` stays ``007``)."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == partition else f for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def write_transactions(df: DataFrame, path: str) -> None:
     """S7"""
     _overwrite(pack_derived(core_columns(df)), path, "upload_id")
@@ -55,20 +63,20 @@ def write_transactions(df: DataFrame, path: str) -> None:
 
 def load_transactions(spark: SparkSession, path: str, upload_id: str | None = None) -> DataFrame:
     """One upload is one partition; other partitions are not listed."""
-    df = spark.read.parquet(path)
+    df = _stored(spark, path, "upload_id")
     if upload_id is not None:
         df = df.filter(F.col("upload_id") == upload_id)
     return unpack_derived(df) if "processed_data" in df.columns else df
 
 
 def score_rows(scores: DataFrame, run_id: str) -> DataFrame:
-    """Scores in stored form."""
+    """Scores in stored form; a z-score has no bound, so the score stays a double."""
     return scores.select(
         "transaction_id",
         F.lit(run_id).alias("run_id"),
         "algorithm_type",
         "algorithm_name",
-        F.col("score").cast("decimal(10,6)").alias("score"),
+        F.col("score").cast("double").alias("score"),
         F.col("confidence").cast("decimal(5,4)").alias("confidence"),
         "metadata",
     )
@@ -99,4 +107,4 @@ def write_rule_flags(weekend_result: DataFrame, path: str, run_id: str) -> None:
 
 def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     """Scores or flags of one run, by partition."""
-    return spark.read.parquet(path).filter(F.col("run_id") == run_id)
+    return _stored(spark, path, "run_id").filter(F.col("run_id") == run_id)

@@ -17,15 +17,15 @@ from oddledger.operators.transform import (
     parse_rows,
     require_fields,
 )
-from oddledger.session import staged
-from oddledger.sources.readers import tidy_text
+from oddledger.session import staged, temporary
+from oddledger.sources.readers import numbered_blocks, tidy_text
 from oddledger.sources.tables import write_transactions
 
 KEY = "_account_key"
 
 
 def landed_files(spark: SparkSession, folder: str, schema: T.StructType, files: int | None = None):
-    """Stream of text rows with file name and the position of the row."""
+    """Stream of text rows with the file and block they come from."""
     reader = spark.readStream.schema(schema).options(
         header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
     )
@@ -34,28 +34,33 @@ def landed_files(spark: SparkSession, folder: str, schema: T.StructType, files:
     return reader.csv(folder).select(
         "*",
         F.col("_metadata.file_name").alias("_source_file"),
-        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_path").alias("_source_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
     )
 
 
 def standardise_stream(rows: DataFrame) -> DataFrame:
     """The row-wise part of the transform; needs no state."""
     df = parse_rows(tidy_text(rows))
-    return df.withColumn("upload_id", F.sha2("_file", 256)).drop("_file")
+    return df.withColumn("upload_id", F.sha2("_source_path", 256))
 
 
 def store_batch(batch: DataFrame, out_dir: str) -> None:
     """Ids and account order per upload, then the upload's partition is replaced.
 
-    The parsed batch is stored with a fixed row id before anything reads it twice.
+    The parsed batch is stored before anything reads it twice, and the copy is removed
+    when the uploads are written.  Ids follow from the file and the row alone, so they do
+    not depend on which files share a batch.
     """
-    rows = staged(batch.withColumn("_row_tag", F.monotonically_increasing_id()), "batch")
-    df = dedupe_ids(ensure_ids(rows))
-    df = require_fields(df, check_empty=False)
-    df = add_amount_category(add_amount_features(add_time_features(df)))
-    df = df.withColumn(KEY, F.concat_ws("|", "upload_id", "account_id"))
-    df = add_account_order(df, key=KEY).drop(KEY)
-    write_transactions(df, out_dir)
+    with temporary(batch.sparkSession):
+        stored = staged(batch.withColumn("_mid", F.monotonically_increasing_id()), "batch")
+        rows = numbered_blocks(stored)
+        df = dedupe_ids(ensure_ids(rows), within=("upload_id",))
+        df = require_fields(df, check_empty=False).drop("_source_path", "_row_number")
+        df = add_amount_category(add_amount_features(add_time_features(df)))
+        df = df.withColumn(KEY, F.concat_ws("|", "upload_id", "account_id"))
+        df = add_account_order(df, key=KEY).drop(KEY)
+        write_transactions(df, out_dir)
 
 
 def start_ingest(

@@ -17,11 +17,11 @@ def test_typed_rows(spark):
         "id string, amount double, account_id string",
     ).withColumn("timestamp", F.lit("2023-05-05").cast("timestamp"))
     found = {r["id"]: r for r in v.validate_rows(df, NOW).collect()}
-    assert found["T1"]["warnings"] == ["Zero amount transaction"]
-    assert found["T2"]["warnings"] == ["Negative amount transaction", "Account ID is very short"]
-    assert "Very large amount transaction" in found["T3"]["warnings"]
-    assert "Account ID appears to be a test account" in found["T3"]["warnings"]
-    assert found["T4"]["warnings"] == ["Amount has more than 2 decimal places"]
+    assert found["T1"]["warnings"] == ["amount.zero"]
+    assert found["T2"]["warnings"] == ["amount.negative", "account.short"]
+    assert "amount.large" in found["T3"]["warnings"]
+    assert "account.test" in found["T3"]["warnings"]
+    assert found["T4"]["warnings"] == ["amount.fraction"]
     assert all(not r["errors"] for r in found.values())
 
 
@@ -29,7 +29,7 @@ def test_missing_column_is_an_error_on_every_row(spark):
     df = spark.createDataFrame([("1", None)], "amount string, account_id string")
     row = v.validate_rows(df, NOW).first()
     assert row["errors"] == [
-        "Missing required field: timestamp", "Required field 'account_id' is null"
+        "field.absent: timestamp", "field.null: account_id"
     ]
 
 
@@ -40,8 +40,8 @@ def test_batch(spark):
     ).withColumn("id", F.lit("same"))
     row = v.validate_batch(df, NOW).first()
     assert row["total_transactions"] == 3 and not row["valid"]
-    assert row["batch_errors"] == ["Duplicate transaction IDs detected"]
-    assert row["batch_warnings"] == ["Transactions are not chronologically ordered"]
+    assert row["batch_errors"] == ["batch.repeated_ids"]
+    assert row["batch_warnings"] == ["batch.unordered"]
     assert row["span_days"] == 2
 
 
@@ -55,7 +55,7 @@ def test_order_between_files(spark):
 def test_quality_of_empty_and_clean_data(spark):
     schema = "id string, amount double, timestamp timestamp, account_id string"
     row = q.quality_report(spark.createDataFrame([], schema), NOW).first()
-    assert row["overall_quality"] == "poor" and row["issues"] == ["Dataset is empty"]
+    assert row["overall_quality"] == "poor" and row["issues"] == ["no_rows"]
     clean = spark.range(3).select(
         F.col("id").cast("string").alias("id"), F.lit(1.0).alias("amount"),
         F.lit("2023-01-01").cast("timestamp").alias("timestamp"), F.lit("A").alias("account_id"),

@@ -294,6 +294,8 @@ def test_strategy_skips_what_cannot_run(spark):
     run = strategy.plan_strategy(df, plan)
     assert run.detectors == [("statistical", "zscore")]
     assert list(run.skipped) == ["statistical.correlation"]
+    listed = strategy.summarise(df, plan).first()["algorithms_skipped"]
+    assert listed == run.skipped
     with pytest.raises(AnalysisError):
         strategy.plan_strategy(df, {"algorithms": plan["algorithms"][:1]})
 
@@ -312,7 +314,7 @@ def test_check_strategy():
     assert not strategy.check_strategy({"algorithms": []})["valid"]
 
 
-def test_tune_changes_a_copy():
+def test_tune_changes_a_copy(spark):
     plan = {
         "algorithms": [
             {"type": "statistical", "name": "zscore", "config": {"threshold": 3.0, "window_size": 30}},
@@ -322,7 +324,9 @@ def test_tune_changes_a_copy():
         "global_settings": {"confidence_threshold": 0.8},
     }
     stats = {"transaction_count": 50, "outlier_potential": 0.2, "weekend_ratio": 0.05, "completeness": 0.5}
-    tuned = strategy.tune(plan, stats)
+    facts = spark.createDataFrame([stats])
+    tuned = strategy.with_tuning(plan, strategy.tuning(plan, facts))
+    assert strategy.tuning(plan, facts.drop("weekend_ratio")).count() == 5
     assert tuned["algorithms"][0]["config"] == {"threshold": pytest.approx(2.4), "window_size": 10}
     assert tuned["algorithms"][1]["config"] == {"weekend_multiplier": pytest.approx(0.15)}
     assert tuned["algorithms"][2]["config"] == {"contamination": 0.05, "n_estimators": 50}
