@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 from oddledger.llm.arrow import append, list_column, utf8_column
 from oddledger.llm.boosting import Boosting, Model, train
 from oddledger.llm.hashing import words
-from oddledger.llm.sampling import held_out, labelled_sample
+from oddledger.llm.sampling import counted, held_out, labelled_sample
 
 CLASSES = {
     "lower": range(97, 123),
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: QualityModel | None = None) -> Mo
     known = labels.select("doc_id", "quality").join(
         docs.select("doc_id").distinct(), "doc_id", "left_semi"
     )
-    sample = labelled_sample(known, "quality", p.rows)
+    sample = counted(labelled_sample(known, "quality", p.rows))
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
     # at most ``rows`` of each label
     found = append(rows, _statistics_column, {"x": ArrayType(DoubleType())}, ("text",)).toPandas()

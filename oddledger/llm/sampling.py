@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddledger.session import staged
+
+BROADCAST_ROWS = 100_000
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32(doc_id as text) mod 4 is 2; a null doc_id is not held out."""
@@ -23,3 +27,9 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
         .filter(F.col("_rank") <= per_label)
         .drop("_rank")
     )
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """Store ``rows`` and mark them for broadcast when there are at most ``BROADCAST_ROWS``."""
+    stored = staged(rows, "sample")
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
