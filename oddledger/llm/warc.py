@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddledger.session import scratch
+from oddledger.llm.sampling import BROADCAST_ROWS
+from oddledger.session import scratch, staged
 
 # fixed values of WARC 1.1
 END = "\r\n"
@@ -57,6 +58,11 @@ def _one_line(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x1F\x7F]+", " ")
 
 
+def _known(page_id: Column) -> Column:
+    """A null page_id comes before all others."""
+    return F.coalesce(page_id, F.lit(-(2**63)))
+
+
 def addressed(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, size, sha1, address) of every page; null html is empty."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
@@ -82,15 +88,23 @@ def write(pages: DataFrame, least: int = 1000, folder: str | None = None) -> Arc
     folder = folder or scratch(spark, "archive")
     archive = Archive(f"{folder}/records", f"{folder}/payloads")
     rows = addressed(pages)
-    facts = rows.drop("payload")
-    owners = (
-        facts.filter(F.col("size") >= least)
-        .groupBy("address")
-        .agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1 and owner is not null")
-        .drop("n")
+    facts = staged(rows.drop("payload"), "addresses")
+    copies = staged(
+        facts.groupBy("address")
+        .agg(
+            F.max("page_id").alias("owner"),
+            F.max(_known(F.col("page_id"))).alias("page"),
+            F.max("size").alias("size"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        .filter("n > 1")
+        .drop("n"),
+        "copies",
     )
-    marked = facts.join(owners, "address", "left").withColumn(
+    # the join carries payloads, so a short table of copies had better come to them
+    fit = F.broadcast if copies.count() <= BROADCAST_ROWS else lambda side: side
+    owners = copies.filter((F.col("size") >= least) & F.col("owner").isNotNull())
+    marked = facts.join(fit(owners.select("address", "owner")), "address", "left").withColumn(
         "refers",
         F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")),
     )
@@ -113,20 +127,12 @@ def write(pages: DataFrame, least: int = 1000, folder: str | None = None) -> Arc
     marked.select("address", F.encode(header, "UTF-8").alias("header")).write.parquet(
         archive.records
     )
-    # copies meet as addresses first: of each payload one page brings the bytes
-    chosen = facts.groupBy("address").agg(F.max(F.coalesce("page_id", F.lit(-(2**63)))).alias("page"))
-    several = (
-        facts.groupBy("address")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .join(chosen, "address")
-        .select("address", "page")
-    )
-    page = F.coalesce("page_id", F.lit(-(2**63)))
-    first = rows.select("address", "payload", page.alias("own")).join(several, "address", "left")
-    kept = first.filter("page is null or page = own")
+    # copies met as addresses: of each payload one page brings the bytes
+    own = rows.select("address", "payload", _known(F.col("page_id")).alias("own"))
+    kept = own.join(fit(copies.select("address", "page")), "address", "left")
+    kept = kept.filter("page is null or page = own")
     single = kept.filter("page is null").select("address", "payload")
-    # rows that share a page_id as well
+    # rows may share that page_id as well
     shared = kept.filter("page is not null").select("address", "payload").dropDuplicates(["address"])
     single.unionByName(shared).write.option("compression", "zstd").parquet(archive.payloads)
     return archive
