@@ -104,7 +104,8 @@ def trigram_counts(docs: DataFrame, targets: DataFrame, codes: list[int]) -> Dat
     marked = (
         docs.filter("text is not null")
         .select("doc_id", "text")
-        .join(marks.withColumn("target", F.lit(True)), "doc_id", "left")
+        # the marks grow with the corpus, so they are shuffled at every size
+        .join(marks.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left")
         .select(F.coalesce("target", F.lit(False)).alias("target"), "text")
     )
 
