@@ -45,8 +45,10 @@ class Templates:
 
 
 def _words(text: Column) -> Column:
+    """The words of a text; one empty word when there are none, as a condition on the
+    text would have all of it computed twice."""
     bare = F.trim(F.regexp_replace(F.translate(F.lower(text), DROPPED, ""), BLANKS, " "))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
+    return F.split(bare, " ")
 
 
 def raw_words(text: Column) -> Column:
@@ -120,7 +122,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
             raw_words(F.col("text")).alias("raw"),
             F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0).alias("first"),
         )
-        .filter("size(words) > 0"),
+        .filter("words[0] <> ''"),
         "items",
     )
     sized = items.withColumn("size", F.least(F.lit(p.words), F.size("words")))
