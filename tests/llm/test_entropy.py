@@ -84,3 +84,28 @@ def test_empty(spark, documents, awkward):
     none = spark.createDataFrame([], "doc_id long")
     assert entropy.score(documents([]), none).count() == 0
     assert entropy.score(awkward, none).count() == len(AWKWARD)
+
+
+def test_every_character_is_a_symbol(spark, documents):
+    """More characters than any fixed vocabulary of 128 holds, all about as common."""
+    rows = [(i, "".join(chr(0x4E00 + (i * 37 + 11 * j) % 900) for j in range(60))) for i in range(40)]
+    targets = set(range(0, 40, 4))
+    table = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    got = entropy.score(documents(rows), table).collect()
+    want = brute(rows, targets, 10**6)
+    assert len(got) == len(rows)
+    for r in got:
+        n, a, b = next(v for (i, _), v in want.items() if i == r["doc_id"])
+        assert r["n_tokens"] == n
+        assert abs(r["loss_target"] - a) < 1e-9 and abs(r["loss_background"] - b) < 1e-9
+
+
+def test_small_blocks_give_the_same(spark, documents, monkeypatch):
+    rows = [(i, f"text {i} of some words " * (i % 5 + 1)) for i in range(60)]
+    table = spark.createDataFrame([(i,) for i in range(9)], "doc_id long")
+    whole = sorted(map(tuple, entropy.score(documents(rows), table).collect()))
+    monkeypatch.setattr(entropy, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(entropy, "KEPT_KEYS", 10)
+    parts = sorted(map(tuple, entropy.score(documents(rows), table).collect()))
+    assert [r[:2] for r in parts] == [r[:2] for r in whole]
+    assert all(abs(a - b) < 1e-9 for x, y in zip(parts, whole, strict=True) for a, b in zip(x, y, strict=True))
