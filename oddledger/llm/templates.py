@@ -32,9 +32,10 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class Templates:
-    """``words`` of a window, of which ``literal`` at least are no placeholders; an item shows
-    when ``coverage`` of its windows is matched.  An item below ``shortest`` words counts only
-    where it is the whole document.  Up to ``broadcast_rows`` windows of the benchmark are
+    """``words`` of a window; one with ``literal`` words that are no placeholders is matched
+    whatever its values, one with fewer only with the same values.  An item shows when
+    ``coverage`` of its windows is matched, of all or of those with enough literal words.  An
+    item below ``shortest`` words counts only where it is the whole document.  Up to ``broadcast_rows`` windows of the benchmark are
     counted and broadcast, more are joined by shuffle."""
 
     words: int = 8
@@ -104,6 +105,15 @@ def _item_windows(items: DataFrame, size: int, p: Templates) -> DataFrame:
     ).select("item_id", F.col("pos").alias("ipos"), F.col("col").alias("hash"))
 
 
+def _exact_windows(items: DataFrame, size: int, p: Templates) -> DataFrame:
+    """(item_id, ipos, hash of the raw words) of the windows with too few literal words."""
+    placed = items.select("item_id", "words", F.posexplode(_windows(F.col("raw"), size)))
+    literal = F.size(F.filter(F.slice("words", F.col("pos") + 1, size), lambda w: ~is_slot(w)))
+    return placed.filter(literal < F.least(F.lit(p.literal), F.lit(size))).select(
+        "item_id", F.col("pos").alias("ipos"), F.col("col").alias("hash")
+    )
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -> DataFrame:
     """(doc_id, mark, item_id, windows, matched, changed): items that show in documents.
 
@@ -130,7 +140,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
     sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())
     index = None
     for size in sizes:
-        part = _item_windows(sized.filter(F.col("size") == size), size, p)
+        own = sized.filter(F.col("size") == size)
+        part = _item_windows(own, size, p).withColumn("exact", F.lit(False))
+        part = part.unionByName(_exact_windows(own, size, p).withColumn("exact", F.lit(True)))
         part = part.withColumn("size", F.lit(size))
         index = part if index is None else index.unionByName(part)
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
@@ -139,30 +151,38 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
             [], "doc_id long, mark long, item_id long, windows long, matched long, changed long"
         )
     index = staged(index, "windows")
-    counted = index.groupBy("item_id").agg(F.countDistinct("ipos").alias("windows"))
+    counted = index.groupBy("item_id").agg(
+        F.countDistinct("ipos").alias("all"),
+        F.countDistinct(F.when(~F.col("exact"), F.col("ipos"))).alias("free"),
+    )
+    # at most twice as many as sizes
+    kinds = sorted((r["exact"], r["size"]) for r in index.select("exact", "size").distinct().collect())
     probe = index.join(items.select("item_id", F.size("words").alias("n")), "item_id").withColumn(
         "whole", F.when(F.col("n") < p.shortest, F.col("n"))
     ).drop("n")
     if index.count() <= p.broadcast_rows:
         probe = F.broadcast(probe)
-    split = marked.select("doc_id", "mark", template_words(F.col("text")).alias("words"))
+    split = {
+        exact: marked.select("doc_id", "mark", cut(F.col("text")).alias("words"))
+        for exact, cut in ((False, template_words), (True, raw_words))
+    }
     found = None
-    for size in sizes:
+    for exact, size in kinds:
         hit = (
-            split.select(
+            split[exact].select(
                 "doc_id",
                 "mark",
                 F.size("words").alias("n"),
                 F.posexplode(_windows(F.col("words"), size)).alias("dpos", "hash"),
             )
-            .join(probe.filter(F.col("size") == size), "hash")
+            .join(probe.filter((F.col("size") == size) & (F.col("exact") == exact)), "hash")
             .filter("whole is null or whole = n")
-            .select("doc_id", "mark", "item_id", "dpos", "ipos", "size")
+            .select("doc_id", "mark", "item_id", "dpos", "ipos", "size", "exact")
         )
         found = hit if found is None else found.unionByName(hit)
     aligned = staged(
         found.groupBy(
-            "doc_id", "mark", "item_id", "size", (F.col("dpos") - F.col("ipos")).alias("shift")
+            "doc_id", "mark", "item_id", "size", "exact", (F.col("dpos") - F.col("ipos")).alias("shift")
         ).agg(F.collect_set("ipos").alias("at")),
         "aligned",
     )
@@ -196,6 +216,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
         "doc_id",
         "mark",
         "item_id",
+        "exact",
         "at",
         F.size(F.filter("values", lambda v: v["item"] != v["doc"])).alias("changed"),
         F.size(F.array_distinct(F.transform("values", lambda v: F.struct(v["kind"], v["item"])))).alias("from"),
@@ -203,14 +224,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
         F.size("values").alias("pairs"),
     )
     # one to one: no value of the item stands for two of the document, nor the other way round
-    agreeing = checked.filter("pairs = `from` and pairs = `to`")
+    agreeing = checked.filter("exact or (pairs = `from` and pairs = `to`)")
+    free = ~F.col("exact")
+    # the windows that need the same values never count against those that do not
+    enough = (F.col("free") > 0) & (F.col("of_free") >= p.coverage * F.col("free"))
     return (
-        agreeing.select("doc_id", "mark", "item_id", "changed", F.explode("at").alias("ipos"))
+        agreeing.select("doc_id", "mark", "item_id", "exact", "changed", F.explode("at").alias("ipos"))
         .groupBy("doc_id", "mark", "item_id")
-        .agg(F.countDistinct("ipos").alias("matched"), F.min("changed").cast("long").alias("changed"))
+        .agg(
+            F.countDistinct("ipos").alias("of_all"),
+            F.countDistinct(F.when(free, F.col("ipos"))).alias("of_free"),
+            F.coalesce(F.min(F.when(free, F.col("changed"))), F.lit(0)).cast("long").alias("changed"),
+        )
         .join(counted, "item_id")
-        .filter(F.col("matched") >= p.coverage * F.col("windows"))
-        .select("doc_id", "mark", "item_id", "windows", "matched", "changed")
+        .filter(enough | (F.col("of_all") >= p.coverage * F.col("all")))
+        .select(
+            "doc_id",
+            "mark",
+            "item_id",
+            F.when(enough, F.col("free")).otherwise(F.col("all")).alias("windows"),
+            F.when(enough, F.col("of_free")).otherwise(F.col("of_all")).alias("matched"),
+            "changed",
+        )
     )
 
 

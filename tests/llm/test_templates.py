@@ -73,3 +73,21 @@ def test_no_python_in_the_plan(spark, documents):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     plan = templates.decontaminate(documents([(1, ITEM)]), bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_items_of_few_literal_words_are_found_with_their_values(spark, documents):
+    few = "Who wrote Hamlet in 1603?"
+    many = "Did Anna Smith meet Paul Jones in Rome on 12 May 1999?"
+    bench = spark.createDataFrame([(1, few), (2, many), (3, "Meet Anna")], "item_id long, text string")
+    rows = [
+        (10, few),
+        (11, many),
+        (12, f"They were asked: {few} {many} and more of that."),
+        (13, "Who wrote Faust in 1808?"),
+        (14, many.replace("Rome", "Bonn")),
+        (15, "meet anna"),
+        (16, "They meet Anna"),
+    ]
+    got = templates.matches(documents(rows), bench).collect()
+    found = {(r["doc_id"], r["item_id"]): r["changed"] for r in got}
+    assert found == {(10, 1): 0, (11, 2): 0, (12, 1): 0, (12, 2): 0, (15, 3): 0}
