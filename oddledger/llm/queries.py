@@ -3,8 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from oddledger.llm import counts, entropy, html, language, minhash, pieces, quality, spots, templates, warc
+from pyspark.sql import functions as F
+
+from oddledger.llm import (
+    counts,
+    entropy,
+    html,
+    importance,
+    language,
+    lines,
+    minhash,
+    pieces,
+    quality,
+    spots,
+    templates,
+    warc,
+    whiten,
+)
 from oddledger.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -58,6 +73,24 @@ def op10_archive(spark: SparkSession, folder: str) -> DataFrame:
     return warc.index(warc.write(_table(spark, folder, "pages")), spark)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """A deviation too large for a long is null here."""
+    found = whiten.whiten(_table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.drop_lines(_table(spark, folder, "documents"))
+    kept = F.sha2(F.col("kept").cast("binary"), 256)
+    return found.withColumn("kept_sha256", kept).drop("kept")
+
+
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of ``benchmark`` are the target."""
+    found = importance.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.drop("n_words")
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_mincut": op2_mincut,
@@ -69,4 +102,7 @@ QUERIES = {
     "op8_boosting": op8_boosting,
     "op9_minhash": op9_minhash,
     "op10_archive": op10_archive,
+    "op11_whitening": op11_whitening,
+    "op12_lines": op12_lines,
+    "op13_importance": op13_importance,
 }

@@ -125,7 +125,80 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
 FROM q
 """
 
+OP12 = r"""
+WITH rows AS (
+    SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines
+    FROM documents
+), split AS (
+    SELECT rid, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM rows
+), keyed AS (
+    SELECT *, translate(
+        trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM split
+), frequent AS (
+    SELECT key, max(doc_id) AS owner FROM keyed WHERE length(key) >= {chars}
+    GROUP BY 1 HAVING count(DISTINCT doc_id) >= {documents}
+), marked AS (
+    SELECT k.*, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM f.owner AS gone
+    FROM keyed k LEFT JOIN frequent f ON k.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY rid, doc_id
+"""
+
+OP13 = r"""
+WITH crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(
+        list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), texts AS (
+    SELECT row_number() OVER () AS rid, doc_id, text, true AS own FROM documents
+    UNION ALL SELECT NULL, NULL, text, false FROM benchmark
+), words AS (
+    SELECT rid, doc_id, own, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM texts
+), used AS (
+    SELECT rid, own, unnest(w) AS f FROM words
+), hexed AS (
+    SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM used)
+), hashed AS (
+    SELECT f, xor(4294967295, list_reduce(
+        list_prepend(4294967295, [('0x' || h[2 * i - 1:2 * i])::BIGINT FOR i IN range(1, len(h) // 2 + 1)]),
+        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+    FROM hexed, crc
+), counts AS (
+    SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t
+    FROM used JOIN hashed USING (f) GROUP BY 1
+), sums AS (
+    SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM counts
+), gains AS (
+    SELECT bucket, floor(1000 * ln((c.t + 1)::DOUBLE * (a.s + 10000) / ((c.s + 1)::DOUBLE * (a.t + 10000)))) AS gain
+    FROM counts c, sums a
+), weights AS (
+    SELECT rid, sum(gain)::BIGINT AS weight FROM used JOIN hashed USING (f) JOIN gains USING (bucket)
+    WHERE own GROUP BY 1
+), scored AS (
+    SELECT rid, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln(
+               (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+               / 4294967296)))::BIGINT AS score
+    FROM words LEFT JOIN weights USING (rid) WHERE own
+), able AS (
+    SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank,
+           10 * count(*) OVER () // 100 AS drawn
+    FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank
+FROM scored LEFT JOIN able USING (rid)
+"""
+
 SQL = {
+    "op12_lines": OP12.format(chars=40, documents=5),
+    "op13_importance": OP13,
     "op5_templates": OP5,
     "op10_archive": OP10,
     "op9_minhash": OP9.replace("{num}", "85"),
