@@ -1,4 +1,4 @@
-"""Isolation forest: trees grown on small hashed samples, scored on every row.
+"""Isolation forest: trees grown on hashed samples, scored on every row.
 
 Follows the published method (Liu, Ting & Zhou 2008).  Sampling, tree growing
 and scoring are Spark jobs; the NumPy helpers below handle one tree's sample
@@ -7,7 +7,7 @@ or one batch of rows.
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,9 @@ from oddledger.operators.detectors.base import (
 from oddledger.operators.groups import (
     global_quantiles,
     grouped_columns,
+    join_side,
     merge_rows,
+    position_rows,
 )
 from oddledger.operators.transform import with_time_features
 from oddledger.session import durable, group_rows, shuffle_partitions, spread_small
@@ -36,9 +38,15 @@ from oddledger.session import durable, group_rows, shuffle_partitions, spread_sm
 AUTO_SAMPLE = 256
 OVERSAMPLE = 1.5
 SCORE_BLOCK = 200_000
+# nodes of a forest that may go to every executor, or meet a block of rows; some 24 bytes each
+FOREST_NODES = 2_000_000
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
-TREE_FIELDS = "feature array<int>, threshold array<double>, child array<int>, path array<double>"
+NODES = ["feature", "threshold", "child", "path"]
+PART = ["tree", "root", *NODES]
+PART_FIELDS = (
+    "tree int, root long, feature array<int>, threshold array<double>, child array<int>, path array<double>"
+)
 
 
 def c_factor(n):
@@ -49,53 +57,161 @@ def c_factor(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, mean))
 
 
-def grow_tree(points: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
-    """One tree as flat arrays; ``child`` is the left child, the right one follows."""
-    limit = math.ceil(math.log2(max(len(points), 2)))
-    feature, threshold, child, path = [-1], [0.0], [-1], [0.0]
-    todo = [(0, np.arange(len(points)), 0)]
-    while todo:
-        node, rows, depth = todo.pop()
+# -- draws: the same number for a node in NumPy and in a Spark expression ------------
+
+
+def _hash(longs: list[np.ndarray]) -> np.ndarray:
+    """Spark's ``hash`` of long columns (32-bit Murmur3, seed 42)."""
+
+    def turn(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+    h = np.full(len(longs[0]), 42, np.uint32)
+    for value in longs:
+        bits = value.astype(np.int64).view(np.uint64)
+        for word in (bits & np.uint64(0xFFFFFFFF), bits >> np.uint64(32)):
+            k = turn(word.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+            h = turn(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h = h ^ np.uint32(8)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h = h ^ (h >> np.uint32(16))
+    return h
+
+
+def node_draws(seed: int, salt: np.ndarray, tree: np.ndarray, node: np.ndarray, which: int) -> np.ndarray:
+    """A number in [0, 1) for each node."""
+    every = [np.full(len(node), seed), salt, tree, node]
+    high, low = (_hash([*every, np.full(len(node), 2 * which + k)]).astype(np.uint64) for k in (0, 1))
+    return ((high % np.uint64(1 << 21) << np.uint64(32)) + low).astype(float) / float(1 << 53)
+
+
+def node_draw_column(seed: int, which: int) -> Column:
+    """``node_draws`` of the columns ``_salt``, ``tree`` and ``node``."""
+
+    def word(k: int) -> Column:
+        parts = [F.lit(seed), F.col("_salt"), F.col("tree"), F.col("node"), F.lit(2 * which + k)]
+        return F.hash(*[c.cast("long") for c in parts]).cast("long")
+
+    high, low = F.pmod(word(0), F.lit(1 << 21)), F.pmod(word(1), F.lit(1 << 32))
+    return (high * F.lit(1 << 32) + low).cast("double") / float(1 << 53)
+
+
+# -- growing ------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Roots:
+    """Where the growing begins: a node of a tree, numbered as in a heap from 1 on."""
+
+    tree: np.ndarray
+    node: np.ndarray
+    salt: np.ndarray
+    limit: np.ndarray
+
+
+def grow_roots(points: np.ndarray, at: np.ndarray, roots: Roots, seed: int) -> list[dict[str, np.ndarray]]:
+    """Grow all roots level by level; ``at`` is the root of every point.
+
+    Gives flat arrays for each root; ``child`` is the left child, the right one follows.
+    """
+    rows, spot = np.arange(len(points)), at
+    root, heap = np.arange(len(roots.tree)), roots.node.astype(np.int64)
+    depth = np.array([int(h).bit_length() - 1 for h in heap], np.int64)
+    levels, made = [], 0
+    while len(root):
+        order = np.argsort(spot, kind="stable")
+        rows, spot = rows[order], spot[order]
+        begin = np.searchsorted(spot, np.arange(len(root)))
         part = points[rows]
-        low, high = part.min(axis=0), part.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or not len(usable):
-            path[node] = depth + float(c_factor(len(rows)))
+        low, high = np.minimum.reduceat(part, begin), np.maximum.reduceat(part, begin)
+        size = np.diff(np.append(begin, len(rows)))
+        usable = high > low
+        kinds = usable.sum(axis=1)
+        cut = (depth < roots.limit[root]) & (kinds > 0)
+        pick, share = (
+            node_draws(seed, roots.salt[root], roots.tree[root], heap, which) for which in (0, 1)
+        )
+        nth = np.floor(pick * kinds).astype(np.int64)
+        feature = np.where(cut, np.argmax(np.cumsum(usable, axis=1) > nth[:, None], axis=1), -1)
+        own = np.arange(len(root)), np.maximum(feature, 0)
+        with np.errstate(invalid="ignore"):
+            threshold = low[own] + share * (high[own] - low[own])
+            # a draw that hits the upper end goes to the lower one
+            threshold = np.where(threshold < high[own], threshold, low[own])
+        threshold = np.where(cut, threshold, 0.0)
+        child = np.where(cut, made + len(root) + 2 * (np.cumsum(cut) - 1), -1)
+        path = np.where(cut, 0.0, depth + c_factor(size))
+        levels.append((root, feature, threshold, child, path))
+        made += len(root)
+        on = cut[spot]
+        rows, spot = rows[on], spot[on]
+        right = points[rows, feature[spot]] > threshold[spot]
+        spot = 2 * (np.cumsum(cut) - 1)[spot] + right
+        root, depth = np.repeat(root[cut], 2), np.repeat(depth[cut] + 1, 2)
+        heap = np.repeat(2 * heap[cut], 2)
+        heap[1::2] += 1
+    of, feature, threshold, child, path = (np.concatenate(c) for c in zip(*levels, strict=True))
+    # nodes of one root lie together, in the order they were made
+    order = np.argsort(of, kind="stable")
+    begin = np.searchsorted(of[order], np.arange(len(roots.tree) + 1))
+    place = np.empty(len(of), np.int64)
+    place[order] = np.arange(len(of)) - begin[of[order]]
+    child = np.where(child >= 0, place[child], -1)
+    out = []
+    for low_, high_ in zip(begin[:-1], begin[1:], strict=True):
+        mine = order[low_:high_]
+        out.append(dict(zip(NODES, (feature[mine], threshold[mine], child[mine], path[mine]), strict=True)))
+    return out
+
+
+def whole_tree(parts: dict[int, dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Put the parts of a tree, by their root, together; a cut without child goes on in other parts."""
+    if len(parts) == 1:
+        return parts[1]
+    feature, threshold, child, path = ([x] for x in (-1, 0.0, -1, 0.0))
+    todo = [(1, 0)]
+    while todo:
+        root, slot = todo.pop()
+        part = parts[root]
+        grown = len(part["feature"])
+        goes_on = grown == 1 and part["feature"][0] >= 0
+        more = 2 if goes_on else grown - 1
+        first = len(feature)
+        for own, blank in ((feature, -1), (threshold, 0.0), (child, -1), (path, 0.0)):
+            own.extend([blank] * more)
+        feature[slot], threshold[slot], path[slot] = part["feature"][0], part["threshold"][0], part["path"][0]
+        if goes_on:
+            child[slot] = first
+            todo += [(2 * root, first), (2 * root + 1, first + 1)]
             continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(low[f], high[f]))
-        goes_left = part[:, f] <= cut
-        if goes_left.all():  # the draw hit the upper end
-            cut = float(low[f])
-            goes_left = part[:, f] <= cut
-        left = len(feature)
-        feature[node], threshold[node], child[node] = f, cut, left
-        for side in (rows[goes_left], rows[~goes_left]):
-            todo.append((len(feature), side, depth + 1))
-            feature.append(-1)
-            threshold.append(0.0)
-            child.append(-1)
-            path.append(0.0)
-    return {"feature": feature, "threshold": threshold, "child": child, "path": path}
-
-
-def anomaly_value(points: np.ndarray, trees: list[dict], sample: int) -> np.ndarray:
-    """s(x) = 2^(-E[h(x)] / c(sample)); rows descend all trees level by level."""
+        moved = np.where(np.asarray(part["child"]) >= 0, np.asarray(part["child"]) - 1 + first, -1)
+        child[slot] = moved[0]
+        feature[first:], threshold[first:] = part["feature"][1:], part["threshold"][1:]
+        child[first:], path[first:] = moved[1:], part["path"][1:]
+    return dict(zip(NODES, map(np.asarray, (feature, threshold, child, path)), strict=True))
+
+
+def path_sums(points: np.ndarray, trees: list[dict]) -> np.ndarray:
+    """Sum of the path lengths of every point; points descend a tree level by level."""
     total = np.zeros(len(points))
     every = np.arange(len(points))
     for tree in trees:
-        feature, cut = np.asarray(tree["feature"]), np.asarray(tree["threshold"])
-        child, path = np.asarray(tree["child"]), np.asarray(tree["path"])
+        feature, cut, child, path = (np.asarray(tree[k]) for k in NODES)
         node = np.zeros(len(points), np.int64)
         active = every
         while len(active):
             at = node[active]
             inner = feature[at] >= 0
             active, at = active[inner], at[inner]
-            right = points[active, feature[at]] > cut[at]
-            node[active] = child[at] + right
+            node[active] = child[at] + (points[active, feature[at]] > cut[at])
         total += path[node]
-    return 2.0 ** (-(total / max(len(trees), 1)) / max(float(c_factor(sample)), 1e-12))
+    return total
+
+
+def anomaly_value(paths, trees: int, sample):
+    """s(x) = 2^(-E[h(x)] / c(sample)) from the sum of the path lengths over ``trees`` trees."""
+    return 2.0 ** (-(paths / max(trees, 1)) / np.maximum(c_factor(sample), 1e-12))
 
 
 def feature_columns(df: DataFrame, config: dict) -> tuple[DataFrame, list[str], dict[str, Column]]:
@@ -156,13 +272,14 @@ def _unit_hash(*parts: Column) -> Column:
 
 
 def sample_rows(
-    df: DataFrame, trees: int, seed: int, rate: Column, sample: Column, key: list[str]
+    df: DataFrame, trees: int, seed: int, rate: Column, sample: Column, key: list[str], most: int
 ) -> DataFrame:
     """Rows of every tree: the ``sample`` smallest hashes of each (key, tree).
 
     ``rate`` is the expected share of rows a tree draws.  Below one row in
     ``trees`` a row is drawn once and given to one tree, so the hash work per
-    row stays constant; otherwise every tree draws for itself.
+    row stays constant; otherwise every tree draws for itself.  ``most`` is the
+    largest sample: one that no task may hold is numbered over all tasks.
     """
     ids = F.col("id")
     pool = rate * trees
@@ -175,33 +292,140 @@ def sample_rows(
     )
     picked = df.withColumn("tree", F.explode(F.when(pool < 1, single).otherwise(each)))
     order = F.xxhash64(ids, F.lit(seed), F.col("tree"), F.lit("order"))
+    if most > group_rows(df.sparkSession):
+        ranked = position_rows(picked.withColumn("_order", order), [*key, "tree"], ["_order", "id"], "_rank")
+        return ranked.drop("_order").filter(F.col("_rank") <= sample)
     rank = Window.partitionBy(*key, "tree").orderBy(order, "id")
     return picked.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= sample)
 
 
-def grow_forest(sampled: DataFrame, count: int, seed: int, key: list[str]) -> DataFrame:
-    """One row per (key, tree).
+def grow_forest(sampled: DataFrame, count: int, seed: int, key: list[str], sample: Column, most: int) -> DataFrame:
+    """The trees in parts: (key, tree, root, nodes below root).
 
-    A Python group is one tree's sample, or with a key the samples of all trees
-    of that key: never more than trees x sample rows.
+    A node with more rows than a task may hold is cut in Spark, all such nodes of a level in
+    one aggregation, and makes a part of its own; smaller ones are grown in one Python group.
+    Draws depend on (seed, key, tree, node) alone, so a tree is the same however it is cut up.
     """
     names = [f"_x{i}" for i in range(count)]
-    keys = "".join(f"{k} string, " for k in key)
-    by = key or ["tree"]
+    bound = group_rows(sampled.sparkSession)
+    salt = F.xxhash64(*key) if key else F.lit(0).cast("long")
+    # the bits of sample - 1: the logarithm of sample, rounded up
+    limit = F.length(F.bin(F.greatest(sample.cast("long"), F.lit(2)) - 1))
+    points = sampled.select(
+        *key,
+        "tree",
+        F.lit(1).cast("long").alias("node"),
+        salt.alias("_salt"),
+        limit.cast("int").alias("_limit"),
+        *names,
+    )
+    tops = []
+    if most > bound:
+        points, tops = _cut_large(points, names, seed, key, bound)
+    # samples of one key share a group as long as they are few rows
+    bunch = F.floor(F.col("tree") / max(1, bound // max(most, 1))).cast("int") if key else F.col("tree")
+    fields = f"{''.join(f'{k} string, ' for k in key)}{PART_FIELDS}"
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for tree, part in pdf.sort_values(["tree", "id"]).groupby("tree"):
-            rng = np.random.default_rng([seed, int(tree)])
-            grown = grow_tree(part[names].to_numpy(float), rng)
-            out.append({**{k: part[k].iloc[0] for k in key}, "tree": int(tree), **grown})
-        return pd.DataFrame(out)
-
-    return (
-        sampled.select(*key, "tree", "id", *names)
+        # the order of points does not matter, that of roots only for the result's rows
+        starts = pdf[["tree", "node"]].drop_duplicates().sort_values(["tree", "node"])
+        at = pd.MultiIndex.from_frame(starts).get_indexer(pd.MultiIndex.from_frame(pdf[["tree", "node"]]))
+        first = pdf.loc[starts.index]
+        roots = Roots(*(first[c].to_numpy() for c in ("tree", "node", "_salt", "_limit")))
+        grown = pd.DataFrame(grow_roots(pdf[names].to_numpy(float), at, roots, seed))
+        kept = first[[*key, "tree", "node"]].rename(columns={"node": "root"}).reset_index(drop=True)
+        return pd.concat([kept, grown], axis=1)
+
+    by = [*key, "_bunch", *([] if most <= bound else ["node"])]
+    forest = (
+        points.withColumn("_bunch", bunch)
         .repartition(shuffle_partitions(sampled.sparkSession), *by)
         .groupBy(*by)
-        .applyInPandas(grow, f"{keys}tree int, {TREE_FIELDS}")
+        .applyInPandas(grow, fields)
+    )
+    for top in tops:
+        forest = forest.unionByName(top)
+    return forest
+
+
+def _cut_large(
+    points: DataFrame, names: list[str], seed: int, key: list[str], bound: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows of nodes with at most ``bound`` rows, parts of one node each for all above them)."""
+    by = [*key, "tree", "node"]
+    few, tops = [], []
+    while True:
+        points = durable(points)
+        sizes = durable(points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+        large = sizes.filter(F.col("_n") > bound)
+        if large.isEmpty():
+            few.append(points)
+            break
+        # there are at most rows / bound large nodes, small ones may be many
+        mark = join_side(large.select(*by))
+        few.append(points.join(mark, by, "left_anti"))
+        points = points.join(mark, by, "left_semi")
+        ends = [f(F.col(x)).alias(f"_{m}{x}") for x in names for m, f in (("lo", F.min), ("hi", F.max))]
+        stats = points.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("_n"), F.first("_salt").alias("_salt"), F.first("_limit").alias("_limit"), *ends
+        )
+        spans = F.array(
+            *[
+                F.when(
+                    F.col(f"_hi{x}") > F.col(f"_lo{x}"),
+                    F.struct(F.lit(i).alias("f"), F.col(f"_lo{x}").alias("lo"), F.col(f"_hi{x}").alias("hi")),
+                )
+                for i, x in enumerate(names)
+            ]
+        )
+        depth = F.length(F.bin("node")) - 1
+        chosen = stats.withColumn("_usable", F.array_compact(spans)).withColumn("_depth", depth)
+        kinds = F.size("_usable")
+        nth = F.floor(node_draw_column(seed, 0) * kinds).cast("int")
+        chosen = chosen.withColumn(
+            "_cut", F.when(F.col("_depth") < F.col("_limit"), F.get("_usable", nth))
+        )
+        low, high = F.col("_cut.lo"), F.col("_cut.hi")
+        drawn = low + node_draw_column(seed, 1) * (high - low)
+        cuts = durable(
+            chosen.select(
+                *by,
+                "_n",
+                "_depth",
+                F.col("_cut.f").alias("_f"),
+                F.when(drawn < high, drawn).otherwise(low).alias("_t"),
+            )
+        )
+        tops.append(_single_nodes(cuts, key))
+        cut = join_side(cuts.filter("_f is not null").select(*by, "_f", "_t"))
+        value = F.get(F.array(*names), F.col("_f"))
+        points = (
+            points.join(cut, by)
+            .withColumn("node", 2 * F.col("node") + (value > F.col("_t")).cast("long"))
+            .drop("_f", "_t")
+        )
+    rest = few[0]
+    for other in few[1:]:
+        rest = rest.unionByName(other)
+    return rest, tops
+
+
+def _single_nodes(cuts: DataFrame, key: list[str]) -> DataFrame:
+    """Parts of one node: a cut that goes on below, or a leaf of many rows."""
+
+    @F.pandas_udf(T.DoubleType())
+    def leaf(depth: pd.Series, n: pd.Series) -> pd.Series:
+        return depth + pd.Series(c_factor(n.to_numpy()))
+
+    inner = F.col("_f").isNotNull()
+    return cuts.select(
+        *key,
+        "tree",
+        F.col("node").alias("root"),
+        F.array(F.when(inner, F.col("_f")).otherwise(-1)).alias("feature"),
+        F.array(F.when(inner, F.col("_t")).otherwise(0.0)).alias("threshold"),
+        F.array(F.lit(-1)).alias("child"),
+        F.array(F.when(inner, 0.0).otherwise(leaf("_depth", "_n"))).alias("path"),
     )
 
 
@@ -292,15 +516,13 @@ class IsolationForestDetector(Detector):
         fills = _medians(slim, len(names), rows)
         slim = _filled(slim, fills)
         sample = sample_size(config, rows)
-        if sample > group_rows(slim.sparkSession):
-            raise AnalysisError(f"max_samples: {sample} rows are too many for one tree")
         trees, seed = config["n_estimators"], config["random_state"]
         rate = min(1.0, OVERSAMPLE * sample / rows)
         if rate * rows < sample + 30:
             rate = 1.0
-        drawn = sample_rows(slim, trees, seed, F.lit(rate), F.lit(sample), [])
-        # a model is a few hundred small arrays: stored once, read by every job
-        forest = durable(grow_forest(drawn, len(names), seed, []))
+        drawn = sample_rows(slim, trees, seed, F.lit(rate), F.lit(sample), [], sample)
+        # stored once, read by every job
+        forest = durable(grow_forest(drawn, len(names), seed, [], F.lit(sample), sample))
         values = durable(_score_values(spread_small(slim, rows), forest, len(names), sample))
         border = global_quantiles(
             values.withColumn("_minus", -F.col("_s")),
@@ -327,12 +549,14 @@ class IsolationForestDetector(Detector):
         self, model: DataFrame, df: DataFrame, values: DataFrame | None = None
     ) -> DataFrame:
         """Scores against a stored model; the range is that of the training rows."""
-        facts = model.drop("tree", "feature", "threshold", "child", "path").first()
+        facts = model.drop(*PART).first()
         config = {**self.default_config, "features": list(facts["requested"])}
         slim, names, _ = _features(df, config)
         if names != list(facts["features"]):
             raise AnalysisError("Feature dimension mismatch")
         if values is None:
+            if df.isStreaming and forest_nodes(model) > FOREST_NODES:
+                raise AnalysisError("forest too large for a stateless stream: score its batches")
             filled = _filled(slim, list(facts["fills"]))
             values = _score_values(filled, model, len(names), facts["sample"])
         df = values.withColumn("_d", -F.col("_s") - F.lit(facts["offset"]))
@@ -373,22 +597,21 @@ class IsolationForestDetector(Detector):
         counted = durable(counted.select("id", "account_id", "_n", *kept))
         large = counted.filter(F.col("_n") >= least)
         size = config["max_samples"]
+        most = AUTO_SAMPLE
         if size != "auto":
-            biggest = counted.agg(F.max("_n")).first()[0] or 0
-            if sample_size(config, biggest) > group_rows(counted.sparkSession):
-                raise AnalysisError("max_samples: too many rows for one tree")
+            most = sample_size(config, counted.agg(F.max("_n")).first()[0] or 0)
         if size == "auto":
             sample = F.least(F.lit(AUTO_SAMPLE), F.col("_n"))
         elif isinstance(size, float):
             sample = F.greatest(F.lit(1), F.floor(F.col("_n") * size))
         else:
             sample = F.least(F.lit(size), F.col("_n"))
-        large = large.withColumn("_psi", sample.cast("int"))
+        large = large.withColumn("_psi", sample.cast("long"))
         want = OVERSAMPLE * F.col("_psi") / F.col("_n")
         rate = F.when(want * F.col("_n") < F.col("_psi") + 30, 1.0).otherwise(want)
-        drawn = sample_rows(large, trees, seed, rate, F.col("_psi"), ["account_id"])
-        forest = grow_forest(drawn, count, seed, ["account_id"])
-        values = durable(_score_per_account(large, forest, count))
+        drawn = sample_rows(large, trees, seed, rate, F.col("_psi"), ["account_id"], most)
+        forest = durable(grow_forest(drawn, count, seed, ["account_id"], F.col("_psi"), most))
+        values = durable(_score_by_parts(large, forest, count, trees, ["account_id"]))
         facts = _account_facts(values, float(config["contamination"]), txns)
         scored_rows = facts.withColumn("_d", -F.col("_s") - F.col("_offset"))
         low = -F.col("_hi") - F.col("_offset")
@@ -423,51 +646,139 @@ def _account_facts(values: DataFrame, contamination: float, txns: Transactions)
     )
 
 
+def forest_nodes(forest: DataFrame) -> int:
+    return forest.agg(F.sum(F.size("feature"))).first()[0] or 0
+
+
 def _score_values(slim: DataFrame, forest: DataFrame, count: int, sample: int) -> DataFrame:
-    """``id`` and s(x).  The forest has n_estimators x 2 x sample nodes at most,
-    whatever the table size, so it travels to the executors as one broadcast."""
-    rows = forest.select("tree", "feature", "threshold", "child", "path").orderBy("tree").collect()
-    trees = [
-        {k: np.asarray(r[k]) for k in ("feature", "threshold", "child", "path")} for r in rows
-    ]
+    """``id`` and s(x).  A forest of up to ``FOREST_NODES`` nodes travels to the executors as
+    one broadcast; the rows of a larger one meet its parts."""
+    names = [f"_x{i}" for i in range(count)]
+    if forest_nodes(forest) > FOREST_NODES:
+        trees = forest.agg(F.count_distinct("tree")).first()[0]
+        rows = slim.select("id", *names, F.lit(sample).cast("long").alias("_psi"))
+        return _score_by_parts(rows, forest, count, trees, [])
+    parts: dict[int, dict] = {}
+    for r in forest.select(*PART).collect():
+        parts.setdefault(r["tree"], {})[r["root"]] = {k: np.asarray(r[k]) for k in NODES}
+    trees = [whole_tree(parts[t]) for t in sorted(parts)]
     shared = slim.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf(T.DoubleType())
     def value(*columns: pd.Series) -> pd.Series:
         points = np.column_stack([c.to_numpy(float) for c in columns])
-        return pd.Series(anomaly_value(points, shared.value, sample))
+        return pd.Series(anomaly_value(path_sums(points, shared.value), len(shared.value), sample))
+
+    return slim.select("id", value(*[F.col(x) for x in names]).alias("_s"))
 
-    return slim.select("id", value(*[F.col(f"_x{i}") for i in range(count)]).alias("_s"))
 
+def _score_by_parts(rows: DataFrame, forest: DataFrame, count: int, trees: int, key: list[str]) -> DataFrame:
+    """``id``, the key and s(x), by a forest of any size, or one forest for each key.
 
-def _score_per_account(large: DataFrame, forest: DataFrame, count: int) -> DataFrame:
-    """Rows meet the trees of their account in blocks of bounded size."""
+    ``rows`` has the sample size ``_psi``.  Trees are packed into bundles of up to
+    ``FOREST_NODES`` nodes.  Rows are copied to every bundle of their key; in a tree too
+    large for a bundle they go down through its single nodes to the part they end in.  Rows
+    and bundles meet in blocks of bounded size, and path lengths are summed for each row.
+    """
     names = [f"_x{i}" for i in range(count)]
-    blocks = F.ceil(F.col("_n") / SCORE_BLOCK).cast("int")
-    rows = large.withColumn("_block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    sizes = large.groupBy("account_id").agg(
-        F.max(blocks).alias("_blocks"), F.max("_psi").alias("_psi")
+    spark = rows.sparkSession
+    sizes = forest.groupBy(*key, "tree").agg(F.sum(F.size("feature")).alias("_nodes"))
+    fits = F.col("_nodes") <= FOREST_NODES
+    before = Window.partitionBy(*key).orderBy("tree")
+    # one row for each tree of a key
+    packed = durable(
+        sizes.filter(fits).withColumn("_bundle", F.floor(F.sum("_nodes").over(before) / FOREST_NODES).cast("int"))
     )
-    trees = forest.join(sizes, "account_id").withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    # rows that repeat an id are scored each
+    rows = durable(rows.select("id", *key, "_psi", *names).withColumn("_row", F.monotonically_increasing_id()))
+    bundle = [F.lit(-1).alias("tree"), F.col("_bundle").cast("long").alias("root")]
+    large = sizes.filter(~fits).select(*key, "tree")
+    deep = not large.isEmpty()
+    if key:
+        copies = rows.join(join_side(packed.select(*key, *bundle).distinct()), key)
+    else:
+        last = packed.agg(F.max("_bundle")).first()[0]
+        every = [F.lit(b).cast("long") for b in range(0 if last is None else last + 1)]
+        copies = rows.withColumns({"tree": F.lit(-1), "root": F.explode(F.array(*every).cast("array<long>"))})
+    where = [*key, "tree", "root"]
+    own = [F.col("tree").alias("_tree"), F.col("root").alias("_root"), *NODES]
+    with_bundle = forest.join(packed.drop("_nodes"), [*key, "tree"])
+    parts = with_bundle.select(*key, *bundle, *own)
+    if deep:
+        of_large = forest.join(join_side(large), [*key, "tree"])
+        routed, ends = _descend(rows, of_large, large, names, key)
+        copies = copies.unionByName(routed.select(copies.columns))
+        parts = parts.unionByName(ends.select(*where, *own))
+    share = copies.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / SCORE_BLOCK).cast("int").alias("_blocks"))
+    blocks = durable(share)
+    spread = copies.join(join_side(blocks), where)
+    left = spread.withColumn("_block", F.pmod(F.xxhash64("_row"), F.col("_blocks")).cast("int"))
+    right = parts.join(blocks, where).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    fields = [*key, "id", "_row", "_psi"]
+
+    def walk(rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        found: dict[int, dict] = {}
+        for part in parts.to_dict("records"):
+            # a part below the top stands for itself
+            found.setdefault(part["_tree"], {})[part["_root"]] = {k: np.asarray(part[k]) for k in NODES}
+        trees = [whole_tree(t) if 1 in t else next(iter(t.values())) for _, t in sorted(found.items())]
+        return rows[fields].assign(_paths=path_sums(rows[names].to_numpy(float), trees))
+
+    meet = [*where, "_block"]
+    parts_ = shuffle_partitions(spark)
+    walked = (
+        left.select(*meet, "id", "_row", "_psi", *names)
+        .repartition(parts_, *meet)
+        .groupBy(*meet)
+        .cogroup(right.select(*meet, "_tree", "_root", *NODES).repartition(parts_, *meet).groupBy(*meet))
+        .applyInPandas(
+            walk, f"{''.join(f'{k} string, ' for k in key)}id string, _row long, _psi long, _paths double"
+        )
     )
+    if deep or not packed.filter("_bundle > 0").isEmpty():
+        walked = walked.groupBy("_row").agg(
+            F.first("id").alias("id"),
+            *[F.first(k).alias(k) for k in key],
+            F.first("_psi").alias("_psi"),
+            F.sum("_paths").alias("_paths"),
+        )
 
-    def score(rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or trees.empty:
-            return pd.DataFrame({"id": [], "account_id": [], "_s": []})
-        grown = trees.sort_values("tree").to_dict("records")
-        points = rows[names].to_numpy(float)
-        s = anomaly_value(points, grown, int(trees["_psi"].iloc[0]))
-        return pd.DataFrame({"id": rows["id"], "account_id": rows["account_id"], "_s": s})
-
-    parts, keys = shuffle_partitions(large.sparkSession), ["account_id", "_block"]
-    left = rows.select("id", *keys, *names).repartition(parts, *keys).groupBy(*keys)
-    right = (
-        trees.select(*keys, "tree", "feature", "threshold", "child", "path", "_psi")
-        .repartition(parts, *keys)
-        .groupBy(*keys)
+    @F.pandas_udf(T.DoubleType())
+    def value(paths: pd.Series, sample: pd.Series) -> pd.Series:
+        return pd.Series(anomaly_value(paths.to_numpy(), trees, sample.to_numpy()))
+
+    return walked.select("id", *key, value("_paths", "_psi").alias("_s"))
+
+
+def _descend(
+    rows: DataFrame, forest: DataFrame, large: DataFrame, names: list[str], key: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """(a row for each row and large tree with the part it ends in, those parts).
+
+    Cuts that go on in other parts are applied a level at a time, as when the tree was grown.
+    """
+    goes_on = (F.size("feature") == 1) & (F.col("feature")[0] >= 0)
+    tops = forest.filter(goes_on).select(
+        *key, "tree", "root", F.col("feature")[0].alias("_f"), F.col("threshold")[0].alias("_t")
     )
-    return left.cogroup(right).applyInPandas(score, "id string, account_id string, _s double")
+    tops = join_side(tops)
+    levels = tops.agg(F.max(F.length(F.bin("root")))).first()[0] or 0
+    if key:
+        at = rows.join(join_side(large), key)
+    else:
+        # no more than the trees of one forest
+        trees = F.array(*[F.lit(r["tree"]) for r in large.orderBy("tree").collect()])
+        at = rows.withColumn("tree", F.explode(trees))
+    at = at.withColumn("root", F.lit(1).cast("long"))
+    value = F.get(F.array(*names), F.col("_f"))
+    step = 2 * F.col("root") + (value > F.col("_t")).cast("long")
+    for level in range(levels):
+        at = at.join(tops, [*key, "tree", "root"], "left").withColumn(
+            "root", F.when(F.col("_f").isNotNull(), step).otherwise(F.col("root"))
+        ).drop("_f", "_t")
+        if level % 8 == 7:
+            at = durable(at)
+    return at, forest.filter(~goes_on)
 
 
 register(IsolationForestDetector())

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import copy
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddledger.errors import AnalysisError, ConfigError
@@ -182,10 +183,19 @@ def plan_strategy(data: DataFrame | Transactions, strategy: dict) -> StrategyRun
         scores = part if scores is None else scores.unionByName(part)
         ran.append((kind, name))
     if scores is None:
-        raise AnalysisError(f"No algorithms executed successfully: {skipped}")
+        raise AnalysisError(f"no detector could run: {skipped}")
+    if skipped:
+        warnings.warn(f"detectors left out: {skipped}", stacklevel=2)
     return StrategyRun(scores, ran, skipped)
 
 
+def run_report(run: StrategyRun, spark: SparkSession) -> DataFrame:
+    """(detector, ran, reason) of every enabled detector of a run."""
+    rows = [(f"{kind}.{name}", True, None) for kind, name in run.detectors]
+    rows += [(name, False, reason) for name, reason in run.skipped.items()]
+    return spark.createDataFrame(rows, "detector string, ran boolean, reason string")
+
+
 def run_strategy(data: DataFrame | Transactions, strategy: dict) -> DataFrame:
     """F1: tagged scores of all detectors of the strategy."""
     return plan_strategy(data, strategy).scores
@@ -203,9 +213,17 @@ def fuse_strategy(run: StrategyRun, strategy: dict) -> DataFrame:
 
 
 def analyse(data: DataFrame | Transactions, strategy: dict | None = None) -> DataFrame:
-    """Run and fuse: one row per scored transaction."""
+    """Run and fuse: one row per scored transaction.
+
+    ``algorithms_skipped`` names the enabled detectors that could not run on the data, with
+    the reason; a warning says the same.
+    """
     strategy = strategy or DEFAULT_STRATEGY
-    return fuse_strategy(plan_strategy(data, strategy), strategy)
+    run = plan_strategy(data, strategy)
+    left_out = [F.lit(f"{name}: {reason}") for name, reason in run.skipped.items()]
+    return fuse_strategy(run, strategy).withColumn(
+        "algorithms_skipped", F.array(*left_out).cast("array<string>")
+    )
 
 
 def summarise(data: DataFrame | Transactions, strategy: dict | None = None) -> DataFrame:

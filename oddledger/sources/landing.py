@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,16 +14,11 @@ from oddledger.schema import (
     LARGE_FILE_BYTES,
     MAX_FILE_BYTES,
 )
+from oddledger.sources.readers import plain_path, read_json_parts
 
 MAX_NAME = 255
 
 
-def _plain(path: Column) -> Column:
-    """One spelling for a path, whichever reader names it."""
-    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(decoded, r"^([A-Za-z0-9]+):/+", "$1:/")
-
-
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Names and sizes; the ``content`` column is pruned, so nothing is read.
 
@@ -36,37 +31,30 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
     listed = spark.createDataFrame([(f,) for f in scan.inputFiles()], "path string")
     return (
-        listed.select(_plain(F.col("path")).alias("path"))
+        listed.select(plain_path(F.col("path")).alias("path"))
         .join(sizes, "path", "left")
         .select("path", F.coalesce("size", F.lit(0)).alias("size"))
     )
 
 
 def corrupt_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a text format that do not parse: ``(path, broken)``."""
-    # the reader wants a data column beside the corrupt record
-    schema = T.StructType(
-        [T.StructField("id", T.StringType()), T.StructField("_corrupt_record", T.StringType())]
-    )
-    parts = []
-    for kind, options in (
-        ("json", {"multiLine": True}),
-        ("xml", {"rowTag": "transaction"}),
-    ):
-        reader = spark.read.format(kind).schema(schema).options(
-            mode="PERMISSIVE",
-            columnNameOfCorruptRecord="_corrupt_record",
-            pathGlobFilter=f"*.{kind}",
-            recursiveFileLookup=True,
-            **options,
-        )
-        bad = F.when(F.col("_corrupt_record").isNotNull(), F.coalesce("id", F.lit("")))
-        rows = reader.load(path).select(
-            bad.alias("bad"), _plain(F.col("_metadata.file_path")).alias("path")
+    """``(path, broken)``: records that do not parse, of the files that have any."""
+    # the readers want a data column beside the corrupt record
+    data = T.StructType([T.StructField("id", T.StringType())])
+    scan = {"recursiveFileLookup": True}
+    _, json = read_json_parts(spark, path, data, pathGlobFilter="*.json", **scan)
+    xml = (
+        spark.read.format("xml")
+        .schema(T.StructType([*data.fields, T.StructField("_corrupt_record", T.StringType())]))
+        .options(rowTag="transaction", columnNameOfCorruptRecord="_corrupt_record", pathGlobFilter="*.xml", **scan)
+        .load(path)
+        .select(
+            F.when(F.col("_corrupt_record").isNotNull(), F.coalesce("id", F.lit(""))).alias("bad"),
+            F.col("_metadata.file_path").alias("_source_path"),
         )
-        parts.append(rows)
-    both = parts[0].unionByName(parts[1])
-    return both.groupBy("path").agg(F.count("bad").alias("broken"))
+    )
+    both = json.select(F.lit("").alias("bad"), "_source_path").unionByName(xml)
+    return both.groupBy(plain_path(F.col("_source_path")).alias("path")).agg(F.count("bad").alias("broken"))
 
 
 def audit_landing(
@@ -75,7 +63,10 @@ def audit_landing(
     max_bytes: int = MAX_FILE_BYTES,
     allowed: list[str] | None = None,
 ) -> DataFrame:
-    """``(path, file, type, size, errors, warnings, valid)`` per file."""
+    """``(path, file, type, size, rejected, errors, warnings, valid)`` per file.
+
+    ``rejected`` counts the records of JSON and XML files that do not parse.
+    """
     allowed = allowed or ALLOWED_FILE_TYPES
     files = list_files(spark, path).withColumn("file", F.element_at(F.split("path", "/"), -1))
     ending = F.lower(F.regexp_extract("file", r"\.([^.]+)$", 1))
@@ -116,6 +107,7 @@ def audit_landing(
         "file",
         "type",
         "size",
+        F.coalesce("broken", F.lit(0)).cast("long").alias("rejected"),
         errors.alias("errors"),
         warnings.alias("warnings"),
         (F.size(errors) == 0).alias("valid"),

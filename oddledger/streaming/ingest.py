@@ -18,43 +18,30 @@ from oddledger.operators.transform import (
     require_fields,
 )
 from oddledger.session import staged, temporary
-from oddledger.sources.readers import numbered_blocks, tidy_text
+from oddledger.sources.readers import csv_rows, stored_lines
 from oddledger.sources.tables import write_transactions
 
 KEY = "_account_key"
 
 
-def landed_files(spark: SparkSession, folder: str, schema: T.StructType, files: int | None = None):
-    """Stream of text rows with the file and block they come from."""
-    reader = spark.readStream.schema(schema).options(
-        header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
-    )
+def landed_files(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    """Stream of text lines with the file and block they come from; a batch has whole files."""
+    reader = spark.readStream
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
-    return reader.csv(folder).select(
-        "*",
-        F.col("_metadata.file_name").alias("_source_file"),
-        F.col("_metadata.file_path").alias("_source_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-    )
-
+    return reader.text(folder).select("value", "_metadata")
 
-def standardise_stream(rows: DataFrame) -> DataFrame:
-    """The row-wise part of the transform; needs no state."""
-    df = parse_rows(tidy_text(rows))
-    return df.withColumn("upload_id", F.sha2("_source_path", 256))
 
-
-def store_batch(batch: DataFrame, out_dir: str) -> None:
+def store_batch(batch: DataFrame, out_dir: str, schema: T.StructType | None = None) -> None:
     """Ids and account order per upload, then the upload's partition is replaced.
 
-    The parsed batch is stored before anything reads it twice, and the copy is removed
-    when the uploads are written.  Ids follow from the file and the row alone, so they do
-    not depend on which files share a batch.
+    The lines are stored before anything reads them twice, and the copy is removed when the
+    uploads are written.  Columns go by the header of their file.  Ids follow from the file
+    and the row alone, so they do not depend on which files share a batch.
     """
     with temporary(batch.sparkSession):
-        stored = staged(batch.withColumn("_mid", F.monotonically_increasing_id()), "batch")
-        rows = numbered_blocks(stored)
+        rows = staged(parse_rows(csv_rows(stored_lines(batch), schema=schema)), "parsed")
+        rows = rows.withColumn("upload_id", F.sha2("_source_path", 256))
         df = dedupe_ids(ensure_ids(rows), within=("upload_id",))
         df = require_fields(df, check_empty=False).drop("_source_path", "_row_number")
         df = add_amount_category(add_amount_features(add_time_features(df)))
@@ -68,14 +55,17 @@ def start_ingest(
     in_dir: str,
     out_dir: str,
     checkpoint: str,
-    schema: T.StructType,
+    schema: T.StructType | None = None,
     files_per_batch: int | None = None,
     continuous: str | None = None,
 ) -> StreamingQuery:
-    """ST1: process what has landed and stop, or keep going every ``continuous``."""
-    stream = standardise_stream(landed_files(spark, in_dir, schema, files_per_batch))
+    """ST1: process what has landed and stop, or keep going every ``continuous``.
+
+    ``schema`` names the columns to take; without it all columns of the headers are taken.
+    """
+    stream = landed_files(spark, in_dir, files_per_batch)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _: store_batch(batch, out_dir)
+        lambda batch, _: store_batch(batch, out_dir, schema)
     )
     writer = (
         writer.trigger(processingTime=continuous)

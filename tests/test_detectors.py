@@ -236,12 +236,125 @@ def test_forest_few_rows_nulls_and_weekday_names(spark):
     assert forest.run(df, config).filter("score is null").count() == 0
 
 
+def _drawn_points(n=300, kinds=3, seed=5):
+    points = np.random.default_rng(seed).normal(size=(n, kinds)).round(2)
+    points[:, -1] = 7.0  # a feature that never varies is never cut
+    return points
+
+
 def test_tree_paths_cover_all_points():
-    rng = np.random.default_rng(5)
-    points = rng.normal(size=(256, 3))
-    trees = [iforest.grow_tree(points[rng.permutation(256)[:128]], np.random.default_rng(i)) for i in range(50)]
-    s = iforest.anomaly_value(np.vstack([points, [[9, 9, 9]]]), trees, 128)
-    assert s.argmax() == 256 and 0 < s.min() and s.max() < 1
+    points = _drawn_points()
+    of = np.repeat(np.arange(50), 128)
+    at = np.concatenate([np.random.default_rng(i).permutation(300)[:128] for i in range(50)])
+    roots = iforest.Roots(np.arange(50), np.ones(50, int), np.zeros(50, int), np.full(50, 7))
+    trees = iforest.grow_roots(points[at], of, roots, 42)
+    for tree, rows in zip(trees, np.split(at, 50), strict=True):
+        inner = tree["feature"] >= 0
+        assert not (tree["feature"] == 2).any()
+        # every cut has two children, and the leaves hold all points of the sample
+        assert sorted(np.concatenate([tree["child"][inner], tree["child"][inner] + 1])) == list(range(1, len(inner)))
+        assert iforest.path_sums(points[rows], [tree]).min() >= 1
+    far = np.vstack([points, [[9, 9, 9]]])
+    s = iforest.anomaly_value(iforest.path_sums(far, trees), 50, 128)
+    assert s.argmax() == 300 and 0 < s.min() and s.max() < 1
+
+
+def test_draws_are_those_of_spark(spark):
+    salts = np.array([0, 5, -7, 2**62, -(2**61)])
+    nodes = np.array([1, 2, 3, 2**40 + 1, 2**61])
+    rows = [(int(s), i, int(n)) for i, (s, n) in enumerate(zip(salts, nodes, strict=True))]
+    df = spark.createDataFrame(rows, "_salt long, tree int, node long")
+    for which in (0, 1):
+        got = [r[0] for r in df.orderBy("tree").select(iforest.node_draw_column(42, which)).collect()]
+        assert got == iforest.node_draws(42, salts, np.arange(5), nodes, which).tolist()
+        assert all(0 <= v < 1 for v in got)
+
+
+def _trees(model):
+    parts = {}
+    for r in model.select(*iforest.PART).collect():
+        parts.setdefault(r["tree"], {})[r["root"]] = {k: np.asarray(r[k]) for k in iforest.NODES}
+    return [iforest.whole_tree(parts[t]) for t in sorted(parts)]
+
+
+def _shape(tree, at=0):
+    f = int(tree["feature"][at])
+    if f < 0:
+        return round(float(tree["path"][at]), 9)
+    c = int(tree["child"][at])
+    return f, float(tree["threshold"][at]), _shape(tree, c), _shape(tree, c + 1)
+
+
+@pytest.fixture
+def task_rows(spark):
+    from oddledger.session import GROUP_ROWS_CONF
+
+    yield lambda n: spark.conf.set(GROUP_ROWS_CONF, str(n))
+    spark.conf.unset(GROUP_ROWS_CONF)
+
+
+def test_large_samples_give_the_same_trees(spark, task_rows, monkeypatch):
+    """However a tree is cut up while it grows, and whichever way rows meet it."""
+    forest = det.get("ml_based", "isolation_forest")
+    df = _forest_rows(spark, 600)
+    config = {"n_estimators": 5, "max_samples": 0.5}
+    whole = forest.fit(df, config)
+    want = scores(forest.run(df, config))
+    task_rows(60)
+    parted = forest.fit(df, config)
+    assert whole.count() == 5 < parted.count()
+    assert [_shape(t) for t in _trees(whole)] == [_shape(t) for t in _trees(parted)]
+    assert (scores(forest.run(df, config)) - want).abs().max().max() < 1e-9
+    # bundles of several trees, and trees larger than a bundle
+    for nodes in (500, 100):
+        monkeypatch.setattr(iforest, "FOREST_NODES", nodes)
+        assert iforest.forest_nodes(parted) > nodes
+        assert (scores(forest.score(parted, df)) - want).abs().max().max() < 1e-9
+        assert (scores(forest.score(whole, df)) - want).abs().max().max() < 1e-9
+
+
+def test_large_samples_per_account(spark, task_rows, monkeypatch):
+    forest = det.get("ml_based", "isolation_forest")
+    df = _forest_rows(spark, 300).unionByName(
+        txns(spark, np.random.default_rng(3).normal(5, 1, 60), ["small"] * 60)[0].withColumn("id", F.concat(F.lit("S"), "id"))
+    )
+    config = {"account_specific": True, "n_estimators": 4, "max_samples": 0.9}
+    want = scores(forest.run(df, config))
+    task_rows(40)
+    assert (scores(forest.run(df, config)) - want).abs().max().max() < 1e-9
+    monkeypatch.setattr(iforest, "FOREST_NODES", 70)
+    assert (scores(forest.run(df, config)) - want).abs().max().max() < 1e-9
+
+
+def test_strategy_keeps_a_forest_with_large_samples(spark, task_rows):
+    task_rows(1000)
+    plan = {
+        "algorithms": [
+            {"type": "ml_based", "name": "isolation_forest", "enabled": True,
+             "config": {"max_samples": 0.5, "n_estimators": 3}},
+            {"type": "statistical", "name": "zscore", "enabled": True},
+        ]
+    }
+    run = strategy.plan_strategy(_forest_rows(spark, 3000), plan)
+    assert run.detectors[0] == ("ml_based", "isolation_forest") and not run.skipped
+    assert run.scores.filter("algorithm_type = 'ml_based'").count() == 3000
+
+
+def test_large_forest_on_a_stream(spark, tmp_path, monkeypatch):
+    from oddledger.streaming.score import score_stream, start_scoring
+
+    forest = det.get("ml_based", "isolation_forest")
+    df = _forest_rows(spark, 400)
+    model = forest.fit(df, {"n_estimators": 5})
+    want = scores(forest.score(model, df))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(iforest, "FOREST_NODES", 200)
+    with pytest.raises(AnalysisError):
+        score_stream(model, stream)
+    start_scoring(model, stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    got = scores(spark.read.parquet(str(tmp_path / "out")))
+    assert (got - want).abs().max().max() < 1e-9
 
 
 # -- fusion and strategies ---------------------------------------------------------
@@ -296,6 +409,11 @@ def test_strategy_skips_what_cannot_run(spark):
     assert list(run.skipped) == ["statistical.correlation"]
     listed = strategy.summarise(df, plan).first()["algorithms_skipped"]
     assert listed == run.skipped
+    with pytest.warns(UserWarning, match="correlation"):
+        said = strategy.analyse(df, plan).first()["algorithms_skipped"]
+    assert len(said) == 1 and said[0].startswith("statistical.correlation: ")
+    report = {r["detector"]: r["ran"] for r in strategy.run_report(run, spark).collect()}
+    assert report == {"statistical.zscore": True, "statistical.correlation": False}
     with pytest.raises(AnalysisError):
         strategy.plan_strategy(df, {"algorithms": plan["algorithms"][:1]})
 

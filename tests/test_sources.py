@@ -1,7 +1,9 @@
 """Readers, landing audit, stored tables and streams on small files."""
 
+import csv
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from oddledger.errors import IngestError
 from oddledger.operators.detectors import get
 from oddledger import session
-from oddledger.operators.transform import transform
+from oddledger.operators.transform import transform, transformation_stats
 from oddledger.session import scratch, temporary
 from oddledger.sources import landing, readers, tables
 from oddledger.streaming.ingest import start_ingest
@@ -46,6 +48,97 @@ def test_csv_row_numbers_over_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def csv_by_row(spark, path, **options):
+    found = readers.read_csv(spark, str(path), **options)
+    rows = found.orderBy("_source_file", "_row_number").collect()
+    return found.columns, [r.asDict() for r in rows]
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,account_id,timestamp,amount\n1,A,2024-01-01,5\n")
+    (tmp_path / "b.csv").write_text("\ufeffaccount_id,ID,amount,timestamp,extra\nB,2,7,2024-01-02,x\nC,3\n")
+    (tmp_path / "c.csv").write_text("\n\nid\n9\n")
+    columns, rows = csv_by_row(spark, tmp_path)
+    assert columns[:5] == ["id", "account_id", "timestamp", "amount", "extra"]
+    got = [tuple(r[c] for c in columns[:5]) for r in rows]
+    assert got == [
+        ("1", "A", "2024-01-01", "5", None),
+        ("2", "B", "2024-01-02", "7", "x"),
+        ("3", "C", None, None, None),
+        ("9", None, None, None, None),
+    ]
+
+
+def python_csv(path):
+    with open(path, newline="", encoding="utf-8") as f:
+        return [
+            {k: (v.replace("\r\n", "\n").strip(" ") or None) for k, v in r.items()} for r in csv.DictReader(f)
+        ]
+
+
+def quoted_file(path, seed, rows=400):
+    """Values with separators, quotes, doubled quotes and line breaks, among plain ones."""
+    draw = random.Random(seed)
+    pieces = ['a', 'b,c', 'say ""so""', 'x\ny', '\n', ' ', 'end', '5']
+    lines = ["id,text,more"]
+    for i in range(rows):
+        text = "".join(draw.choices(pieces, k=draw.randint(0, 5)))
+        value = f'"{text}"' if draw.random() < 0.5 else draw.choice(["plain", "", 'it is 5" long'])
+        lines.append(f"{i},{value},{draw.choice(['', 'z', '\"q\"'])}")
+        if draw.random() < 0.05:
+            lines.append("")
+    path.write_text("\n".join(lines) + "\n")
+
+
+@pytest.mark.parametrize("size", ["256", "4k", "128m"])
+def test_csv_line_breaks_in_quotes(spark, tmp_path, monkeypatch, size):
+    """Against Python's reader, at any cut of the file."""
+    for seed in range(3):
+        quoted_file(tmp_path / f"{seed}.csv", seed)
+    monkeypatch.setattr(readers, "RUN_LINES", 50)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        _, rows = csv_by_row(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [r for seed in range(3) for r in python_csv(tmp_path / f"{seed}.csv")]
+    assert [{k: r[k] for k in ("id", "text", "more")} for r in rows] == [
+        {k: None if not (v or "").strip() else v.strip() for k, v in r.items()} for r in want
+    ]
+    assert [r["_row_number"] for r in rows] == [*range(1, 401)] * 3
+
+
+def test_csv_quote_that_nothing_closes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "RECORD_LINES", 5)
+    (tmp_path / "a.csv").write_text('id,text\n1,"open\n' + "".join(f"{i},x\n" for i in range(2, 30)))
+    _, rows = csv_by_row(spark, tmp_path)
+    assert [r["id"] for r in rows] == [str(i) for i in range(1, 30)]
+
+
+def test_csv_without_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,amount\n")
+    assert readers.read_csv(spark, str(tmp_path)).columns[:2] == ["id", "amount"]
+    assert readers.read_csv(spark, str(tmp_path)).count() == 0
+    (tmp_path / "b.csv").write_text("\n\n")
+    assert readers.read_csv(spark, str(tmp_path)).count() == 0
+
+
+def test_json_rejects(spark, tmp_path):
+    good = ['{"id": 1, "amount": 2}', '{"id": 3}', '{"id": 4, "nested": {"a": 1}}']
+    (tmp_path / "cut off [1].json").write_text("\n".join([good[0], '{"id": 2, "amo', *good[1:]]))
+    (tmp_path / "first.json").write_text('{"id": 5, "am\n{"id": 6}\n{"id": 7}\n')
+    (tmp_path / "doc.json").write_text('{\n "transactions": [\n{"id": 8},\n{"id": 9}\n]\n}')
+    (tmp_path / "bad.json").write_text('[{"id": 10},')
+    rows, rejects = readers.read_json_parts(spark, str(tmp_path))
+    assert sorted(r["id"] for r in rows.collect()) == ["1", "3", "4", "6", "7", "8", "9"]
+    found = sorted((r["_source_file"][:3], r["_row_number"], r["text"].strip()) for r in rejects.collect())
+    assert found == [("bad", 1, '[{"id": 10},'), ("cut", 2, '{"id": 2, "amo'), ("fir", 1, '{"id": 5, "am')]
+    stats = transformation_stats(rows, rows.selectExpr(
+        "current_timestamp() as timestamp", "1.0 as amount", "id as account_id"), rejects).first()
+    assert (stats["original_count"], stats["rejected_count"]) == (7, 3)
+
+
 def test_csv_delimiter_and_encoding(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("belopp;konto\n1,5;Ärende\n".encode("latin-1"))
     row = readers.read_csv(spark, str(tmp_path), ";", "ISO-8859-1").first()
@@ -107,6 +200,7 @@ def test_landing_audit(spark, tmp_path):
     assert found["noending"]["warnings"] == ["name.no_ending"]
     assert found["a..b.csv"]["errors"] == ["name.part: .."]
     assert "file.size" in found["long.csv"]["errors"][0]
+    assert found["bad.json"]["rejected"] == 1 and found["good.json"]["rejected"] == 0
 
 
 def test_scores_and_flags_tables(spark):
