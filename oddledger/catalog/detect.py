@@ -8,6 +8,7 @@ from oddledger.catalog.common import FEATS, ORDERS, TXN, events_txn, joined, mic
 from oddledger.operators import detectors as det
 from oddledger.operators.detectors import Transactions, timeseries, weekend
 from oddledger.operators.transform import add_time_features
+from oddledger.session import durable
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -518,6 +519,102 @@ def d5e(spark, d):
     )
 
 
+# the rescaling on a column of the table: what the forest's own decision goes through
+_RANGE = "r AS (SELECT min(amount) AS lo, max(amount) AS hi FROM txn)"
+
+
+@query(
+    "d5d_normalise",
+    f"""WITH {TXN}, {_RANGE} SELECT id, round(CASE WHEN hi - lo <= 0 THEN 0.1
+      ELSE greatest(0.01, least(0.99, (hi - amount) / (hi - lo))) END, 6) AS score FROM txn, r""",
+)
+def d5d_normalise(spark, d):
+    from oddledger.operators.detectors.iforest import normal_score
+
+    df = events_txn(spark, d)
+    low, high = (df.agg(f("amount")).scalar() for f in (F.min, F.max))
+    return df.select("id", r6(normal_score(F.col("amount"), low, high)).alias("score"))
+
+
+@query(
+    "d5e_confidence",
+    f"""WITH {TXN}, {_RANGE}, m AS (SELECT id, amount - (lo + hi) / 2 AS d, (hi - lo) / 2 AS far FROM txn, r)
+      SELECT id, round(CASE WHEN d < 0 THEN greatest(0.1, least(0.95, abs(d) / far + 0.3))
+        ELSE greatest(0.1, least(0.9, abs(d) / far + 0.1)) END, 6) AS confidence FROM m""",
+)
+def d5e_confidence(spark, d):
+    from oddledger.operators.detectors.iforest import confidence_of
+
+    df = events_txn(spark, d)
+    low, high = (df.agg(f("amount")).scalar() for f in (F.min, F.max))
+    half = (high - low) / 2
+    found = confidence_of(F.col("amount") - (low + high) / 2, -half, half)
+    return df.select("id", r6(found).alias("confidence"))
+
+
+def _facts(found, *more):
+    """One row of what holds for scores of any forest."""
+    return found.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.col("score").between(0.01, 0.99)).alias("outside"),
+        F.count_if(~F.col("confidence").between(0.1, 0.95)).alias("unsure"),
+        *more,
+    )
+
+
+_NEAR = F.abs(F.avg(F.col("metadata.is_outlier").cast("double")) - 0.1) < 0.01
+
+
+@query(
+    "d5b_forest_facts",
+    "SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS unsure, true AS share FROM events",
+)
+def d5b_facts(spark, d):
+    """The share of outliers is that asked for, all values lie in their ranges."""
+    return _facts(det.get(*FOREST).run(events_txn(spark, d)), _NEAR.alias("share"))
+
+
+@query(
+    "d5b_forest_large_samples",
+    "SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS unsure, true AS share FROM events",
+)
+def d5b_large(spark, d):
+    """Half of all rows in every tree."""
+    config = {"max_samples": 0.5, "n_estimators": 5}
+    return _facts(det.get(*FOREST).run(events_txn(spark, d), config), _NEAR.alias("share"))
+
+
+@query(
+    "d5c_forest_account_facts",
+    f"""WITH {TXN}, c AS (SELECT account_id, count(*) AS k FROM txn GROUP BY 1)
+      SELECT CAST(sum(k) AS BIGINT) AS n, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS unsure,
+        CAST(coalesce(sum(k) FILTER (k < 60), 0) AS BIGINT) AS too_few FROM c""",
+)
+def d5c_facts(spark, d):
+    """Rows of accounts with too few rows have the fixed pair of values."""
+    config = {"account_specific": True, "n_estimators": 20, "min_samples_fit": 60}
+    found = det.get(*FOREST).run(events_txn(spark, d), config)
+    few = (F.col("score") == 0.1) & (F.col("confidence") == 0.3) & F.col("metadata.reason").isNotNull()
+    return _facts(found, F.count_if(few).alias("too_few"))
+
+
+@query(
+    "d5f_forest_parts",
+    """SELECT count(*) AS n, true AS same FROM events WHERE ts >= TIMESTAMP '2024-01-15'""",
+)
+def d5f_parts(spark, d):
+    """Later rows get one score whether the forest is broadcast or rows meet its parts."""
+    df = events_txn(spark, d)
+    later = df.filter(F.col("timestamp") >= "2024-01-15")
+    model = durable(det.get(*FOREST).fit(df.filter(F.col("timestamp") < "2024-01-15"), {"n_estimators": 30}))
+    whole = det.get(*FOREST).score(model, later).select("transaction_id", "score")
+    parts = det.get(*FOREST).score(model, later, by_parts=True)
+    parts = parts.select("transaction_id", F.col("score").alias("other"))
+    both = whole.join(parts, "transaction_id", "full_outer")
+    far = F.max(F.coalesce(F.abs(F.col("score") - F.col("other")), F.lit(1.0)))
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.coalesce(far, F.lit(0.0)) < 1e-9).alias("same"))
+
+
 @query("d5f_forest_fit_then_score")
 def d5f(spark, d):
     from oddledger.session import scratch

@@ -57,6 +57,51 @@ def s01(spark, d):
     return readers.read_csv(spark, path).select(*_FILE_COLUMNS)
 
 
+@query(
+    "s01_mixed_headers",
+    f"""WITH {TXN} SELECT id, account_id, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS "timestamp",
+      CAST(amount AS VARCHAR) AS amount, category || chr(10) || '"two", lines' AS category FROM txn""",
+)
+def s01_mixed(spark, d):
+    """Files with their columns in different orders; quoted values hold quotes and line breaks."""
+    path = scratch(spark, "csv")
+    rows = _text_events(spark, d).withColumn("category", F.concat("category", F.lit('\n"two", lines')))
+    odd = F.col("id").cast("long") % 2 == 1
+    rows.filter(~odd).write.csv(f"{path}/a", header=True, escape='"')
+    other = ["amount", "category", "id", "timestamp", "account_id"]
+    rows.filter(odd).select(*other).write.csv(f"{path}/b", header=True, escape='"', quoteAll=True)
+    return readers.read_csv(spark, f"{path}/*").select(*_FILE_COLUMNS)
+
+
+_JSON_LINES_SQL = f"""{TXN}, l AS (SELECT id, CAST(id AS BIGINT) % 8 AS part, CAST(id AS BIGINT) % 97 = 0 AS broken,
+      '{{"id": "' || id || '", "account_id": "' || account_id || '"}}' AS line FROM txn),
+    t AS (SELECT id, part, broken, CASE WHEN broken THEN left(line, length(line) - 4) ELSE line END AS line FROM l)"""
+
+
+def _json_lines(spark, d, path: str) -> None:
+    """Eight files with an object on each line; some lines are cut off."""
+    number = F.col("id").cast("long")
+    line = F.concat(
+        F.lit('{"id": "'), "id", F.lit('", "account_id": "'), "account_id", F.lit('"}')
+    )
+    line = F.when(number % 97 == 0, F.left(line, F.length(line) - 4)).otherwise(line)
+    rows = events_txn(spark, d).select((number % 8).alias("part"), line.alias("value"))
+    rows.repartition(8, "part").write.partitionBy("part").text(path)
+
+
+@query(
+    "s02_rejects",
+    f"""WITH {_JSON_LINES_SQL} SELECT CASE WHEN broken THEN NULL ELSE id END AS id, CASE WHEN broken THEN line END AS text FROM t""",
+)
+def s02_rejects(spark, d):
+    """Good lines are records, cut lines are rejects."""
+    path = scratch(spark, "json")
+    _json_lines(spark, d, path)
+    rows, rejects = readers.read_json_parts(spark, f"{path}/*")
+    none = F.lit(None).cast("string")
+    return rows.select("id", none.alias("text")).unionByName(rejects.select(none.alias("id"), "text"))
+
+
 @query("s02_read_json", _FILE_SQL)
 def s02(spark, d):
     path = scratch(spark, "json")
@@ -81,6 +126,23 @@ def s03(spark, d):
     return readers.read_xml(spark, path).select(*_FILE_COLUMNS)
 
 
+@query(
+    "s04_known_files",
+    f"""WITH {TXN}, l AS (SELECT CAST(id AS BIGINT) % 8 AS part, '{{"id":"' || id || '","account_id":"' || account_id || '"}}' AS line FROM txn),
+      f AS (SELECT part, CAST(sum(length(line) + 1) AS BIGINT) AS size FROM l GROUP BY 1)
+      SELECT 'json' AS type, size, CAST(0 AS BIGINT) AS rejected, CASE WHEN size > 4500 THEN 'file.size' ELSE '' END AS error,
+        size <= 4500 AS valid FROM f""",
+)
+def s04_known(spark, d):
+    """Eight files whose sizes follow from the table."""
+    path = scratch(spark, "landing")
+    rows = events_txn(spark, d).select((F.col("id").cast("long") % 8).alias("part"), "id", "account_id")
+    rows.repartition(8, "part").write.partitionBy("part").json(path)
+    found = landing.audit_landing(spark, path, max_bytes=4500).filter(~F.col("file").startswith("_"))
+    error = F.regexp_replace(joined("errors"), ":.*", "")
+    return found.select("type", "size", "rejected", error.alias("error"), "valid")
+
+
 @query("s04_audit_landing")
 def s04(spark, d):
     path = scratch(spark, "landing")
@@ -92,6 +154,25 @@ def s04(spark, d):
     )
 
 
+@query(
+    "s05_required_by_file",
+    f"""WITH {TXN}, p AS (SELECT DISTINCT CAST(id AS BIGINT) % 4 AS part FROM txn)
+      SELECT CASE part WHEN 0 THEN 'amount' WHEN 1 THEN 'timestamp' WHEN 2 THEN 'account_id' ELSE '' END AS missing,
+        part = 3 AS valid FROM p""",
+)
+def s05_by_file(spark, d):
+    """One required column is absent from three of four kinds of files."""
+    path, rows = scratch(spark, "csv"), _text_events(spark, d)
+    for part, gone in enumerate(["amount", "timestamp", "account_id", None]):
+        own = rows.filter(F.col("id").cast("long") % 4 == part)
+        own.select(*[F.col(c).alias(c.upper()) for c in _FILE_COLUMNS if c != gone]).write.csv(
+            f"{path}/{part}", header=True
+        )
+    found = readers.required_by_file(spark, f"{path}/*")
+    # a job writes as many files of a kind as it has tasks
+    return found.select(joined("missing").alias("missing"), "valid").distinct()
+
+
 @query(
     "s05_required_columns",
     "SELECT true AS complete, 'amount,timestamp' AS missing_elsewhere, count(*) AS checked FROM events",

@@ -15,7 +15,7 @@ from oddledger.schema import UPLOAD_STATUSES
 from oddledger.session import scratch
 from oddledger.sources import tables
 from oddledger.streaming.ingest import start_ingest
-from oddledger.streaming.score import score_stream
+from oddledger.streaming.score import score_stream, start_scoring
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -185,6 +185,35 @@ def f09b(spark, d):
     return found.select("transaction_id", r6("final_score").alias("final_score"), "is_anomaly")
 
 
+@query(
+    "f09_preset_comprehensive_facts",
+    "SELECT count(*) AS n, CAST(0 AS BIGINT) AS unlike, 3 AS detectors, 0 AS skipped FROM events",
+)
+def f09b_facts(spark, d):
+    """Every transaction has a result of all three detectors, flagged by the preset's limit."""
+    preset = strategy.PRESETS["Comprehensive Multi-Algorithm"]
+    found = strategy.analyse(events_txn(spark, d), preset)
+    limit = preset["global_settings"]["confidence_threshold"]
+    return found.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("is_anomaly") != (F.col("final_score") >= limit)).alias("unlike"),
+        F.max(F.size("algorithms_used")).alias("detectors"),
+        F.max(F.size("algorithms_skipped")).alias("skipped"),
+    )
+
+
+@query(
+    "f01_run_report",
+    f"""WITH {TXN} SELECT 'statistical.zscore' AS detector, count(*) >= 2 AS ran FROM txn
+      UNION ALL SELECT 'rule_based.periodization', false""",
+)
+def f01_report(spark, d):
+    """A detector that exists nowhere is named in the report."""
+    plan = {"algorithms": [_spec("statistical", "zscore"), _spec("rule_based", "periodization")]}
+    run = strategy.plan_strategy(events_txn(spark, d), plan)
+    return strategy.run_report(run, spark).select("detector", "ran")
+
+
 _CHARACTER = """SELECT count(*) AS transaction_count, count(DISTINCT account_id) AS unique_accounts,
     CAST(floor((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 86400000000) AS BIGINT) AS date_range_days,
     round(avg(amount), 6) AS amount_mean, round(stddev_samp(amount), 6) AS amount_std, min(amount) AS amount_min, max(amount) AS amount_max,
@@ -245,7 +274,15 @@ def f12(spark, d):
     return strategy.compatibility(mixed, events_txn(spark, d)).drop("error")
 
 
-@query("f13_preview")
+_SAMPLED = TXN.replace("txn AS", "every AS") + """, txn AS (
+  SELECT * FROM every ORDER BY sha256(id), id LIMIT 500)"""
+
+
+@query(
+    "f13_preview",
+    f"""WITH {_TWO_SCORES.replace(TXN, _SAMPLED)} SELECT transaction_id, round(max(score), 6) AS final_score,
+      max(score) >= 0.7 AS is_anomaly FROM sc GROUP BY 1""",
+)
 def f13(spark, d):
     found = strategy.preview(TWO, events_txn(spark, d), 500)
     return found.select("transaction_id", r6("final_score").alias("final_score"), "is_anomaly")
@@ -793,6 +830,28 @@ def st1(spark, d):
     )
 
 
+@query(
+    "st2_stream_facts",
+    "SELECT count(*) AS n, true AS same FROM events WHERE ts >= TIMESTAMP '2024-01-15'",
+)
+def st2_facts(spark, d):
+    """A stream gives every arriving row the score that a batch gives it."""
+    df = events_txn(spark, d)
+    later = df.filter(F.col("timestamp") >= "2024-01-15")
+    model = det.get("ml_based", "isolation_forest").fit(
+        df.filter(F.col("timestamp") < "2024-01-15"), {"n_estimators": 25}
+    )
+    arriving, out = scratch(spark, "arriving"), scratch(spark, "scored")
+    later.write.parquet(arriving)
+    stream = spark.readStream.schema(df.schema).parquet(arriving)
+    start_scoring(model, stream, out, scratch(spark, "progress")).awaitTermination()
+    streamed = spark.read.parquet(out).select("transaction_id", F.col("score").alias("other"))
+    batch = det.get("ml_based", "isolation_forest").score(model, later).select("transaction_id", "score")
+    both = batch.join(streamed, "transaction_id", "full_outer")
+    far = F.max(F.coalesce(F.abs(F.col("score") - F.col("other")), F.lit(1.0)))
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.coalesce(far, F.lit(0.0)) < 1e-9).alias("same"))
+
+
 @query("st2_stream_score")
 def st2(spark, d):
     df = events_txn(spark, d)

@@ -429,13 +429,13 @@ def _single_nodes(cuts: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def _normal_score(d: Column, low: Column, high: Column) -> Column:
+def normal_score(d: Column, low: Column, high: Column) -> Column:
     """D5d: invert and rescale to .01-.99; equal values give .1."""
     flat = F.coalesce(high - low, F.lit(0.0)) <= 0
     return F.when(flat, 0.1).otherwise(clamp(F.try_divide(high - d, high - low), 0.01, 0.99))
 
 
-def _confidence(d: Column, low: Column, high: Column) -> Column:
+def confidence_of(d: Column, low: Column, high: Column) -> Column:
     """D5e: distance from the border, more for outliers."""
     largest = F.greatest(F.abs(low), F.abs(high))
     share = F.coalesce(F.try_divide(F.abs(d), largest), F.lit(0.0))
@@ -546,26 +546,34 @@ class IsolationForestDetector(Detector):
         return model, values
 
     def score(
-        self, model: DataFrame, df: DataFrame, values: DataFrame | None = None
+        self,
+        model: DataFrame,
+        df: DataFrame,
+        values: DataFrame | None = None,
+        by_parts: bool | None = None,
     ) -> DataFrame:
-        """Scores against a stored model; the range is that of the training rows."""
+        """Scores against a stored model; the range is that of the training rows.
+
+        ``by_parts`` None: rows meet the parts of the forest where it is too large to broadcast.
+        """
         facts = model.drop(*PART).first()
         config = {**self.default_config, "features": list(facts["requested"])}
         slim, names, _ = _features(df, config)
         if names != list(facts["features"]):
             raise AnalysisError("Feature dimension mismatch")
         if values is None:
-            if df.isStreaming and forest_nodes(model) > FOREST_NODES:
+            large = forest_nodes(model) > FOREST_NODES if by_parts is None else by_parts
+            if df.isStreaming and large:
                 raise AnalysisError("forest too large for a stateless stream: score its batches")
             filled = _filled(slim, list(facts["fills"]))
-            values = _score_values(filled, model, len(names), facts["sample"])
+            values = _score_values(filled, model, len(names), facts["sample"], large)
         df = values.withColumn("_d", -F.col("_s") - F.lit(facts["offset"]))
         low, high = F.lit(facts["low"]), F.lit(facts["high"])
         d = F.col("_d")
         return scored(
             df,
-            _normal_score(d, low, high),
-            _confidence(d, low, high),
+            normal_score(d, low, high),
+            confidence_of(d, low, high),
             _model_metadata(names, d, "global"),
         )
 
@@ -619,8 +627,8 @@ class IsolationForestDetector(Detector):
         d = F.col("_d")
         good = scored(
             scored_rows,
-            _normal_score(d, low, high),
-            _confidence(d, low, high),
+            normal_score(d, low, high),
+            confidence_of(d, low, high),
             _model_metadata(names, d, "account"),
         )
         small = counted.filter(F.col("_n") < least)
@@ -650,11 +658,13 @@ def forest_nodes(forest: DataFrame) -> int:
     return forest.agg(F.sum(F.size("feature"))).first()[0] or 0
 
 
-def _score_values(slim: DataFrame, forest: DataFrame, count: int, sample: int) -> DataFrame:
+def _score_values(
+    slim: DataFrame, forest: DataFrame, count: int, sample: int, by_parts: bool | None = None
+) -> DataFrame:
     """``id`` and s(x).  A forest of up to ``FOREST_NODES`` nodes travels to the executors as
     one broadcast; the rows of a larger one meet its parts."""
     names = [f"_x{i}" for i in range(count)]
-    if forest_nodes(forest) > FOREST_NODES:
+    if forest_nodes(forest) > FOREST_NODES if by_parts is None else by_parts:
         trees = forest.agg(F.count_distinct("tree")).first()[0]
         rows = slim.select("id", *names, F.lit(sample).cast("long").alias("_psi"))
         return _score_by_parts(rows, forest, count, trees, [])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -121,29 +122,10 @@ def csv_rows(stored: DataFrame, delimiter: str = ",", schema: T.StructType | Non
     """Records of ``stored_lines``, their columns by the names in the header of their file."""
     lines = numbered_blocks(stored, "_line", keep=("_start",))
     records = _records(lines, delimiter)
-    heads = durable(
-        records.filter("_start = 0")
-        .groupBy("_source_path")
-        .agg(F.min("_line").alias("_first"), F.min_by("record", "_line").alias("record"))
-    )
-    options = {"sep": delimiter, "quote": QUOTE, "escape": QUOTE, "maxCharsPerColumn": "-1"}
-    options |= {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    # a header has no more fields than separators and one
-    most = heads.agg(F.max(F.length("record") - F.length(F.replace("record", F.lit(delimiter), F.lit(""))))).first()[0]
-    if most is None:
+    heads, fields = _headers(records, delimiter)
+    if heads is None:
         empty = schema or T.StructType()
-        return records.sparkSession.createDataFrame([], empty).withColumns(
-            {"_source_file": F.lit(""), "_source_path": F.lit(""), "_row_number": F.lit(0).cast("long")}
-        )
-    width = most // len(delimiter) + 1
-    kind = ", ".join(f"c{i} string" for i in range(width))
-
-    def fields(record: str) -> Column:
-        found = F.from_csv(record, kind, options)
-        return F.array(*[found[f"c{i}"] for i in range(width)])
-
-    bare = F.regexp_replace("record", "^\ufeff", "")
-    heads = durable(heads.withColumn("record", bare).withColumn("_names", fields("record")).drop("record"))
+        return records.sparkSession.createDataFrame([], T.StructType([*empty.fields, *_TAGS.fields]))
     names = [f.name for f in schema] if schema is not None else _column_names(heads)
     lowered = F.transform("_names", lambda n: F.lower(F.trim(n)))
     # the last one of a repeated name counts, as in a mapping
@@ -171,6 +153,50 @@ def csv_rows(stored: DataFrame, delimiter: str = ",", schema: T.StructType | Non
     )
 
 
+def _headers(records: DataFrame, delimiter: str) -> tuple[DataFrame | None, Callable[[str], Column] | None]:
+    """(the first record of every file as its column names, how to cut a record into fields).
+
+    (None, None) where no file has a record.
+    """
+    heads = durable(
+        records.filter("_start = 0")
+        .groupBy("_source_path")
+        .agg(F.min("_line").alias("_first"), F.min_by("record", "_line").alias("record"))
+    )
+    options = {"sep": delimiter, "quote": QUOTE, "escape": QUOTE, "maxCharsPerColumn": "-1"}
+    options |= {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    # a header has no more fields than separators and one
+    cuts = F.length("record") - F.length(F.replace("record", F.lit(delimiter), F.lit("")))
+    most = heads.agg(F.max(cuts)).first()[0]
+    if most is None:
+        return None, None
+    width = most // len(delimiter) + 1
+    kind = ", ".join(f"c{i} string" for i in range(width))
+
+    def fields(record: str) -> Column:
+        found = F.from_csv(record, kind, options)
+        return F.array(*[found[f"c{i}"] for i in range(width)])
+
+    bare = heads.withColumn("record", F.regexp_replace("record", "^\ufeff", ""))
+    return durable(bare.withColumn("_names", fields("record")).drop("record")), fields
+
+
+def required_by_file(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+    """S5 for every CSV file: (_source_path, present, missing, valid), names in lower case."""
+    lines = numbered_blocks(stored_lines(spark.read.text(path)), "_line", keep=("_start",))
+    heads, _ = _headers(_records(lines, delimiter), delimiter)
+    if heads is None:
+        return spark.createDataFrame(
+            [], "_source_path string, present array<string>, missing array<string>, valid boolean"
+        )
+    named = F.filter("_names", lambda n: F.trim(n) != "")
+    present = F.transform(named, lambda n: F.lower(F.trim(n)))
+    required = F.array(*[F.lit(c) for c in REQUIRED_FIELDS])
+    found = heads.select("_source_path", present.alias("present"))
+    found = found.withColumn("missing", F.array_except(required, "present"))
+    return found.withColumn("valid", F.size("missing") == 0)
+
+
 def _column_names(heads: DataFrame) -> list[str]:
     """Names over all headers in the order they come up; one that differs in case is the same."""
     each = heads.select("_source_path", F.posexplode("_names").alias("at", "name"))
