@@ -1,6 +1,9 @@
 """Token counts by a count-only Viterbi search over a unigram vocabulary.
 
-An Aho-Corasick automaton lists the pieces that end at each character.  For every prefix
+The pieces are those of a model file; their log-probabilities are estimated here over all
+texts, as the file has merge ranks in their place: first from the file's own segmentation of
+every unit, a run of blanks and what follows, then from the best segmentation under the
+estimate before.  An Aho-Corasick automaton lists the pieces that end at each character.  For every prefix
 of a word the search carries the best score and the number of pieces on that path, not
 the path.  Of equal scores the one whose last piece begins first stays; a character
 without a piece of its own costs ten below the lowest score and counts its UTF-8 bytes.
@@ -8,7 +11,8 @@ without a piece of its own costs ten below the lowest score and counts its UTF-8
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +21,14 @@ from pyspark.sql import functions as F
 
 from oddledger.llm.arrow import slices
 from oddledger.llm.pieces import MODEL
+from oddledger.session import shuffle_partitions, staged
 
 SPACE = "▁"
 PENALTY = 10.0
 KEPT_WORDS = 500_000
+UNIT = re.compile(" +[^ ]*")
+# what a piece counts that no text has
+UNSEEN = 0.1
 
 Vocabulary = list[tuple[str, float]]
 
@@ -33,8 +41,13 @@ def load(path: str = MODEL) -> Vocabulary:
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.vocab_size())]
 
 
+def units(text: str) -> list[str]:
+    """A text with its leading space mark, cut before every run of blanks."""
+    return UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
+
+
 class Counter:
-    """Counts tokens; words met before are looked up, and the table is emptied when full."""
+    """Counts tokens; units met before are looked up, and the table is emptied when full."""
 
     def __init__(self, vocabulary: Vocabulary, kept: int = KEPT_WORDS):
         import ahocorasick
@@ -48,6 +61,32 @@ class Counter:
         self.kept = kept
         self.seen: dict[str, int] = {}
 
+    def pieces(self, word: str) -> list[str]:
+        """The pieces on the best path; characters without a piece are left out."""
+        n = len(word)
+        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for end, (length, own, _) in self.automaton.iter(word):
+            ends[end].append((length, own))
+        score, back = [0.0] * (n + 1), [0] * (n + 1)
+        for end in range(n):
+            best, start, single = None, end, False
+            for length, own in sorted(ends[end], reverse=True):
+                single |= length == 1
+                total = score[end + 1 - length] + own
+                if best is None or total > best:
+                    best, start = total, end + 1 - length
+            if not single and (best is None or score[end] + self.lowest > best):
+                best, start = score[end] + self.lowest, -1
+            score[end + 1], back[end + 1] = best, start
+        out, at = [], n
+        while at:
+            if back[at] < 0:
+                at -= 1
+                continue
+            out.append(word[back[at] : at])
+            at = back[at]
+        return out
+
     def word(self, word: str) -> int:
         """Tokens of one word, its leading space mark included."""
         n = len(word)
@@ -85,26 +124,103 @@ class Counter:
         return pieces[n]
 
     def text(self, text: str) -> int:
-        """Tokens of a whole text; a word begins at each space."""
-        if not text:
-            return 0
-        words = text.replace(SPACE, " ").split(" ")
-        if not words[0]:
-            del words[0]
+        """Tokens of a whole text; no piece reaches across the beginning of a unit."""
         total, seen = 0, self.seen
-        for w in words:
-            n = seen.get(w)
+        for unit in units(text):
+            n = seen.get(unit)
             if n is None:
                 if len(seen) >= self.kept:
                     seen.clear()
-                n = seen[w] = self.word(SPACE + w)
+                n = seen[unit] = self.word(unit.replace(" ", SPACE))
             total += n
         return total
 
 
-def count_tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, n_chars, n_tokens) of every row; a null or empty text has none."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+def unit_counts(docs: DataFrame, kept: int = KEPT_WORDS) -> DataFrame:
+    """(unit, n): how often each unit stands in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
+
+        def put() -> pa.RecordBatch:
+            part = pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["unit", "n"]
+            )
+            held.clear()
+            return part
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for text in batch.column(0).to_pylist():
+                    for unit in units(text or ""):
+                        held[unit] = held.get(unit, 0) + 1
+                if len(held) > kept:
+                    yield put()
+        yield put()
+
+    found = docs.select("text").mapInArrow(run, "unit string, n long")
+    return found.groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def _piece_counts(counted: DataFrame, cut: Callable[[], Callable[[str], list[str]]], known: list[str]) -> np.ndarray:
+    """How often each piece stands in the segmentations; the driver gets one number a piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces_of = cut()
+        spot = {piece: i for i, piece in enumerate(known)}
+        total = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for unit, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for piece in pieces_of(unit):
+                    if piece in spot:
+                        total[spot[piece]] += n
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+
+    found = counted.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    out = np.zeros(len(known))
+    for r in found.collect():
+        out[r["id"]] = r["n"]
+    return out
+
+
+def _log_probabilities(total: np.ndarray) -> list[float]:
+    return np.log((total + UNSEEN) / (total.sum() + UNSEEN * len(total))).tolist()
+
+
+def learn(docs: DataFrame, path: str = MODEL, rounds: int = 1) -> Vocabulary:
+    """The pieces of the file with log-probabilities from all texts of ``docs``.
+
+    ``rounds`` estimates follow the first one, each from the best segmentations under the one
+    before.  Without any text all pieces are as likely.
+    """
+    known = [piece for piece, _ in load(path)]
+    counted = staged(unit_counts(docs), "units").repartition(shuffle_partitions(docs.sparkSession), "unit")
+
+    def merged() -> Callable[[str], list[str]]:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda unit: sp.encode(unit[1:], out_type=str)
+
+    scores = _log_probabilities(_piece_counts(counted, merged, known))
+    for _ in range(rounds):
+        vocabulary = list(zip(known, scores, strict=True))
+
+        def best(vocabulary: Vocabulary = vocabulary) -> Callable[[str], list[str]]:
+            counter = Counter(vocabulary)
+            return lambda unit: counter.pieces(unit.replace(" ", SPACE))
+
+        scores = _log_probabilities(_piece_counts(counted, best, known))
+    return list(zip(known, scores, strict=True))
+
+
+def count_tokens(docs: DataFrame, path: str = MODEL, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """(doc_id, n_chars, n_tokens) of every row; a null or empty text has none.
+
+    Without ``vocabulary`` the pieces of the file get their scores from ``docs``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or learn(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)

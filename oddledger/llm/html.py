@@ -30,18 +30,26 @@ INLINE = frozenset(
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-BOILERPLATE = frozenset("nav footer aside form button dialog menu fieldset figcaption".split())
+BOILERPLATE = frozenset("nav footer aside button dialog menu figcaption".split())
+WRAPPERS = frozenset("form fieldset header".split())
 TEXT_ROOTS = frozenset("article main".split())
-# fixed values: words in class and id that tell the role of an element
+# fixed values: words in class and id that tell the role of an element, whatever it holds
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors "
-    "promo promotion banner sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs "
-    "header masthead topbar footer foot bottom comment comments commentlist disqus respond reply "
-    "replies discussion cookie cookies consent gdpr privacy notice notices notification alert popup "
-    "modal overlay newsletter subscribe subscription signup login signin register share sharing "
-    "social follow related recommended recommendations teaser teasers widget widgets tag tags "
-    "pagination pager toolbar copyright legal disclaimer search form hidden skip".split()
+    "promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments "
+    "commentlist disqus respond reply replies cookie cookies consent gdpr popup newsletter subscribe "
+    "subscription hidden skip".split()
 )
+# fixed values: words that say so only of an element without most of the page's prose
+DOUBTFUL_WORDS = frozenset(
+    "banner side rail header masthead topbar foot bottom discussion privacy notice notices "
+    "notification alert modal overlay signup login signin register share sharing social follow "
+    "related recommended recommendations teaser teasers widget widgets tag tags pagination pager "
+    "toolbar copyright legal disclaimer search form".split()
+)
+# fixed values: behind these a name speaks of something else, and so it does where it begins with those
+BESIDE = frozenset("with has no without not is".split())
+ABOUT = frozenset("tag type category cat format status topic author postid has with no is not".split())
 GOOD_WORDS = frozenset("article content story post entry body text main prose".split())
 
 _TAG = re.compile(
@@ -55,6 +63,7 @@ _HIDDEN = re.compile(
     r"""\shidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE
 )
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+PROSE_WORDS = 10
 
 
 @dataclass(frozen=True)
@@ -80,14 +89,22 @@ class Cut:
 
 @dataclass
 class Element:
-    """An open element; the marks hold for all below it."""
+    """An element; ``mark`` is its own: 1 doubtful, 2 boilerplate, 3 hidden.
+
+    ``words`` counts the prose below it.  ``bad`` is the share of the full weight against its
+    text and ``firm`` whether an article inside may not lift it.
+    """
 
     name: str
     number: int
+    up: Element | None = None
     root: bool = False
     good: bool = False
-    bad: bool = False
     link: bool = False
+    mark: int = 0
+    words: float = 0.0
+    bad: float = 0.0
+    firm: int = 0
 
 
 @dataclass
@@ -98,34 +115,70 @@ class Block:
     element: Element
 
 
+def _evidence(names: str) -> set[str]:
+    """Words of the class, id and role names that speak of the element itself."""
+    out = set()
+    for name in names.split():
+        parts = [w.lower() for w in _PART.findall(name)]
+        if len(parts) > 1 and parts[0] in ABOUT:
+            continue
+        beside = next((k for k, w in enumerate(parts) if w in BESIDE), len(parts))
+        out.update(parts[:beside])
+    return out
+
+
 def _marks(name: str, more: str, up: Element, number: int) -> Element:
-    e = Element(name, number, up.root, up.good, up.bad, up.link or name == "a")
+    e = Element(name, number, up, up.root, up.good, up.link or name == "a")
     if name in TEXT_ROOTS:
         e.root = True
-    elif name in BOILERPLATE or (name == "header" and not up.root):
-        e.bad = True
+    elif name in BOILERPLATE:
+        e.mark = 2
+    elif name in WRAPPERS and not (name == "header" and up.root):
+        e.mark = 1
     if not more or name in ("html", "body"):
         return e
     if _HIDDEN.search(more):
-        e.bad = True
+        e.mark = 3
     if name not in INLINE:
-        words = {
-            w.lower()
-            for found in _NAMED.findall(more)
-            for w in _PART.findall(" ".join(found))
-        }
+        words = _evidence(" ".join(" ".join(found) for found in _NAMED.findall(more)))
         # an element of its own kind may carry words about what is around it
-        if name not in TEXT_ROOTS and words & BAD_WORDS and not words & {"article", "story"}:
-            e.bad = True
+        if name not in TEXT_ROOTS and not words & {"article", "story"}:
+            if words & BAD_WORDS:
+                e.mark = max(e.mark, 2)
+            elif words & DOUBTFUL_WORDS:
+                e.mark = max(e.mark, 1)
         if words & GOOD_WORDS:
             e.good = True
     return e
 
 
+def _weigh(elements: list[Element], found: list[Block]) -> None:
+    """Fill in ``bad``: what is doubtful counts less the more of the prose an element holds,
+    and an article or main element lifts marks from around it."""
+    for block in found:
+        words = block.text.count(" ") + 1
+        if words >= PROSE_WORDS:
+            block.element.words += words * (1 - min(1.0, block.linked / len(block.text)))
+    for e in reversed(elements):
+        if e.up is not None:
+            e.up.words += e.words
+    page = elements[0].words
+    for e in elements[1:]:
+        bad, firm = e.up.bad, e.up.firm
+        if (e.name == "main" and firm < 3) or (e.name == "article" and firm < 2):
+            bad, firm = 0.0, 0
+        own = float(e.mark > 1)
+        if e.mark == 1:
+            share = e.words / page if page else 0.0
+            own = min(1.0, max(0.0, (0.8 - share) / 0.3))
+        e.bad, e.firm = max(bad, own), max(firm, e.mark if e.mark > 1 else 0)
+
+
 def blocks(html: str) -> list[Block]:
     """Text blocks of a page in page order; character references are decoded, white space
     inside a block is one space."""
     stack = [Element("", 0)]
+    elements = list(stack)
     out: list[Block] = []
     pieces: list[str] = []
     linked = count = 0
@@ -184,9 +237,11 @@ def blocks(html: str) -> list[Block]:
             continue
         count += 1
         stack.append(_marks(name, tag["more"] or "", stack[-1], count))
+        elements.append(stack[-1])
     if at < len(html):
         add(html[at:])
     close()
+    _weigh(elements, out)
     return out
 
 
@@ -277,7 +332,7 @@ def label(found: list[Block], p: Cut) -> list[bool]:
 
     def tie(a: int, b: int, weight: float) -> None:
         # an element marked as boilerplate should not draw the text around it along
-        same = found[a].element.bad == found[b].element.bad
+        same = (found[a].element.bad > 0.5) == (found[b].element.bad > 0.5)
         edges.append((a, b, weight if same else weight * p.contrast))
 
     last: dict[int, int] = {}

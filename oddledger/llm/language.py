@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from oddledger.llm import bigru
 from oddledger.llm.arrow import append, utf8_column
-from oddledger.llm.sampling import held_out, labelled_sample
+from oddledger.llm.sampling import counted, held_out, labelled_sample
 
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
@@ -55,7 +55,7 @@ def _training_windows(docs: DataFrame, p: LanguageModel) -> pd.DataFrame:
                         break
             yield pd.DataFrame(out, columns=["doc_id", "k", "lang", "piece"])
 
-    picked = rows.join(ids.distinct(), "doc_id", "left_semi").mapInPandas(
+    picked = rows.join(counted(ids.distinct()), "doc_id", "left_semi").mapInPandas(
         cut, "doc_id long, k int, lang string, piece binary"
     )
     return picked.toPandas().sort_values(["doc_id", "k", "piece"], ignore_index=True)
@@ -122,19 +122,22 @@ def with_language(
     if net is None:
         return rows.withColumns({label: F.lit(UNKNOWN), score: F.lit(0.0)}).drop(*omit)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    marker = "_letters"
+    while marker in rows.columns:
+        marker += "_"
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         probs = document_probabilities(net, *utf8_column(batch.column("text")), p)
-        known = batch.column("_letters").to_numpy(zero_copy_only=False)
+        known = batch.column(marker).to_numpy(zero_copy_only=False)
         best = probs.argmax(axis=0)
         name = [labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
         return [pa.array(name, pa.string()), pa.array(np.where(known, probs.max(axis=0), 0.0))]
 
     return append(
-        rows.withColumn("_letters", letters),
+        rows.withColumn(marker, letters),
         compute,
         {label: StringType(), score: DoubleType()},
-        ("_letters", *omit),
+        (marker, *omit),
     )
 
 

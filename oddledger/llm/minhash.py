@@ -25,6 +25,8 @@ from oddledger.llm.hashing import lowered_sets, mix, stream
 from oddledger.session import staged
 
 ROWS = 2048
+# sets that one set is compared with at a time
+COMPARED = 64
 
 
 @dataclass(frozen=True)
@@ -115,42 +117,69 @@ def candidates(classes: DataFrame, p: NearDup) -> DataFrame:
     return found.select("a", F.col("rep").alias("b")).distinct()
 
 
+def rarest_first(sets: list[np.ndarray], p: NearDup) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, sets they stand in, probe, index): the shingles by which linked sets meet.
+
+    With the shingles of every set ordered from the rarest among ``sets`` on, and sets from
+    the smallest on, a set and a smaller one that is linked with it share one of the larger
+    one's first n - ceil(s * n) + 1 (``probe``) and the smaller one's first
+    n - ceil(2 * s / (1 + s) * n) + 1 (``index``) shingles, s the similarity.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, spot, times = np.unique(every, return_inverse=True, return_counts=True)
+    order = np.lexsort((spot, times[spot], owner))
+    place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    probe = sizes - -(-p.num * sizes // p.den) + 1
+    index = sizes - -(-2 * p.num * sizes // (p.num + p.den)) + 1
+    return spot[order], owner, place < probe[owner], place < index[owner]
+
+
 def forest(left: list[tuple], right: list[tuple] | None, p: NearDup) -> list[tuple[int, int]]:
     """Links that span all confirmed links within ``left``, or between ``left`` and ``right``.
 
-    Items are (node, set).  An index from shingle to the right side's sets counts the
-    common shingles of one left set with all right sets in one pass.
+    Items are (node, set).  Candidates share one of their rarest shingles, and pairs that
+    are connected already are not compared.
     """
-    other = left if right is None else right
-    sizes = np.array([len(s) for _, s in other], np.int64)
-    shingles = np.concatenate([s for _, s in other])
-    owner = np.repeat(np.arange(len(other)), sizes)
-    order = np.argsort(shingles, kind="stable")
-    shingles, owner = shingles[order], owner[order]
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
+    items = sorted(
+        [(len(s), 0, n, s) for n, s in left] + [(len(s), 1, n, s) for n, s in right or ()], key=lambda x: x[:3]
+    )
+    nodes = [n for _, _, n, _ in items]
+    sets = [s for _, _, _, s in items]
+    side = np.array([k for _, k, _, _ in items])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    shingles, owner, probe, index = rarest_first(sets, p)
+    by = np.argsort(shingles[index], kind="stable")
+    known, holder = shingles[index][by], owner[index][by]
+    asked, asker = shingles[probe], owner[probe]
+    lo, hi = np.searchsorted(known, asked, "left"), np.searchsorted(known, asked, "right")
+    first = np.searchsorted(asker, np.arange(len(sets) + 1))
+    # rows of one node are one from the start
+    group = np.unique(np.array(nodes, np.int64), return_inverse=True)[1]
     links = []
-    for i, (node, items) in enumerate(left):
-        lo, hi = np.searchsorted(shingles, items, "left"), np.searchsorted(shingles, items, "right")
-        n = hi - lo
-        total = int(n.sum())
-        if not total:
+    for i in range(len(sets)):
+        spans = [holder[a:b] for a, b in zip(lo[first[i] : first[i + 1]], hi[first[i] : first[i + 1]], strict=True) if b > a]
+        if not spans:
             continue
-        spots = np.repeat(hi - np.cumsum(n), n) + np.arange(total)
-        common = np.bincount(owner[spots], minlength=len(other))
-        near = p.den * common >= p.num * (len(items) + sizes - common)
-        if right is None:
-            near[: i + 1] = False
-        for j in np.flatnonzero(near):
-            a, b = root(node), root(other[j][0])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((min(node, other[j][0]), max(node, other[j][0])))
+        near = np.concatenate(spans)
+        near = near[near < i]
+        near = near[(p.den * sizes[near] >= p.num * sizes[i]) & (group[near] != group[i])]
+        if right is not None:
+            near = near[side[near] != side[i]]
+        near = np.unique(near)
+        while len(near):
+            part, near = near[:COMPARED], near[COMPARED:]
+            joined = np.concatenate([sets[j] for j in part])
+            at = np.minimum(np.searchsorted(sets[i], joined), sizes[i] - 1)
+            begin = np.cumsum(sizes[part]) - sizes[part]
+            common = np.add.reduceat((sets[i][at] == joined).astype(np.int64), begin)
+            fine = p.den * common >= p.num * (sizes[i] + sizes[part] - common)
+            for j in part[fine]:
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+            near = near[group[near] != group[i]]
     return links
 
 

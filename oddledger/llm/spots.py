@@ -1,7 +1,9 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
-Wherever a common word stands, the next ``chain`` content words at distance ``spread`` form
-a signature.  A fingerprint is the set of a text's signatures.  Likeness is the Jaccard
+Anchors are the words that the most documents hold, whatever the language.  Wherever one
+stands, the next ``chain`` content words at distance ``spread`` form a signature; a text with
+few of them has a signature at every word too.  A fingerprint is the set of a text's
+signatures.  Likeness is the Jaccard
 similarity of two sets; sets whose lengths alone rule it out are not compared.
 """
 
@@ -20,30 +22,23 @@ from oddledger.llm.arrow import slices
 from oddledger.llm.hashing import mix, stream, words
 from oddledger.session import shuffle_partitions
 
-# fixed values: very common words of English, German, Spanish and French
-ANCHORS = (
-    "a an the is are was were be of to in on at by for from with and or that this it as "
-    "der die das den dem des ein eine ist sind war und oder nicht mit von zu im auf für als sich auch bei nach "
-    "el la los las un una es son que de del y o no se por para con en su lo al como más "
-    "le les une du est et ou ne pas que qui dans sur pour par avec au aux ce il elle"
-).split()
 _PLACE = stream(41, 8) | np.uint64(1)
+# distinct words that a task adds up before it hands them on
+KEPT_WORDS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Spots:
-    """Signatures of ``chain`` content words, ``spread`` content words apart."""
+    """Signatures of ``chain`` content words, ``spread`` content words apart.
+
+    Anchors are the ``anchors`` commonest words, of those in at least two documents.  A text
+    with fewer than ``few`` signatures has one for every run of ``chain`` words besides.
+    """
 
     chain: int = 3
     spread: int = 1
-
-
-def _anchor_hashes() -> np.ndarray:
-    found = []
-    for word in sorted(set(ANCHORS)):
-        data = np.frombuffer(word.encode(), np.uint8)
-        found.append(words(data, np.array([0, len(data)]))[0][0])
-    return np.sort(np.array(found, np.uint64))
+    anchors: int = 128
+    few: int = 6
 
 
 # ends of words that carry punctuation would hide anchors and content words alike
@@ -51,19 +46,64 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[c for c in range(33, 128) if not chr(c).isalnum()]] = 32
 
 
-def fingerprints(texts: list[str], p: Spots) -> list[np.ndarray]:
-    """Sorted distinct 32-bit signatures of each text.
-
-    A text without a full chain after an anchor has one signature, the hash of all its
-    words, so that equal texts are still equal; a text without words has none.
-    """
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, index of the first word of each text plus the end)."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     at = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) for r in raw], out=at[1:])
-    hashes, first = words(_PLAIN[np.frombuffer(b"".join(raw), np.uint8)], at)
-    anchors = _anchor_hashes()
-    spot = np.searchsorted(anchors, hashes)
-    common = anchors[np.minimum(spot, len(anchors) - 1)] == hashes
+    return words(_PLAIN[np.frombuffer(b"".join(raw), np.uint8)], at)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    found, spot = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, spot, np.concatenate([n for _, n in parts]))
+    return found, total
+
+
+def common_words(docs: DataFrame, p: Spots) -> np.ndarray:
+    """Sorted hashes of the words in the most documents, counted over all rows of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def put() -> pa.RecordBatch:
+            found, total = _added(parts)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(total)], ["word", "n"])
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                hashes, first = _hashed([t or "" for t in batch.column(0).to_pylist()])
+                own = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                parts.append(np.unique(np.concatenate(own), return_counts=True))
+                held += len(parts[-1][0])
+                if held > KEPT_WORDS:
+                    parts[:] = [_added(parts)]
+                    held = len(parts[0][0])
+                    if held > KEPT_WORDS // 2:
+                        yield put()
+                        held = 0
+        if parts:
+            yield put()
+
+    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(p.anchors).collect()
+    return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+
+
+def fingerprints(texts: list[str], p: Spots, anchors: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct 32-bit signatures of each text.
+
+    A text shorter than a chain has one signature, the hash of all its words, so that equal
+    texts are still equal; a text without words has none.
+    """
+    hashes, first = _hashed(texts)
+    common = np.zeros(len(hashes), bool)
+    if len(anchors):
+        spot = np.searchsorted(anchors, hashes)
+        common = anchors[np.minimum(spot, len(anchors) - 1)] == hashes
     out = []
     reach = p.spread * (p.chain - 1)
     for a, b in zip(first[:-1], first[1:], strict=True):
@@ -73,16 +113,22 @@ def fingerprints(texts: list[str], p: Spots) -> list[np.ndarray]:
         begin = np.cumsum(~here)[here]
         full = begin + reach < len(content)
         begin = begin[full]
-        if len(begin):
-            total = own[here][full] * _PLACE[0]
-            for j in range(p.chain):
-                total += content[begin + j * p.spread] * _PLACE[j + 1]
-            signs = mix(total)
-        elif len(own):
-            place = mix(np.arange(1, len(own) + 1, dtype=np.uint64)) | np.uint64(1)
-            signs = mix((own * place).sum(keepdims=True))
-        else:
-            signs = own
+        total = own[here][full] * _PLACE[0]
+        for j in range(p.chain):
+            total += content[begin + j * p.spread] * _PLACE[j + 1]
+        signs = np.unique(mix(total))
+        if len(signs) < p.few:
+            if len(own) >= p.chain:
+                total = np.zeros(len(own) - p.chain + 1, np.uint64)
+                for j in range(p.chain):
+                    total += own[j : len(own) - p.chain + 1 + j] * _PLACE[j + 1]
+                more = mix(total)
+            elif len(own):
+                place = mix(np.arange(1, len(own) + 1, dtype=np.uint64)) | np.uint64(1)
+                more = mix((own * place).sum(keepdims=True))
+            else:
+                more = own
+            signs = np.concatenate([signs, more])
         out.append(np.unique((signs >> np.uint64(32)).astype(np.uint32)))
     return out
 
@@ -181,6 +227,7 @@ def fingerprint(docs: DataFrame, p: Spots | None = None) -> DataFrame:
     lone document follows itself.  Null texts are empty; null ids come first.
     """
     p = p or Spots()
+    anchors = common_words(docs, p)
     names = [
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         "near_edited", "near_next", "n_signatures",
@@ -191,7 +238,7 @@ def fingerprint(docs: DataFrame, p: Spots | None = None) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = batch.column(3).to_pylist()
-                signs = fingerprints(texts, p)
+                signs = fingerprints(texts, p, anchors)
                 pairs = []
                 for row in zip(
                     batch.column(0).to_pylist(),
@@ -209,7 +256,7 @@ def fingerprint(docs: DataFrame, p: Spots | None = None) -> DataFrame:
 
     def _rows(pairs: list[tuple]) -> pa.RecordBatch:
         changed = [edited(a[3], b[3]) for a, b in pairs]
-        signs = fingerprints(changed, p)
+        signs = fingerprints(changed, p, anchors)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([a[2] for a, _ in pairs], pa.int64()),

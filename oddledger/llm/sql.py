@@ -42,70 +42,88 @@ FROM documents d JOIN sizes z ON z.doc_id = d.doc_id JOIN smallest m ON m.start
 
 _UNITS = "|".join(UNITS)
 _BARE = r"""trim(regexp_replace(translate({0}, '.,;:!?"()[]{{}}', ''), '[\x20\x09-\x0D]+', ' ', 'g'))"""
-_NAMED = (
-    r"regexp_replace({0}, '([^.!?:\x20\x09-\x0D][ ]+)\p{{Lu}}\p{{Ll}}\p{{L}}*', '\1<name>', 'g')"
-)
-_NUMBERED = r"regexp_replace(lower({0}), '[0-9][0-9.,:/-]*', '<num>', 'g')"
-_UNITED = (
-    r"regexp_replace({0}, '<num>([ ]?)(" + _UNITS + r")([^\p{{L}}]|$)', '<num>\1<unit>\3', 'g')"
-)
-_TEMPLATE = _BARE.format(
-    _UNITED.format(_NUMBERED.format(_NAMED.format(_NAMED.format("coalesce(text, '')"))))
-)
+_WITHIN = r"'([^.!?:\x20\x09-\x0D][ ]+)\p{Lu}\p{Ll}\p{L}*'"
+_EVERY = r"'(^|[\x20\x09-\x0D])\p{Lu}\p{Ll}\p{L}*'"
+
+
+def _template(pattern: str) -> str:
+    named = "coalesce(text, '')"
+    for _ in range(2):
+        named = rf"regexp_replace({named}, {pattern}, '\1<name>', 'g')"
+    numbered = f"regexp_replace(lower({named}), '[0-9][0-9.,:/-]*', '<num>', 'g')"
+    united = rf"regexp_replace({numbered}, '<num>([ ]?)({_UNITS})([^\p{{L}}]|$)', '<num>\1<unit>\3', 'g')"
+    return _BARE.format(united)
+
+
 _RAW = _BARE.format("lower(coalesce(text, ''))")
+_SPLIT = f"""string_split({_RAW}, ' ') AS r, string_split({_template(_WITHIN)}, ' ') AS w,
+           string_split({_template(_EVERY)}, ' ') AS e"""
+_LITERAL = """len(list_filter({0}[pos:pos + k - 1],
+            lambda x: NOT (contains(x, '<num>') OR x IN ('<name>', '<unit>')))) >= least(4, k)"""
 
-OP5 = rf"""
+# a window is read by its raw words (0), with names within sentences (1), with names everywhere (2)
+OP5 = f"""
 WITH docs AS (
-    SELECT DISTINCT doc_id, text, CASE WHEN {_TEMPLATE} = '' THEN [] ELSE string_split({_TEMPLATE}, ' ') END AS w,
-           string_split({_RAW}, ' ') AS r
-    FROM documents
+    SELECT DISTINCT doc_id, text, {_SPLIT} FROM documents
 ), items AS (
-    SELECT DISTINCT item_id, string_split({_TEMPLATE}, ' ') AS w, string_split({_RAW}, ' ') AS r,
-           regexp_matches(regexp_extract(text, '[^\x20\x09-\x0D]+'), '^\p{{Lu}}\p{{Ll}}') AS capital
-    FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL AND {_TEMPLATE} <> ''
-), readings AS (
-    SELECT item_id, w, r, w AS v, false AS second FROM items
-    UNION ALL
-    SELECT item_id, w, r, list_concat(['<name>'], w[2:]), true FROM items WHERE capital
+    SELECT * FROM (SELECT DISTINCT item_id, {_SPLIT} FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL)
+    WHERE w[1] <> ''
+), placed AS (
+    SELECT *, least(8, len(w)) AS k, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS pos FROM items
 ), windows AS (
-    SELECT item_id, k, pos - 1 AS ipos, array_to_string(v[pos:pos + k - 1], ' ') AS g, len(w) AS n
-    FROM (SELECT *, least(8, len(w)) AS k, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS pos FROM readings)
-    WHERE (NOT second OR pos = 1)
-      AND len(list_filter(v[pos:pos + k - 1],
-            lambda x: NOT (contains(x, '<num>') OR x IN ('<name>', '<unit>')))) >= least(4, k)
+    SELECT item_id, k, pos - 1 AS ipos, 0 AS reading, array_to_string(r[pos:pos + k - 1], ' ') AS g, len(w) AS n
+    FROM placed WHERE NOT {_LITERAL.format("w")}
+    UNION ALL
+    SELECT item_id, k, pos - 1, 1, array_to_string(w[pos:pos + k - 1], ' '), len(w) FROM placed WHERE {_LITERAL.format("w")}
+    UNION ALL
+    SELECT item_id, k, pos - 1, 2, array_to_string(e[pos:pos + k - 1], ' '), len(w) FROM placed WHERE {_LITERAL.format("e")}
 ), sizes AS (
     SELECT DISTINCT k FROM windows
+), firsts AS (
+    SELECT DISTINCT split_part(g, ' ', 1) AS first FROM windows
 ), total AS (
-    SELECT item_id, count(DISTINCT ipos) AS windows FROM windows GROUP BY 1
+    SELECT item_id, count(DISTINCT ipos) AS all_, count(DISTINCT ipos) FILTER (reading > 0) AS free FROM windows GROUP BY 1
+), spread AS (
+    SELECT doc_id, text, r, w, e, k, unnest(range(1, len(w) - k + 2)) AS pos FROM docs, sizes WHERE len(w) >= k
 ), own AS (
-    SELECT doc_id, text, len(w) AS n, k, pos - 1 AS dpos, array_to_string(w[pos:pos + k - 1], ' ') AS g
-    FROM (SELECT doc_id, text, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM docs, sizes WHERE len(w) >= k)
+    SELECT doc_id, text, len(w) AS n, k, pos - 1 AS dpos, false AS free, array_to_string(r[pos:pos + k - 1], ' ') AS g FROM spread
+    WHERE r[pos] IN (SELECT first FROM firsts)
+    UNION ALL
+    SELECT doc_id, text, len(w), k, pos - 1, true, array_to_string(w[pos:pos + k - 1], ' ') FROM spread
+    WHERE w[pos] IN (SELECT first FROM firsts)
+    UNION ALL
+    SELECT doc_id, text, len(w), k, pos - 1, true, array_to_string(e[pos:pos + k - 1], ' ') FROM spread
+    WHERE e[pos] IN (SELECT first FROM firsts) AND e[pos:pos + k - 1] <> w[pos:pos + k - 1]
 ), hits AS (
-    SELECT DISTINCT doc_id, text, item_id, o.k, dpos - ipos AS shift, ipos
-    FROM own o JOIN windows i ON o.g = i.g AND o.k = i.k WHERE i.n >= 5 OR i.n = o.n
+    SELECT DISTINCT doc_id, text, item_id, o.k, reading, dpos - ipos AS shift, ipos
+    FROM own o JOIN windows i ON o.g = i.g AND o.k = i.k AND o.free = (i.reading > 0) WHERE i.n >= 5 OR i.n = o.n
 ), spots AS (
-    SELECT DISTINCT doc_id, text, item_id, shift, unnest(range(ipos, ipos + k)) AS i FROM hits
+    SELECT DISTINCT doc_id, text, item_id, k, reading, shift, unnest(range(ipos, ipos + k)) AS i FROM hits WHERE reading > 0
 ), slots AS (
-    SELECT DISTINCT s.doc_id, s.text, s.item_id, shift, i.w[s.i + 1] AS kind, i.r[s.i + 1] AS a, d.r[s.i + shift + 1] AS b
+    SELECT DISTINCT s.doc_id, s.text, s.item_id, s.k, reading, shift,
+           CASE reading WHEN 2 THEN i.e[s.i + 1] ELSE i.w[s.i + 1] END AS kind, i.r[s.i + 1] AS a, d.r[s.i + shift + 1] AS b
     FROM spots s JOIN items i USING (item_id)
-    JOIN docs d ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.text = s.text
-    WHERE contains(i.w[s.i + 1], '<num>') OR i.w[s.i + 1] IN ('<name>', '<unit>')
+    JOIN docs d ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.text IS NOT DISTINCT FROM s.text
 ), checked AS (
-    SELECT doc_id, text, item_id, shift, count(*) AS pairs, count(DISTINCT (kind, a)) AS f,
+    SELECT doc_id, text, item_id, k, reading, shift, count(*) AS pairs, count(DISTINCT (kind, a)) AS f,
            count(DISTINCT (kind, b)) AS t, count(*) FILTER (a <> b) AS changed
-    FROM slots GROUP BY ALL
+    FROM slots WHERE contains(kind, '<num>') OR kind IN ('<name>', '<unit>') GROUP BY ALL
 ), agreeing AS (
     SELECT h.*, coalesce(c.changed, 0) AS changed FROM hits h
-    LEFT JOIN checked c USING (doc_id, text, item_id, shift)
+    LEFT JOIN checked c ON c.doc_id IS NOT DISTINCT FROM h.doc_id AND c.text = h.text AND c.item_id = h.item_id
+        AND c.k = h.k AND c.reading = h.reading AND c.shift = h.shift
     WHERE coalesce(c.pairs = c.f AND c.pairs = c.t, true)
-), found AS (
-    SELECT doc_id, text, item_id, count(DISTINCT ipos) AS matched, min(changed) AS changed
+), counted AS (
+    SELECT doc_id, text, item_id, count(DISTINCT ipos) AS of_all, count(DISTINCT ipos) FILTER (reading > 0) AS of_free,
+           coalesce(min(changed) FILTER (reading > 0), 0) AS changed
     FROM agreeing GROUP BY ALL
+), found AS (
+    SELECT doc_id, text, item_id, changed, CASE WHEN free > 0 AND of_free >= 0.5 * free THEN of_free / free ELSE of_all / all_ END AS share
+    FROM counted JOIN total USING (item_id) WHERE (free > 0 AND of_free >= 0.5 * free) OR of_all >= 0.5 * all_
 ), best AS (
-    SELECT doc_id, text, count(*) AS items,
-           arg_min(item_id, (-matched / windows, item_id)) AS item_id,
-           arg_min(changed, (-matched / windows, item_id)) AS changed
-    FROM found JOIN total USING (item_id) WHERE matched >= 0.5 * windows GROUP BY ALL
+    SELECT doc_id, text, count(*) AS items, arg_min(item_id, (-share, item_id)) AS item_id,
+           arg_min(changed, (-share, item_id)) AS changed
+    FROM found GROUP BY ALL
 )
 SELECT d.doc_id, b.items IS NOT NULL AS contaminated, coalesce(b.items, 0) AS items, b.item_id,
        coalesce(b.changed, 0) AS changed

@@ -18,6 +18,7 @@ from oddledger.session import staged
 # fixed values: the placeholders, the patterns behind them, what is not part of a word
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 NAME_PATTERN = r"([^.!?:\x20\x09-\x0D][ ]+)\p{Lu}\p{Ll}\p{L}*"
+START_PATTERN = r"(^|[\x20\x09-\x0D])\p{Lu}\p{Ll}\p{L}*"
 NUMBER_PATTERN = r"[0-9][0-9.,:/-]*"
 UNITS = (
     "kilometers kilometres kilometer kilometre meters metres meter metre centimeters miles mile "
@@ -57,15 +58,18 @@ def raw_words(text: Column) -> Column:
     return _words(F.coalesce(text, F.lit("")))
 
 
-def template_words(text: Column) -> Column:
+def template_words(text: Column, starts: bool = False) -> Column:
     """Words with placeholders.
 
-    A capitalised word within a sentence is a name.  Names are replaced twice, as a match
-    takes the character before the name, which may be the end of another name.
+    A capitalised word within a sentence is a name; with ``starts`` one that begins a sentence
+    is so too, as in a question about Tom whose sentences begin with Tom.  Names are replaced
+    twice, as a match takes the character before the name, which may end another name.
     """
     named = F.coalesce(text, F.lit(""))
+    # what begins a sentence includes what does not
+    pattern = START_PATTERN if starts else NAME_PATTERN
     for _ in range(2):
-        named = F.regexp_replace(named, NAME_PATTERN, f"$1{NAME}")
+        named = F.regexp_replace(named, pattern, f"$1{NAME}")
     numbered = F.regexp_replace(F.lower(named), NUMBER_PATTERN, NUMBER)
     return _words(F.regexp_replace(numbered, UNIT_PATTERN, f"{NUMBER}$1{UNIT}$3"))
 
@@ -74,44 +78,57 @@ def is_slot(word: Column) -> Column:
     return F.contains(word, F.lit(NUMBER)) | word.isin(NAME, UNIT)
 
 
+# how a window was read: by its raw words, with names within sentences, with names everywhere
+RAW, WITHIN, EVERY = 0, 1, 2
+READINGS = {RAW: "raw", WITHIN: "words", EVERY: "every"}
+
+
 def _windows(words: Column, size: int) -> Column:
-    """(position, hash) of every run of ``size`` words."""
-    return F.when(
-        F.size(words) >= size,
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - size),
-            lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]),
-        ),
-    )
+    """Hash of every run of ``size`` words, by position."""
+    spots = F.sequence(F.lit(0), F.size(words) - size)
+    runs = F.transform(spots, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
+    return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<long>"))
+
+
+def _split(text: Column) -> list[Column]:
+    """The words of a text in all three readings, of one length."""
+    return [
+        raw_words(text).alias("raw"),
+        template_words(text).alias("words"),
+        template_words(text, starts=True).alias("every"),
+    ]
 
 
-def _item_windows(items: DataFrame, size: int, p: Templates) -> DataFrame:
-    """(item_id, ipos, hash) of the items' windows with enough literal words.
+def _item_windows(items: DataFrame, p: Templates) -> DataFrame:
+    """(item_id, size, reading, ipos, hash) of the items' windows.
 
-    The first word of an item may stand within a sentence of a document, where a
-    capital makes it a name, so that reading of the first window is added.
+    A window with enough literal words stands for its template, any other for its raw words.
     """
-    named = F.transform("words", lambda w, i: F.when(i == 0, F.lit(NAME)).otherwise(w))
-    readings = items.select("item_id", "words", F.lit(False).alias("second")).union(
-        items.filter(F.col("first").rlike(r"^\p{Lu}\p{Ll}")).select(
-            "item_id", named, F.lit(True)
-        )
-    )
-    placed = readings.select("item_id", "words", "second", F.posexplode(_windows(F.col("words"), size)))
-    part = F.slice("words", F.col("pos") + 1, size)
-    literal = F.size(F.filter(part, lambda w: ~is_slot(w)))
-    return placed.filter(
-        (literal >= F.least(F.lit(p.literal), F.lit(size))) & (~F.col("second") | (F.col("pos") == 0))
-    ).select("item_id", F.col("pos").alias("ipos"), F.col("col").alias("hash"))
-
-
-def _exact_windows(items: DataFrame, size: int, p: Templates) -> DataFrame:
-    """(item_id, ipos, hash of the raw words) of the windows with too few literal words."""
-    placed = items.select("item_id", "words", F.posexplode(_windows(F.col("raw"), size)))
-    literal = F.size(F.filter(F.slice("words", F.col("pos") + 1, size), lambda w: ~is_slot(w)))
-    return placed.filter(literal < F.least(F.lit(p.literal), F.lit(size))).select(
-        "item_id", F.col("pos").alias("ipos"), F.col("col").alias("hash")
-    )
+    size = F.least(F.lit(p.words), F.size("words"))
+    sized = items.withColumn("size", size)
+    # at most ``words`` different sizes
+    sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())
+    out = None
+    for k in sizes:
+        own = sized.filter(F.col("size") == k)
+
+        def literal(name: str, size: int = k) -> Column:
+            part = F.slice(name, F.col("ipos") + 1, size)
+            return F.size(F.filter(part, lambda w: ~is_slot(w))) >= F.least(F.lit(p.literal), F.lit(size))
+
+        for reading, name in READINGS.items():
+            placed = own.select(
+                "item_id", "size", "words", "every", F.posexplode(_windows(F.col(name), k)).alias("ipos", "hash")
+            )
+            kept = ~literal("words") if reading == RAW else literal(name)
+            part = placed.filter(kept).select("item_id", "size", F.lit(reading).alias("reading"), "ipos", "hash")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _read_as(reading: Column) -> Column:
+    """The item's words as the window was read; raw windows need no placeholders to agree."""
+    return F.when(reading == EVERY, F.col("every")).otherwise(F.col("words"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -> DataFrame:
@@ -119,6 +136,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
 
     ``mark`` is a hash of the text, which tells rows with one doc_id apart.  ``changed``
     counts the values that differ from the item's: above 0, the question was re-parameterised.
+    A window is matched when any reading of it is one of the item's; all windows of a text are
+    made in one pass.
     """
     p = p or Templates()
     spark = docs.sparkSession
@@ -126,64 +145,56 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
         benchmark.filter("text is not null and item_id is not null")
         .select("item_id", "text")
         .distinct()
-        .select(
-            "item_id",
-            template_words(F.col("text")).alias("words"),
-            raw_words(F.col("text")).alias("raw"),
-            F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0).alias("first"),
-        )
+        .select("item_id", *_split(F.col("text")))
         .filter("words[0] <> ''"),
         "items",
     )
-    sized = items.withColumn("size", F.least(F.lit(p.words), F.size("words")))
-    # at most ``words`` different sizes
-    sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())
-    index = None
-    for size in sizes:
-        own = sized.filter(F.col("size") == size)
-        part = _item_windows(own, size, p).withColumn("exact", F.lit(False))
-        part = part.unionByName(_exact_windows(own, size, p).withColumn("exact", F.lit(True)))
-        part = part.withColumn("size", F.lit(size))
-        index = part if index is None else index.unionByName(part)
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    if index is None:
+    found = _item_windows(items, p)
+    if found is None:
         return spark.createDataFrame(
             [], "doc_id long, mark long, item_id long, windows long, matched long, changed long"
         )
-    index = staged(index, "windows")
+    index = staged(found, "windows")
+    free = F.col("reading") != RAW
     counted = index.groupBy("item_id").agg(
         F.countDistinct("ipos").alias("all"),
-        F.countDistinct(F.when(~F.col("exact"), F.col("ipos"))).alias("free"),
+        F.countDistinct(F.when(free, F.col("ipos"))).alias("free"),
     )
     # at most twice as many as sizes
-    kinds = sorted((r["exact"], r["size"]) for r in index.select("exact", "size").distinct().collect())
+    kinds = sorted({(r["reading"] != RAW, r["size"]) for r in index.select("reading", "size").distinct().collect()})
     probe = index.join(items.select("item_id", F.size("words").alias("n")), "item_id").withColumn(
         "whole", F.when(F.col("n") < p.shortest, F.col("n"))
-    ).drop("n")
+    ).withColumn("free", free).drop("n")
     if index.count() <= p.broadcast_rows:
         probe = F.broadcast(probe)
-    split = {
-        exact: marked.select("doc_id", "mark", cut(F.col("text")).alias("words"))
-        for exact, cut in ((False, template_words), (True, raw_words))
-    }
-    found = None
-    for exact, size in kinds:
-        hit = (
-            split[exact].select(
-                "doc_id",
-                "mark",
-                F.size("words").alias("n"),
-                F.posexplode(_windows(F.col("words"), size)).alias("dpos", "hash"),
-            )
-            .join(probe.filter((F.col("size") == size) & (F.col("exact") == exact)), "hash")
-            .filter("whole is null or whole = n")
-            .select("doc_id", "mark", "item_id", "dpos", "ipos", "size", "exact")
+
+    def with_place(hashes: Column, open_: bool, size: int) -> Column:
+        return F.transform(
+            hashes,
+            lambda h, i: F.struct(F.lit(open_).alias("free"), F.lit(size).alias("size"), i.alias("dpos"), h.alias("hash")),
         )
-        found = hit if found is None else found.unionByName(hit)
+
+    made = []
+    for open_, size in kinds:
+        if not open_:
+            made.append(with_place(_windows(F.col("raw"), size), open_, size))
+            continue
+        within, every = _windows(F.col("words"), size), _windows(F.col("every"), size)
+        made.append(with_place(within, open_, size))
+        # the second reading where it differs
+        other = F.zip_with(within, every, lambda a, b: F.when(a != b, b))
+        made.append(F.filter(with_place(other, open_, size), lambda w: w["hash"].isNotNull()))
+    hit = (
+        marked.select("doc_id", "mark", *_split(F.col("text")))
+        .select("doc_id", "mark", F.size("words").alias("n"), F.inline(F.concat(*made)))
+        .join(probe, ["free", "size", "hash"])
+        .filter("whole is null or whole = n")
+    )
     aligned = staged(
-        found.groupBy(
-            "doc_id", "mark", "item_id", "size", "exact", (F.col("dpos") - F.col("ipos")).alias("shift")
-        ).agg(F.collect_set("ipos").alias("at")),
+        hit.groupBy("doc_id", "mark", "item_id", "size", "reading", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(
+            F.collect_set("ipos").alias("at")
+        ),
         "aligned",
     )
     rows = aligned.select("doc_id", "mark").distinct()
@@ -201,12 +212,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
     reached = F.array_distinct(
         F.flatten(F.transform("at", lambda i: F.sequence(i, i + F.col("size") - 1)))
     )
-    slots = F.filter(reached, lambda i: is_slot(F.get("words", i)))
+    read = _read_as(F.col("reading"))
+    slots = F.filter(reached, lambda i: is_slot(F.get(read, i)))
     values = F.array_distinct(
         F.transform(
             slots,
             lambda i: F.struct(
-                F.get("words", i).alias("kind"),
+                F.get(read, i).alias("kind"),
                 F.get("raw", i).alias("item"),
                 F.get("own", i + F.col("shift")).alias("doc"),
             ),
@@ -216,7 +228,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
         "doc_id",
         "mark",
         "item_id",
-        "exact",
+        "reading",
         "at",
         F.size(F.filter("values", lambda v: v["item"] != v["doc"])).alias("changed"),
         F.size(F.array_distinct(F.transform("values", lambda v: F.struct(v["kind"], v["item"])))).alias("from"),
@@ -224,12 +236,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
         F.size("values").alias("pairs"),
     )
     # one to one: no value of the item stands for two of the document, nor the other way round
-    agreeing = checked.filter("exact or (pairs = `from` and pairs = `to`)")
-    free = ~F.col("exact")
+    agreeing = checked.filter((F.col("reading") == RAW) | ((F.col("pairs") == F.col("from")) & (F.col("pairs") == F.col("to"))))
     # the windows that need the same values never count against those that do not
     enough = (F.col("free") > 0) & (F.col("of_free") >= p.coverage * F.col("free"))
     return (
-        agreeing.select("doc_id", "mark", "item_id", "exact", "changed", F.explode("at").alias("ipos"))
+        agreeing.select("doc_id", "mark", "item_id", "reading", "changed", F.explode("at").alias("ipos"))
         .groupBy("doc_id", "mark", "item_id")
         .agg(
             F.countDistinct("ipos").alias("of_all"),
@@ -281,6 +292,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Templates | None = N
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that show no item of the benchmark."""
-    found = matches(docs, benchmark, p).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_m"))
-    return docs.join(found.distinct(), same, "left_anti")
+    found = matches(docs, benchmark, p).select("doc_id", "mark").distinct()
+    # the columns of ``docs`` may have any names
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("own"),
+    )
+    same = F.col("id").eqNullSafe(found["doc_id"]) & (F.col("own") == found["mark"])
+    return rows.join(found, same, "left_anti").select("row.*")

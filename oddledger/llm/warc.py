@@ -102,7 +102,8 @@ def write(pages: DataFrame, least: int = 1000, folder: str | None = None) -> Arc
         "copies",
     )
     # the join carries payloads, so a short table of copies had better come to them
-    fit = F.broadcast if copies.count() <= BROADCAST_ROWS else lambda side: side
+    few = copies.count() <= BROADCAST_ROWS
+    fit = F.broadcast if few else lambda side: side
     owners = copies.filter((F.col("size") >= least) & F.col("owner").isNotNull())
     marked = facts.join(fit(owners.select("address", "owner")), "address", "left").withColumn(
         "refers",
@@ -127,14 +128,20 @@ def write(pages: DataFrame, least: int = 1000, folder: str | None = None) -> Arc
     marked.select("address", F.encode(header, "UTF-8").alias("header")).write.parquet(
         archive.records
     )
-    # copies met as addresses: of each payload one page brings the bytes
+    # of each payload one page brings the bytes
     own = rows.select("address", "payload", _known(F.col("page_id")).alias("own"))
-    kept = own.join(fit(copies.select("address", "page")), "address", "left")
-    kept = kept.filter("page is null or page = own")
-    single = kept.filter("page is null").select("address", "payload")
-    # rows may share that page_id as well
-    shared = kept.filter("page is not null").select("address", "payload").dropDuplicates(["address"])
-    single.unionByName(shared).write.option("compression", "zstd").parquet(archive.payloads)
+    if few:
+        kept = own.join(F.broadcast(copies.select("address", "page")), "address", "left")
+        kept = kept.filter("page is null or page = own")
+        single = kept.filter("page is null").select("address", "payload")
+        shared = kept.filter("page is not null").select("address", "payload")
+        # rows may share that page_id as well
+        stored = single.unionByName(shared.dropDuplicates(["address"]))
+    else:
+        # the pages of a common payload differ, so no task gets all its copies
+        first = facts.groupBy("address").agg(F.max(_known(F.col("page_id"))).alias("own"))
+        stored = own.join(first, ["address", "own"]).select("address", "payload").dropDuplicates(["address"])
+    stored.write.option("compression", "zstd").parquet(archive.payloads)
     return archive
 
 
@@ -185,15 +192,17 @@ def records(archive: Archive, spark: SparkSession) -> DataFrame:
 def index(archive: Archive, spark: SparkSession) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Length and digest are those of the stored bytes, read back once for each payload.
+    All of it comes from the records put together again: the fields from a record's own
+    header, length and digest from its payload.
     """
-    facts = verified(archive, spark).filter("payload is not null").select("address", "size", "sha1")
-    joined = archive.read_records(spark).join(facts, "address")
-    page_id, kind, refers = _page_facts(joined)
-    return joined.select(
+    whole = records(archive, spark)
+    text = F.col("record").cast("string")
+    head = whole.withColumn("header", F.substr(text, F.lit(1), F.instr(text, END * 2) + 3))
+    page_id, kind, refers = _page_facts(head)
+    return head.select(
         page_id,
-        F.col("size").alias("payload_bytes"),
-        F.col("sha1").alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
         kind,
         refers,
     )

@@ -14,17 +14,55 @@ TEXTS = [t or "" for _, t in AWKWARD] + [
 ]
 
 
+def library(vocabulary):
+    tk = tokenizers.Tokenizer(tokenizers.models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    # the text is not cut before the search
+    tk.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    return lambda texts: [len(e.ids) for e in tk.encode_batch(texts, add_special_tokens=False)]
+
+
+CODE = ["def f(x):\n    if x:\n        return  x\n", "a   b  ", "    x", "hello world again", "col1     col2\t3"]
+
+
 def test_like_the_library():
     vocabulary = counts.load()
-    tk = tokenizers.Tokenizer(
-        tokenizers.models.Unigram(vocabulary, unk_id=0, byte_fallback=True)
-    )
-    tk.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(
-        replacement="▁", prepend_scheme="always", split=True
-    )
     counter = counts.Counter(vocabulary, kept=3)
-    want = [len(e.ids) for e in tk.encode_batch(TEXTS, add_special_tokens=False)]
-    assert [counter.text(t) for t in TEXTS] == want
+    # merge ranks give equal sums far more often than probabilities do
+    assert [counter.text(t) for t in TEXTS] == library(vocabulary)(TEXTS)
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    texts = [(t,) for t in TEXTS + CODE] + [("hello world again and again, the world says hello",)] * 50
+    return counts.learn(spark.createDataFrame(texts, "text string").repartition(4))
+
+
+def test_like_the_library_with_learned_scores(learned):
+    counter = counts.Counter(learned)
+    assert [counter.text(t) for t in TEXTS + CODE] == library(learned)(TEXTS + CODE)
+    # as many as the file's own segmentation, and runs of blanks are not a piece a blank
+    assert counter.text("hello world again") == 4
+    assert counter.text("        return") < 6
+
+
+def test_learned_scores_are_log_probabilities(spark, learned):
+    import math
+
+    assert abs(sum(math.exp(s) for _, s in learned) - 1) < 1e-9
+    scores = dict(learned)
+    assert scores["▁world"] > scores["▁river"]
+    empty = counts.learn(spark.createDataFrame([], "text string"))
+    assert len({s for _, s in empty}) == 1
+
+
+def test_path_and_count_agree(learned):
+    counter = counts.Counter(learned)
+    for text in CODE + ["plain words only"]:
+        for unit in counts.units(text):
+            word = unit.replace(" ", counts.SPACE)
+            parts = counter.pieces(word)
+            if "".join(reversed(parts)) == word:
+                assert len(parts) == counter.word(word)
 
 
 def test_best_segmentation():
@@ -44,6 +82,6 @@ def test_best_segmentation():
 
 def test_operator(awkward, documents):
     got = {(r["doc_id"], r["n_chars"]): r["n_tokens"] for r in counts.count_tokens(awkward).collect()}
-    counter = counts.Counter(counts.load())
+    counter = counts.Counter(counts.learn(awkward))
     assert got == {(i, len(t or "")): counter.text(t or "") for i, t in AWKWARD}
     assert counts.count_tokens(documents([])).count() == 0

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from oddledger.llm import html
 from oddledger.llm.html import blocks, main_text, minimum_cut
 
@@ -35,6 +37,32 @@ def test_article_page():
     assert main_text(page) == "Es be.\nEs be.\nTwo words <here> &am"
 
 
+PARAGRAPHS = [
+    f"The {k} day of the journey led them over the hills, and nobody spoke of the town they had left." for k in
+    ("first", "second", "third", "fourth", "fifth")
+]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+MENU = '<ul class="menu"><li><a href=a>Home</a><li><a href=b>News</a></ul>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body>{MENU}<div class="post type-post tag-news">{BODY}</div></body>',
+        f'<body>{MENU}<div class="content-with-sidebar"><article>{BODY}</article></div></body>',
+        f'<body><form id="aspnetForm">{MENU}<main>{BODY}</main></form></body>',
+        f'<body><form id="aspnetForm">{MENU}<div>{BODY}</div></form></body>',
+        f'<body>{MENU}<div class="page-header no-sidebar"><div id="search-result">{BODY}</div></div></body>',
+        f'<body><div class="widget"><main>{BODY}</main><aside><p>{PARAGRAPHS[0]}</p></aside></div></body>',
+        f'<body>{MENU}{BODY}<div id="comments"><article><p>{"I liked it a lot, really. " * 9}</p></article></div></body>',
+        f'<body>{BODY}<div class="related"><p>{"Read this other story about a town by the sea. " * 3}</p></div></body>',
+        f'<body>{BODY}<div style="display:none"><main><p>{PARAGRAPHS[1]}</p></main></div></body>',
+    ],
+)
+def test_wrappers_do_not_hide_the_article(page):
+    assert main_text(page).split("\n") == PARAGRAPHS
+
+
 def test_cut_is_the_smallest():
     draw = random.Random(3)
     for _ in range(150):

@@ -1,6 +1,7 @@
 """Near-duplicates against brute force over all pairs."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -67,6 +68,55 @@ def test_equals_brute_force(documents, num, block):
     assert rows_of(got) == brute(rows, num)
 
 
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("halves", [False, True])
+def test_forest_connects_what_is_linked(seed, halves):
+    draw = np.random.default_rng(seed)
+    p = NearDup()
+    items = []
+    for k in range(60):
+        base = draw.integers(0, 2**62, draw.integers(1, 60), dtype=np.uint64)
+        for _ in range(draw.integers(1, 5)):
+            own = base.copy()
+            own[draw.integers(0, len(own), len(own) // 14)] = draw.integers(0, 2**62, len(own) // 14, dtype=np.uint64)
+            items.append((len(items), np.unique(own)))
+    draw.shuffle(items)
+    cut = len(items) // 2
+    left, right = (items[:cut], items[cut:]) if halves else (items, None)
+    got = minhash.forest(left, right, p)
+    sets = dict(items)
+    pairs = [(a, b) for a, _ in left for b, _ in (right or left) if right or a < b]
+    want = [(a, b) for a, b in pairs if len(np.intersect1d(sets[a], sets[b])) * 100 >= 85 * len(np.union1d(sets[a], sets[b]))]
+
+    def parts(links):
+        parent = list(range(len(items)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        return [sorted(i for i in range(len(items)) if root(i) == root(k)) for k in range(len(items))]
+
+    assert parts(got) == parts(want) and want
+    assert all(tuple(sorted(link)) in {tuple(sorted(w)) for w in want} for link in got)
+
+
+def test_many_alike_but_unlinked_sets_take_little_time():
+    """14 of 16 shingles are common to all, which links none."""
+    draw = np.random.default_rng(1)
+    common = draw.integers(0, 2**62, 14, dtype=np.uint64)
+    items = [(i, np.sort(np.concatenate([common, draw.integers(0, 2**62, 2, dtype=np.uint64)]))) for i in range(20_000)]
+    start = time.perf_counter()
+    assert minhash.forest(items, None, NearDup()) == []
+    assert time.perf_counter() - start < 10
+    near = [(i, np.sort(np.append(common, draw.integers(0, 2**62, 1, dtype=np.uint64)))) for i in range(5_000)]
+    assert len(minhash.forest(near, None, NearDup())) == 4_999
+    assert time.perf_counter() - start < 20
+
+
 def test_awkward_rows(awkward):
     got = minhash.near_duplicates(awkward)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]

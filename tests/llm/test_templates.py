@@ -91,3 +91,52 @@ def test_items_of_few_literal_words_are_found_with_their_values(spark, documents
     got = templates.matches(documents(rows), bench).collect()
     found = {(r["doc_id"], r["item_id"]): r["changed"] for r in got}
     assert found == {(10, 1): 0, (11, 2): 0, (12, 1): 0, (12, 2): 0, (15, 3): 0}
+
+
+def test_names_that_begin_sentences(spark, documents):
+    item = "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have now?"
+    other = item.replace("Tom", "Bob").replace("3", "4").replace("5", "6")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [
+        (10, other),
+        (11, f"Here is a riddle.\n{other} Think about it."),
+        (12, other.replace("Bob buys", "Ann buys")),
+        (13, item),
+        (14, "The man has 3 apples. The man buys 5 more. Where is the man with the apples now?"),
+    ]
+    got = {r["doc_id"]: r["contaminated"] for r in templates.decontaminate(documents(rows), bench).collect()}
+    assert got == {10: True, 11: True, 12: False, 13: True, 14: False}
+
+
+def test_sql_on_planted_items(spark, documents, tmp_path):
+    import duckdb
+
+    from oddledger.llm.queries import SQL, op5_templates
+    from tests.oracle import compare
+
+    tom = "Tom has 3 apples. Tom buys 5 more. How many apples does Tom have now?"
+    many = "Did Anna Smith meet Paul Jones in Rome on 12 May 1999?"
+    bench = [*BENCH[:3], *BENCH[5:], (7, tom), (8, many), (9, "Who wrote Hamlet in 1603?")]
+    texts = [t for _, t in bench] + [CHANGED, tom.replace("Tom", "Bob").replace("3", "4"), f"x {many} y", "Tom", None, ""]
+    texts += [f"Some words before. {t} Some more after it." for t in texts if t]
+    texts += [tom.replace("Tom buys", "Ann buys"), many.replace("Rome", "Bonn"), "Who wrote Faust in 1808?"]
+    documents([(i, t) for i, t in enumerate(texts)] + [(None, tom), (3, many)]).coalesce(1).write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    spark.createDataFrame(bench, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    ok, message = compare(spark, con, "op5", op5_templates, SQL["op5_templates"], str(tmp_path))
+    assert ok, message
+    flagged = [r["doc_id"] for r in op5_templates(spark, str(tmp_path)).filter("contaminated").collect()]
+    assert len(flagged) > len(texts) / 2
+
+
+def test_clean_with_any_column_names(spark, documents):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    docs = documents([(1, ITEM), (2, "plain text")]).selectExpr(
+        "*", "1 as mark", "2 as own", "3 as id", "4 as row", "5 as _d", "6 as words"
+    )
+    kept = templates.clean(docs, bench)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2]
