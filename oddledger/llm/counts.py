@@ -11,6 +11,8 @@ without a piece of its own costs ten below the lowest score and counts its UTF-8
 
 from __future__ import annotations
 
+import collections
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -61,34 +63,60 @@ class Counter:
         self.kept = kept
         self.seen: dict[str, int] = {}
 
+    def _known(self, word: str) -> tuple[list[float], list[int], list[int]] | None:
+        """(scores, piece counts, starts of the last pieces) where every character is a piece.
+
+        The automaton names the longest piece first, so the piece that begins first wins a tie.
+        """
+        score, pieces, back = [0.0], [0], [0]
+        at, single = 0, True
+        for end, (length, own, literal) in self.automaton.iter(word):
+            start = end + 1 - length
+            if end == at:
+                if not single or literal:
+                    return None
+                single = False
+                at += 1
+                score.append(score[start] + own)
+                pieces.append(pieces[start] + 1)
+                back.append(start)
+            elif end > at:
+                return None
+            elif score[start] + own > score[at]:
+                score[at], pieces[at], back[at] = score[start] + own, pieces[start] + 1, start
+            if length == 1:
+                single = True
+        return (score, pieces, back) if single and at == len(word) else None
+
     def pieces(self, word: str) -> list[str]:
-        """The pieces on the best path; characters without a piece are left out."""
-        n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (length, own, _) in self.automaton.iter(word):
-            ends[end].append((length, own))
-        score, back = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(n):
-            best, start, single = None, end, False
-            for length, own in sorted(ends[end], reverse=True):
-                single |= length == 1
-                total = score[end + 1 - length] + own
-                if best is None or total > best:
-                    best, start = total, end + 1 - length
-            if not single and (best is None or score[end] + self.lowest > best):
-                best, start = score[end] + self.lowest, -1
-            score[end + 1], back[end + 1] = best, start
-        out, at = [], n
+        """The pieces on the best path, from the last on.
+
+        A word with a character that is no piece stands for its known parts.
+        """
+        found = self._known(word)
+        if found is None:
+            return [p for part in self._parts(word) for p in self.pieces(part)]
+        out, at = [], len(word)
         while at:
-            if back[at] < 0:
-                at -= 1
-                continue
-            out.append(word[back[at] : at])
-            at = back[at]
+            out.append(word[found[2][at] : at])
+            at = found[2][at]
         return out
 
+    def _parts(self, word: str) -> list[str]:
+        """Runs of characters that are pieces."""
+        return [
+            "".join(run)
+            for known, run in itertools.groupby(word, lambda c: c in self.automaton and c != self.unknown)
+            if known and "".join(run) != word
+        ]
+
     def word(self, word: str) -> int:
         """Tokens of one word, its leading space mark included."""
+        found = self._known(word)
+        return found[1][-1] if found else self._with_unknown(word)
+
+    def _with_unknown(self, word: str) -> int:
+        """The same where a character has no piece of its own."""
         n = len(word)
         ends: list[list[tuple[int, float, bool]]] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(word):
@@ -140,7 +168,7 @@ def unit_counts(docs: DataFrame, kept: int = KEPT_WORDS) -> DataFrame:
     """(unit, n): how often each unit stands in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
+        held: collections.Counter[str] = collections.Counter()
 
         def put() -> pa.RecordBatch:
             part = pa.RecordBatch.from_arrays(
@@ -152,8 +180,7 @@ def unit_counts(docs: DataFrame, kept: int = KEPT_WORDS) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 for text in batch.column(0).to_pylist():
-                    for unit in units(text or ""):
-                        held[unit] = held.get(unit, 0) + 1
+                    held.update(units(text or ""))
                 if len(held) > kept:
                     yield put()
         yield put()
@@ -162,23 +189,25 @@ def unit_counts(docs: DataFrame, kept: int = KEPT_WORDS) -> DataFrame:
     return found.groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def _piece_counts(counted: DataFrame, cut: Callable[[], Callable[[str], list[str]]], known: list[str]) -> np.ndarray:
-    """How often each piece stands in the segmentations; the driver gets one number a piece."""
+def _piece_counts(counted: DataFrame, cut: Callable[[], Callable[[list[str]], list[list[int]]]], size: int) -> np.ndarray:
+    """How often each piece stands in the segmentations; the driver gets one number a piece.
+
+    ``cut`` makes what gives the piece ids of units.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces_of = cut()
-        spot = {piece: i for i, piece in enumerate(known)}
-        total = np.zeros(len(known), np.int64)
+        ids_of = cut()
+        total = np.zeros(size)
         for batch in batches:
-            for unit, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for piece in pieces_of(unit):
-                    if piece in spot:
-                        total[spot[piece]] += n
+            found = ids_of(batch.column(0).to_pylist())
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(lengths.sum()))
+            total += np.bincount(ids, np.repeat(batch.column(1).to_numpy(), lengths), size)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen].astype(np.int64))], ["id", "n"])
 
     found = counted.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(known))
+    out = np.zeros(size)
     for r in found.collect():
         out[r["id"]] = r["n"]
     return out
@@ -197,21 +226,23 @@ def learn(docs: DataFrame, path: str = MODEL, rounds: int = 1) -> Vocabulary:
     known = [piece for piece, _ in load(path)]
     counted = staged(unit_counts(docs), "units").repartition(shuffle_partitions(docs.sparkSession), "unit")
 
-    def merged() -> Callable[[str], list[str]]:
+    def merged() -> Callable[[list[str]], list[list[int]]]:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda unit: sp.encode(unit[1:], out_type=str)
+        return lambda part: sp.encode([unit[1:] for unit in part], num_threads=1)
 
-    scores = _log_probabilities(_piece_counts(counted, merged, known))
+    scores = _log_probabilities(_piece_counts(counted, merged, len(known)))
     for _ in range(rounds):
         vocabulary = list(zip(known, scores, strict=True))
 
-        def best(vocabulary: Vocabulary = vocabulary) -> Callable[[str], list[str]]:
-            counter = Counter(vocabulary)
-            return lambda unit: counter.pieces(unit.replace(" ", SPACE))
+        def best(vocabulary: Vocabulary = vocabulary) -> Callable[[list[str]], list[list[int]]]:
+            counter, spot = Counter(vocabulary), {piece: i for i, (piece, _) in enumerate(vocabulary)}
+            return lambda part: [
+                [spot[piece] for piece in counter.pieces(unit.replace(" ", SPACE))] for unit in part
+            ]
 
-        scores = _log_probabilities(_piece_counts(counted, best, known))
+        scores = _log_probabilities(_piece_counts(counted, best, len(known)))
     return list(zip(known, scores, strict=True))
 
 
