@@ -46,9 +46,9 @@ _WITHIN = r"'([^.!?:\x20\x09-\x0D][ ]+)\p{Lu}\p{Ll}\p{L}*'"
 _EVERY = r"'(^|[\x20\x09-\x0D])\p{Lu}\p{Ll}\p{L}*'"
 
 
-def _template(pattern: str) -> str:
+def _template(pattern: str, times: int) -> str:
     named = "coalesce(text, '')"
-    for _ in range(2):
+    for _ in range(times):
         named = rf"regexp_replace({named}, {pattern}, '\1<name>', 'g')"
     numbered = f"regexp_replace(lower({named}), '[0-9][0-9.,:/-]*', '<num>', 'g')"
     united = rf"regexp_replace({numbered}, '<num>([ ]?)({_UNITS})([^\p{{L}}]|$)', '<num>\1<unit>\3', 'g')"
@@ -56,8 +56,8 @@ def _template(pattern: str) -> str:
 
 
 _RAW = _BARE.format("lower(coalesce(text, ''))")
-_SPLIT = f"""string_split({_RAW}, ' ') AS r, string_split({_template(_WITHIN)}, ' ') AS w,
-           string_split({_template(_EVERY)}, ' ') AS e"""
+_SPLIT = f"""string_split({_RAW}, ' ') AS r, string_split({_template(_WITHIN, 2)}, ' ') AS w,
+           string_split({_template(_EVERY, 1)}, ' ') AS e"""
 _LITERAL = """len(list_filter({0}[pos:pos + k - 1],
             lambda x: NOT (contains(x, '<num>') OR x IN ('<name>', '<unit>')))) >= least(4, k)"""
 

@@ -62,14 +62,16 @@ def template_words(text: Column, starts: bool = False) -> Column:
     """Words with placeholders.
 
     A capitalised word within a sentence is a name; with ``starts`` one that begins a sentence
-    is so too, as in a question about Tom whose sentences begin with Tom.  Names are replaced
-    twice, as a match takes the character before the name, which may end another name.
+    is so too, as in a question about Tom whose sentences begin with Tom.  Names within
+    sentences are replaced twice, as a match takes the character before, which may end another.
     """
     named = F.coalesce(text, F.lit(""))
-    # what begins a sentence includes what does not
-    pattern = START_PATTERN if starts else NAME_PATTERN
-    for _ in range(2):
-        named = F.regexp_replace(named, pattern, f"$1{NAME}")
+    if starts:
+        # what begins a sentence includes what does not
+        named = F.regexp_replace(named, START_PATTERN, f"$1{NAME}")
+    else:
+        for _ in range(2):
+            named = F.regexp_replace(named, NAME_PATTERN, f"$1{NAME}")
     numbered = F.regexp_replace(F.lower(named), NUMBER_PATTERN, NUMBER)
     return _words(F.regexp_replace(numbered, UNIT_PATTERN, f"{NUMBER}$1{UNIT}$3"))
 
@@ -83,11 +85,24 @@ RAW, WITHIN, EVERY = 0, 1, 2
 READINGS = {RAW: "raw", WITHIN: "words", EVERY: "every"}
 
 
-def _windows(words: Column, size: int) -> Column:
-    """Hash of every run of ``size`` words, by position."""
-    spots = F.sequence(F.lit(0), F.size(words) - size)
-    runs = F.transform(spots, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
-    return F.when(F.size(words) >= size, runs).otherwise(F.array().cast("array<long>"))
+# words of a window that the benchmark's own are looked up by, and the most such beginnings
+HEAD, HEADS = 2, 50_000
+
+
+def _window(words: Column, at: Column, size: int) -> Column:
+    """Hash of the ``size`` words from position ``at`` on."""
+    return F.xxhash64(F.slice(words, at + 1, size))
+
+
+def _head(words: str, at: str, size: int) -> str:
+    """Hash of the first words of a window, as SQL."""
+    return f"xxhash64({', '.join(f'get({words}, {at} + {j})' for j in range(min(HEAD, size)))})"
+
+
+def _places(words: Column, size: int) -> Column:
+    """Positions at which ``size`` words begin."""
+    places = F.sequence(F.lit(0), F.size(words) - size)
+    return F.when(F.size(words) >= size, places).otherwise(F.array().cast("array<int>"))
 
 
 def _split(text: Column) -> list[Column]:
@@ -100,7 +115,7 @@ def _split(text: Column) -> list[Column]:
 
 
 def _item_windows(items: DataFrame, p: Templates) -> DataFrame:
-    """(item_id, size, reading, ipos, hash) of the items' windows.
+    """(item_id, size, reading, ipos, hash, head) of the items' windows; head is that of their first words.
 
     A window with enough literal words stands for its template, any other for its raw words.
     """
@@ -117,11 +132,16 @@ def _item_windows(items: DataFrame, p: Templates) -> DataFrame:
             return F.size(F.filter(part, lambda w: ~is_slot(w))) >= F.least(F.lit(p.literal), F.lit(size))
 
         for reading, name in READINGS.items():
-            placed = own.select(
-                "item_id", "size", "words", "every", F.posexplode(_windows(F.col(name), k)).alias("ipos", "hash")
-            )
+            placed = own.withColumn("ipos", F.explode(_places(F.col(name), k)))
             kept = ~literal("words") if reading == RAW else literal(name)
-            part = placed.filter(kept).select("item_id", "size", F.lit(reading).alias("reading"), "ipos", "hash")
+            part = placed.filter(kept).select(
+                "item_id",
+                "size",
+                F.lit(reading).alias("reading"),
+                "ipos",
+                _window(F.col(name), F.col("ipos"), k).alias("hash"),
+                F.expr(_head(name, "ipos", k)).alias("head"),
+            )
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -163,28 +183,41 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Templates | None = None) -
     )
     # at most twice as many as sizes
     kinds = sorted({(r["reading"] != RAW, r["size"]) for r in index.select("reading", "size").distinct().collect()})
-    probe = index.join(items.select("item_id", F.size("words").alias("n")), "item_id").withColumn(
+    probe = index.drop("head").join(items.select("item_id", F.size("words").alias("n")), "item_id").withColumn(
         "whole", F.when(F.col("n") < p.shortest, F.col("n"))
     ).withColumn("free", free).drop("n")
-    if index.count() <= p.broadcast_rows:
+    few = index.count() <= p.broadcast_rows
+    if few:
         probe = F.broadcast(probe)
 
-    def with_place(hashes: Column, open_: bool, size: int) -> Column:
+    def begins(open_: bool, size: int) -> str | None:
+        """The beginnings of the benchmark's windows as a list, unless they are many."""
+        own = index.filter((free == open_) & (F.col("size") == size)).select("head").distinct()
+        heads = own.limit(HEADS + 1).collect() if few else []
+        return ", ".join(str(r["head"]) for r in heads) if 0 < len(heads) <= HEADS else None
+
+    def found_in(name: str, open_: bool, size: int) -> Column:
+        """Windows of a document's words that begin as one of the benchmark's does."""
+        words, heads = F.col(name), begins(open_, size)
+        places = _places(words, size)
+        if heads is not None:
+            longest = f"CASE WHEN size({name}) >= {size} THEN sequence(0, size({name}) - {size}) ELSE array() END"
+            places = F.expr(f"filter({longest}, i -> {_head(name, 'i', size)} IN ({heads}))")
         return F.transform(
-            hashes,
-            lambda h, i: F.struct(F.lit(open_).alias("free"), F.lit(size).alias("size"), i.alias("dpos"), h.alias("hash")),
+            places,
+            lambda i: F.struct(
+                F.lit(open_).alias("free"),
+                F.lit(size).alias("size"),
+                i.alias("dpos"),
+                _window(words, i, size).alias("hash"),
+            ),
         )
 
-    made = []
-    for open_, size in kinds:
-        if not open_:
-            made.append(with_place(_windows(F.col("raw"), size), open_, size))
-            continue
-        within, every = _windows(F.col("words"), size), _windows(F.col("every"), size)
-        made.append(with_place(within, open_, size))
-        # the second reading where it differs
-        other = F.zip_with(within, every, lambda a, b: F.when(a != b, b))
-        made.append(F.filter(with_place(other, open_, size), lambda w: w["hash"].isNotNull()))
+    made = [
+        found_in(name, open_, size)
+        for open_, size in kinds
+        for name in (("words", "every") if open_ else ("raw",))
+    ]
     hit = (
         marked.select("doc_id", "mark", *_split(F.col("text")))
         .select("doc_id", "mark", F.size("words").alias("n"), F.inline(F.concat(*made)))
