@@ -586,3 +586,16 @@ def p16(spark, d):
     return p.compare_statistics(weekday, weekend, ["amount"]).withColumns(
         {c: r6(c) for c in ("left_value", "right_value", "difference")}
     )
+
+
+@query(
+    "p16_schema_differences",
+    f"""WITH {TXN}, {FEATS}, n AS (SELECT count(*) AS n, count(raw_data) AS raw, count(amount) AS amount FROM ft)
+    SELECT unnest(['hour', 'day_of_week', 'is_weekend', 'is_business_hours', 'year', 'month', 'day']) AS "column",
+      'added' AS change, false AS breaking, n AS filled FROM n
+    UNION ALL SELECT 'raw_data', 'removed', true, raw FROM n UNION ALL SELECT 'amount', 'type', true, amount FROM n""",
+)
+def p16_schema(spark, d):
+    df = events_txn(spark, d)
+    new = t.add_time_features(df).drop("raw_data").withColumn("amount", F.col("amount").cast("string"))
+    return p.schema_differences(df, new, ["raw_data"])

@@ -360,6 +360,24 @@ def r03(spark, d):
     return found.select("id", "amount")
 
 
+@query(
+    "r03_page_after",
+    f"""WITH {TXN} SELECT id, amount FROM txn WHERE amount < 50 OR (amount = 50 AND id > '5') OR amount IS NULL
+      ORDER BY amount DESC NULLS LAST, id LIMIT 50""",
+)
+def r03_after(spark, d):
+    found = serve.page_after(events_txn(spark, d), (50.0, "5"), "amount", "desc", 50)
+    return found.select("id", "amount")
+
+
+@query(
+    "r03_far_page",
+    f"""WITH {TXN} SELECT id, amount FROM txn ORDER BY amount DESC NULLS LAST, id LIMIT 20 OFFSET 780""",
+)
+def r03_far(spark, d):
+    return serve.far_page(events_txn(spark, d), "amount", "desc", 40, 20).select("id", "amount")
+
+
 @query(
     "r03_page_info",
     """SELECT count(*) AS total, 3 AS page, 25 AS per_page, count(*) > 75 AS has_next, true AS has_prev FROM events""",
@@ -670,6 +688,22 @@ def r15(spark, d):
     return serve.retention(uploads, df, "2024-02-10").select("id")
 
 
+@query(
+    "r15_removed",
+    f"""WITH {_UP} SELECT txn.id FROM txn JOIN ul ON CAST(CAST(txn."timestamp" AS DATE) AS VARCHAR) = ul.id
+    WHERE NOT upload_timestamp < TIMESTAMP '2024-02-10' - INTERVAL 30 DAY""",
+)
+def r15_removed(spark, d):
+    """What is left in the stored table; a second run finds nothing more to remove."""
+    df, uploads = _uploads(spark, d)
+    path = scratch(spark, "stored")
+    tables.write_transactions(df, path)
+    serve.remove_expired(spark, uploads, path, "2024-02-10")
+    if serve.remove_expired(spark, uploads, path, "2024-02-10"):
+        raise AssertionError("a partition was removed twice")
+    return tables.load_transactions(spark, path).select("id")
+
+
 @query(
     "r15_run_retention",
     f"""WITH {_RU} SELECT id FROM ru WHERE NOT coalesce(completed_at < TIMESTAMP '2024-04-15' - INTERVAL 90 DAY, false)""",
@@ -801,9 +835,12 @@ def e01(spark, d):
 )
 def e02(spark, d):
     """A registered plug-in runs in a strategy like any other detector."""
-    det.register(RoundAmountDetector())
+    plug_in = det.register(RoundAmountDetector())
     plan = {"algorithms": [_spec("rule_based", "round_amount")]}
-    log = detector_log(strategy.run_strategy(events_txn(spark, d), plan))
+    try:
+        log = detector_log(strategy.run_strategy(events_txn(spark, d), plan))
+    finally:
+        det.unregister(plug_in.type, plug_in.name)
     return log.select(
         "algorithm_name",
         F.col("anomalies_found").alias("found"),

@@ -7,6 +7,7 @@ from oddledger.operators.detectors.base import (
     get,
     list_detectors,
     register,
+    unregister,
 )
 
 __all__ = [
@@ -19,6 +20,7 @@ __all__ = [
     "list_detectors",
     "register",
     "timeseries",
+    "unregister",
     "weekend",
     "zscore",
 ]

@@ -125,6 +125,11 @@ def register(detector: Detector) -> Detector:
     return detector
 
 
+def unregister(type: str, name: str) -> None:
+    """Take a plug-in out again; an unknown one is passed over."""
+    _REGISTRY.pop((type, name), None)
+
+
 def get(type: str, name: str) -> Detector:
     try:
         return _REGISTRY[(type, name)]

@@ -311,8 +311,8 @@ def table_stats(
 ) -> DataFrame:
     """One row of aggregates and exact quantiles ``name: (column, p)``.
 
-    Up to ``groupRows`` rows all of it is one aggregation; beyond that each
-    quantile column is sorted over all tasks.
+    Up to ``groupRows`` rows all of it is one aggregation; beyond that the values of all
+    quantile columns are sorted over all tasks together.
     """
     rows = df.count() if rows is None else rows
     plain = [agg.alias(name) for name, agg in aggregates.items()]
@@ -327,10 +327,17 @@ def table_stats(
             picks += [F.col(f"_q{i}")[k].alias(n) for k, n in enumerate(names)]
         return df.agg(*plain, *arrays).select(*aggregates, *picks)
     parts = [df.agg(*plain)] if plain else []
-    by_probs: dict[str, dict[str, float]] = {}
-    for name, (value, p) in quantiles.items():
-        by_probs.setdefault(value, {})[name] = p
-    parts += [global_quantiles(df, value, probs, rows) for value, probs in by_probs.items()]
+    if quantiles:
+        # all columns in one exchange, a row for each value
+        values = sorted({value for value, _ in quantiles.values()})
+        cells = [
+            F.struct(F.lit(i).alias("_q"), F.col(f"`{value}`").cast("double").alias("_qv"))
+            for i, value in enumerate(values)
+        ]
+        long = df.select(F.explode(F.array(*cells)).alias("_cell")).select("_cell.*")
+        found = sorted_quantiles(long, ["_q"], "_qv", {name: p for name, (_, p) in quantiles.items()})
+        own = {name: F.col("_q") == values.index(value) for name, (value, _) in quantiles.items()}
+        parts.append(found.agg(*[F.max(F.when(own[name], F.col(name))).alias(name) for name in quantiles]))
     return merge_rows(*parts)
 
 

@@ -241,6 +241,31 @@ def schema_changes(old: T.StructType, new: T.StructType, required: list[str]) ->
     return changes
 
 
+def schema_differences(old: DataFrame, new: DataFrame, required: list[str] | None = None) -> DataFrame:
+    """(column, change, breaking, filled): the columns that differ between two tables.
+
+    ``filled`` counts the values of the column that are not NULL, in the new table or, where it
+    is gone, in the old one.
+    """
+    changes = schema_changes(old.schema, new.schema, required or [])
+    spark = new.sparkSession
+    listed = spark.createDataFrame(
+        [(c["column"], c["change"], c["breaking"]) for c in changes],
+        "column string, change string, breaking boolean",
+    )
+    counts = None
+    for df, gone in ((old, True), (new, False)):
+        names = [c["column"] for c in changes if (c["change"] == "removed") == gone]
+        if names:
+            wide = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_f{i}") for i, c in enumerate(names)])
+            part = _long(wide, [(c, "filled", f"_f{i}") for i, c in enumerate(names)])
+            counts = part if counts is None else counts.unionByName(part)
+    if counts is None:
+        return listed.withColumn("filled", F.lit(0).cast("long"))
+    found = counts.select("column", F.col("value").cast("long").alias("filled"))
+    return listed.join(F.broadcast(found), "column")
+
+
 def basic_statistics(
     df: DataFrame, columns: list[str] | None = None, rows: int | None = None
 ) -> DataFrame:

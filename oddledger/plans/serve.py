@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddledger.errors import ConfigError
 from oddledger.operators.fusion import detector_log
-from oddledger.operators.groups import merge_rows, table_stats
+from oddledger.operators.groups import POSITION, merge_rows, position_rows, table_stats
 from oddledger.schema import (
     RUN_RETENTION_DAYS,
     RUN_STATUSES,
     UPLOAD_RETENTION_DAYS,
     UPLOAD_STATUSES,
 )
+from oddledger.sources.tables import drop_partitions
 
 DEFAULT_MIN_SCORE = 0.7
 
@@ -92,14 +93,65 @@ def page(
     per_page: int = 20,
     tie: str = "id",
 ) -> DataFrame:
-    """One page in a total order (top-k, no full sort)."""
+    """One page in a total order (top-k, no full sort); ``far_page`` for those far behind."""
+    key = _sort_key(df, sort_by, sort_order)
+    ordered = df.orderBy(key, tie) if tie in df.columns and tie != sort_by else df.orderBy(key)
+    return ordered.offset((page - 1) * per_page).limit(per_page)
+
+
+def _sort_key(df: DataFrame, sort_by: str, sort_order: str) -> Column:
     if sort_order not in ("asc", "desc"):
         raise ConfigError('sort_order must be "asc" or "desc"')
     if sort_by not in df.columns:
         raise ConfigError(f"cannot sort by {sort_by}")
-    key = F.col(sort_by).desc_nulls_last() if sort_order == "desc" else F.col(sort_by).asc_nulls_last()
-    ordered = df.orderBy(key, tie) if tie in df.columns and tie != sort_by else df.orderBy(key)
-    return ordered.offset((page - 1) * per_page).limit(per_page)
+    return F.col(sort_by).desc_nulls_last() if sort_order == "desc" else F.col(sort_by).asc_nulls_last()
+
+
+def page_after(
+    df: DataFrame,
+    after: tuple | None = None,
+    sort_by: str = "timestamp",
+    sort_order: str = "desc",
+    per_page: int = 20,
+    tie: str = "id",
+) -> DataFrame:
+    """The page behind the row with the sort value and tie value ``after``.
+
+    Rows before it are filtered out where they lie, so every page costs what the first costs.
+    """
+    key = _sort_key(df, sort_by, sort_order)
+    if after is not None:
+        value, last = after
+        column = F.col(sort_by)
+        if value is None:
+            df = df.filter(column.isNull() & (F.col(tie) > last))
+        else:
+            beyond = column < F.lit(value) if sort_order == "desc" else column > F.lit(value)
+            same = (column == F.lit(value)) & (F.col(tie) > last)
+            df = df.filter(beyond | same | column.isNull())
+    return df.orderBy(key, tie).limit(per_page)
+
+
+def far_page(
+    df: DataFrame,
+    sort_by: str = "timestamp",
+    sort_order: str = "desc",
+    page: int = 1,
+    per_page: int = 20,
+    tie: str = "id",
+) -> DataFrame:
+    """A page by its number, however far.
+
+    Keys alone are sorted over all tasks and numbered from the counts of the ranges; the rows
+    of one page are then looked up, so no task gathers the pages before it.
+    """
+    order = [_sort_key(df, sort_by, sort_order), F.col(tie).asc()]
+    keys = df.select(tie, sort_by).withColumn("_one", F.lit(1))
+    placed = position_rows(keys, ["_one"], order, POSITION)
+    first = (page - 1) * per_page
+    wanted = placed.filter(F.col(POSITION).between(first + 1, first + per_page)).select(tie).distinct()
+    rows = df.join(F.broadcast(wanted), tie, "left_semi").select(df.columns)
+    return rows.orderBy(*order)
 
 
 def page_info(df: DataFrame, page: int = 1, per_page: int = 20) -> DataFrame:
@@ -385,3 +437,23 @@ def retention(
 def run_retention(runs: DataFrame, now: str, days: int = RUN_RETENTION_DAYS) -> DataFrame:
     """Runs that are kept; runs that never ended are kept too."""
     return runs.filter(~F.coalesce(_older("completed_at", days, now), F.lit(False)))
+
+
+def remove_expired(
+    spark: SparkSession, uploads: DataFrame, path: str, now: str, days: int = UPLOAD_RETENTION_DAYS
+) -> int:
+    """Delete the stored transactions of expired uploads; the number of uploads removed.
+
+    Only the partitions of expired uploads are touched.  A run that broke off may be repeated:
+    what is gone already is passed over.
+    """
+    ids = expired_uploads(uploads, now, days).select("id").distinct()
+    return drop_partitions(spark, path, "upload_id", ids)
+
+
+def remove_expired_runs(
+    spark: SparkSession, runs: DataFrame, path: str, now: str, days: int = RUN_RETENTION_DAYS
+) -> int:
+    """The same for the scores or flags of runs that ended long ago."""
+    ids = runs.filter(F.coalesce(_older("completed_at", days, now), F.lit(False))).select("id").distinct()
+    return drop_partitions(spark, path, "run_id", ids)

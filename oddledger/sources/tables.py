@@ -108,3 +108,20 @@ def write_rule_flags(weekend_result: DataFrame, path: str, run_id: str) -> None:
 def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     """Scores or flags of one run, by partition."""
     return _stored(spark, path, "run_id").filter(F.col("run_id") == run_id)
+
+
+def drop_partitions(spark: SparkSession, path: str, partition: str, values: DataFrame) -> int:
+    """Delete the partitions named by the one column of ``values``; how many there were.
+
+    The driver goes through names of partitions, as its listing of the table does.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    removed = 0
+    for (value,) in values.toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={escape(str(value))}")
+        system = folder.getFileSystem(conf)
+        if system.exists(folder):
+            removed += bool(system.delete(folder, True))
+    return removed

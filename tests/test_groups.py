@@ -178,3 +178,25 @@ def test_detectors_do_not_depend_on_the_split(spark, kind, name, config):
 
 def test_whole_strategy_under_skew(spark, small_groups):
     assert analyse(skewed(spark)).count() == 3000
+
+
+def test_quantiles_of_all_columns_take_one_exchange(spark, small_groups):
+    """The number of jobs does not follow the number of columns."""
+    from oddledger.operators.groups import table_stats
+
+    df = spark.range(500).selectExpr(
+        "id % 97 as a", "id * 0.5 as b", "if(id % 3 = 0, null, id) as c", "cast(7 as double) as d", "-id as e"
+    )
+    sc = spark.sparkContext
+    jobs, found = [], []
+    for names in (["a", "b"], ["a", "b", "c", "d", "e"]):
+        sc.setJobGroup(f"quantiles-{len(names)}", "")
+        row = table_stats(df, {"n": F.count("a")}, {f"{c}{int(100 * p)}": (c, p) for c in names for p in (0.1, 0.5)}).first()
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"quantiles-{len(names)}")))
+        found.append(row)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    pdf = df.toPandas().astype(float)
+    for c in "abcde":
+        for p in (0.1, 0.5):
+            assert found[1][f"{c}{int(100 * p)}"] == pytest.approx(pdf[c].quantile(p))
+    assert found[1]["n"] == 500 and abs(jobs[0] - jobs[1]) <= 1

@@ -304,3 +304,44 @@ def test_scratch_is_empty_after_a_job(spark, tmp_path):
         made = list(session._scopes[-1])
     assert made and not any(os.path.exists(p.removeprefix("file:")) for p in made)
     assert tables.load_transactions(spark, str(tmp_path / "out"), "u").count() == 2
+
+
+def test_retention_removes_only_what_expired(spark, tmp_path):
+    from oddledger.plans import serve
+
+    path = str(tmp_path / "stored")
+    ids = ["old 1", "old/2", "new", "007"]
+    rows = skewed(spark, 200).withColumn(
+        "upload_id", F.element_at(F.array(*[F.lit(i) for i in ids]), F.abs(F.hash("id")) % 4 + 1)
+    )
+    tables.write_transactions(rows, path)
+    times = ["2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-02-09 00:00:00", "2024-02-01 00:00:00"]
+    uploads = spark.createDataFrame([*zip(ids, times, strict=True), ("never stored", times[0])], "id string, at string").select(
+        "id", F.col("at").cast("timestamp").alias("upload_timestamp")
+    )
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names}
+
+    before = files()
+    assert serve.remove_expired(spark, uploads, path, "2024-02-10") == 2
+    after = files()
+    assert after and all(before[f] == t for f, t in after.items())
+    left = {r[0] for r in tables.load_transactions(spark, path).select("upload_id").distinct().collect()}
+    assert left == {"new", "007"}
+    # a run that is repeated finds nothing more
+    assert serve.remove_expired(spark, uploads, path, "2024-02-10") == 0
+
+
+def test_pages_behind_a_row_make_up_the_whole(spark):
+    from oddledger.plans import serve
+
+    df = skewed(spark, 300).withColumn("amount", F.when(F.hash("id") % 5 != 0, F.floor("amount") % 7))
+    for order in ("asc", "desc"):
+        want = [r["id"] for r in serve.page(df, "amount", order, 1, 1000).collect()]
+        got, after = [], None
+        while rows := serve.page_after(df, after, "amount", order, 60).collect():
+            got += [r["id"] for r in rows]
+            after = (rows[-1]["amount"], rows[-1]["id"])
+        assert got == want
+        assert [r["id"] for r in serve.far_page(df, "amount", order, 4, 40).collect()] == want[120:160]
