@@ -331,12 +331,12 @@ def table_stats(
         # all columns in one exchange, a row for each value
         values = sorted({value for value, _ in quantiles.values()})
         cells = [
-            F.struct(F.lit(i).alias("_q"), F.col(f"`{value}`").cast("double").alias("_qv"))
+            F.struct(F.lit(i).alias("_number"), F.col(f"`{value}`").cast("double").alias("_number_value"))
             for i, value in enumerate(values)
         ]
         long = df.select(F.explode(F.array(*cells)).alias("_cell")).select("_cell.*")
-        found = sorted_quantiles(long, ["_q"], "_qv", {name: p for name, (_, p) in quantiles.items()})
-        own = {name: F.col("_q") == values.index(value) for name, (value, _) in quantiles.items()}
+        found = sorted_quantiles(long, ["_number"], "_number_value", {name: p for name, (_, p) in quantiles.items()})
+        own = {name: F.col("_number") == values.index(value) for name, (value, _) in quantiles.items()}
         parts.append(found.agg(*[F.max(F.when(own[name], F.col(name))).alias(name) for name in quantiles]))
     return merge_rows(*parts)
 
