@@ -562,7 +562,9 @@ def _facts(found, *more):
     )
 
 
-_NEAR = F.abs(F.avg(F.col("metadata.is_outlier").cast("double")) - 0.1) < 0.01
+def _near():
+    """The share of outliers is about the contamination asked for."""
+    return F.abs(F.avg(F.col("metadata.is_outlier").cast("double")) - 0.1) < 0.01
 
 
 @query(
@@ -571,7 +573,7 @@ _NEAR = F.abs(F.avg(F.col("metadata.is_outlier").cast("double")) - 0.1) < 0.01
 )
 def d5b_facts(spark, d):
     """The share of outliers is that asked for, all values lie in their ranges."""
-    return _facts(det.get(*FOREST).run(events_txn(spark, d)), _NEAR.alias("share"))
+    return _facts(det.get(*FOREST).run(events_txn(spark, d)), _near().alias("share"))
 
 
 @query(
@@ -581,7 +583,7 @@ def d5b_facts(spark, d):
 def d5b_large(spark, d):
     """Half of all rows in every tree."""
     config = {"max_samples": 0.5, "n_estimators": 5}
-    return _facts(det.get(*FOREST).run(events_txn(spark, d), config), _NEAR.alias("share"))
+    return _facts(det.get(*FOREST).run(events_txn(spark, d), config), _near().alias("share"))
 
 
 @query(
