@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def _kendall(x, y):
 def test_moving_rank_correlation(ranks):
     rng = np.random.default_rng(3)
     values = [rng.integers(0, 6, 70).astype(float), rng.integers(0, 4, 70).astype(float), np.ones(70)]
-    found = correlation.moving_block(values, 7, ranks)
+    found = correlation.moving_block(values, 7, "spearman" if ranks else "kendall")
     for i in range(70):
         cut = slice(max(0, i - 7), i + 8)
         x, y = values[0][cut], values[1][cut]
@@ -121,6 +122,69 @@ def test_moving_rank_correlation(ranks):
     assert np.isnan(found["_r0_2"]).all()
 
 
+@pytest.mark.parametrize("kind", ["pearson", "spearman", "kendall"])
+def test_frames_end_at_account_borders(kind):
+    rng = np.random.default_rng(5)
+    border = np.zeros(300, bool)
+    border[[0, 1, 2, 40, 41, 180]] = True
+    values = [rng.lognormal(2, 2, 300), rng.integers(0, 5, 300).astype(float)]
+    values[0][[3, 50, 51, 52, 200]] = np.nan
+    found = correlation.moving_block(values, 9, kind, border)
+    starts = np.flatnonzero(border)
+    for a, e in zip(starts, [*starts[1:], 300]):
+        alone = correlation.moving_block([v[a:e] for v in values], 9, kind)
+        for name, column in alone.items():
+            np.testing.assert_allclose(found[name][a:e], column, rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1e-12, 0.0), (1.0, 1e9)])
+def test_moving_moments_do_not_cancel(scale, offset):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.lognormal(1, 1, 400), 2)
+    x[200] = 1e7  # frames without it keep all their digits
+    x = x * scale + offset
+    y = rng.integers(0, 24, 400).astype(float)
+    left, right = np.maximum(np.arange(400) - 20, 0), np.minimum(np.arange(400) + 20, 399)
+    size, means, co = correlation.moving_moments([x, y], left, right)
+    for i in range(400):
+        a, b = x[left[i] : right[i] + 1], y[left[i] : right[i] + 1]
+        assert size[i] == len(a) and means[0][i] == pytest.approx(a.mean(), rel=1e-14)
+        assert co[0, 0][i] / size[i] == pytest.approx(a.var(), rel=1e-7)
+        assert co[0, 1][i] / size[i] == pytest.approx(np.cov(a, b, bias=True)[0, 1], rel=1e-6, abs=1e-9 * a.std())
+
+
+def test_batches_of_any_size_give_one_result(monkeypatch):
+    rng = np.random.default_rng(8)
+    accounts = np.sort(rng.integers(0, 6, 500)).astype(str)
+    accounts[:260] = "0"
+    table = pa.table(
+        {
+            "id": [f"T{i}" for i in range(500)],
+            "_n": np.full(500, 9),
+            "_f0": rng.integers(0, 9, 500).astype(float),
+            "_f1": rng.random(500),
+            "account_id": accounts,
+            "_block": np.zeros(500, np.int64),
+            "_own": rng.random(500) < 0.9,
+        }
+    )
+    kept = ["id", "_n", "_f0", "_f1"]
+    added = ["_rows", "_m0", "_m1", "_s0", "_s1", "_c0_1", "_r0_1"]
+
+    def run(chunk, batch):
+        monkeypatch.setattr(correlation, "CHUNK", chunk)
+        parts = correlation._moving_batches(
+            iter(table.to_batches(batch)), kept, added, 2, 10, "spearman"
+        )
+        return pa.Table.from_batches(parts).to_pandas()
+
+    whole = run(10_000, 500)
+    assert list(whole["id"]) == [i for i, own in zip(table["id"].to_pylist(), table["_own"].to_pylist()) if own]
+    for chunk, batch in ((40, 7), (64, 33), (100, 500)):
+        pd.testing.assert_frame_equal(run(chunk, batch), whole)
+    assert list(correlation._moving_batches(iter([]), kept, added, 2, 10, "pearson")) == []
+
+
 @pytest.mark.parametrize("kind", ["pearson", "spearman", "kendall"])
 def test_broken_relation_scores_high(spark, kind):
     hours = np.arange(200)

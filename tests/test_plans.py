@@ -52,10 +52,19 @@ def test_summary_reads_only_its_columns(spark, stored):
     assert "raw_data" not in schema and "processed_data" not in schema
 
 
-@pytest.mark.parametrize("name", ["zscore", "correlation"])
-def test_one_exchange_per_account_detector(spark, name):
-    df = get("statistical", name).run(events_txn(spark, FOLDER))
-    assert plan(df).count("Exchange hashpartitioning") == 1
+@pytest.mark.parametrize(
+    "name, config",
+    [
+        ("zscore", None),
+        ("correlation", None),
+        ("correlation", {"correlation_type": "spearman"}),
+        ("correlation", {"correlation_type": "kendall"}),
+    ],
+)
+def test_one_exchange_per_account_detector(spark, name, config):
+    text = plan(get("statistical", name).run(events_txn(spark, FOLDER), config))
+    assert text.count("Exchange hashpartitioning") == 1
+    assert len(re.findall(r"[+:]- \*?(?:\(\d+\) )?Sort ", text)) <= 1
 
 
 def test_detectors_share_the_account_exchange(spark):
