@@ -165,3 +165,15 @@ def test_components(spark):
             parent[b] = a
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted((r["node"], r["component"]) for r in got) == sorted((x, root(x)) for x in parent)
+
+
+def test_components_of_long_chains_hubs_and_odd_ends(spark):
+    chain = [(i, i + 1) for i in range(0, 40)]
+    hub = [(n, 100) for n in range(101, 400)] + [(100, 50), (50, 60)]
+    odd = [(None, 3), (3, None), (None, None), (700, 700), (5, 5), (800, 801), (801, 800), (800, 801)]
+    links = spark.createDataFrame(chain + hub + odd, "a long, b long")
+    got = sorted(tuple(r) for r in components(links).collect())
+    expected = dict.fromkeys(range(0, 41), 0) | dict.fromkeys([50, 60, *range(100, 400)], 50)
+    assert got == sorted((expected | {700: 700, 800: 800, 801: 800}).items())
+    assert components(links.filter("a = -1")).collect() == []
+    assert [tuple(r) for r in components(links.filter("a = 700")).collect()] == [(700, 700)]
