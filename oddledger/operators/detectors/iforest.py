@@ -7,10 +7,12 @@ or one batch of rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,7 @@ from oddledger.operators.detectors.base import (
     scored,
 )
 from oddledger.operators.groups import (
+    Split,
     global_quantiles,
     grouped_columns,
     join_side,
@@ -38,6 +41,9 @@ from oddledger.session import durable, group_rows, shuffle_partitions, spread_sm
 AUTO_SAMPLE = 256
 OVERSAMPLE = 1.5
 SCORE_BLOCK = 200_000
+# rows of whole accounts a task takes at once, and their points in all trees grown together
+ACCOUNT_ROWS = 10_000
+ACCOUNT_POINTS = 200_000
 # nodes of a forest that may go to every executor, or meet a block of rows; some 24 bytes each
 FOREST_NODES = 2_000_000
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -60,13 +66,13 @@ def c_factor(n):
 # -- draws: the same number for a node in NumPy and in a Spark expression ------------
 
 
-def _hash(longs: list[np.ndarray]) -> np.ndarray:
-    """Spark's ``hash`` of long columns (32-bit Murmur3, seed 42)."""
+def _hash(longs: list[np.ndarray], start: np.ndarray | None = None) -> np.ndarray:
+    """Spark's ``hash`` of long columns (32-bit Murmur3, seed 42), or going on from ``start``."""
 
     def turn(x: np.ndarray, by: int) -> np.ndarray:
         return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
 
-    h = np.full(len(longs[0]), 42, np.uint32)
+    h = np.full(len(longs[0]), 42, np.uint32) if start is None else start
     for value in longs:
         bits = value.astype(np.int64).view(np.uint64)
         for word in (bits & np.uint64(0xFFFFFFFF), bits >> np.uint64(32)):
@@ -79,11 +85,16 @@ def _hash(longs: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def _draws(hashed: np.ndarray, which: int) -> np.ndarray:
+    """A number in [0, 1) from the hash of (seed, salt, tree, node)."""
+    ends = (np.full(len(hashed), 2 * which + k) for k in (0, 1))
+    high, low = (_hash([end], hashed).astype(np.uint64) for end in ends)
+    return ((high % np.uint64(1 << 21) << np.uint64(32)) + low).astype(float) / float(1 << 53)
+
+
 def node_draws(seed: int, salt: np.ndarray, tree: np.ndarray, node: np.ndarray, which: int) -> np.ndarray:
     """A number in [0, 1) for each node."""
-    every = [np.full(len(node), seed), salt, tree, node]
-    high, low = (_hash([*every, np.full(len(node), 2 * which + k)]).astype(np.uint64) for k in (0, 1))
-    return ((high % np.uint64(1 << 21) << np.uint64(32)) + low).astype(float) / float(1 << 53)
+    return _draws(_hash([np.full(len(node), seed), salt, tree, node]), which)
 
 
 def node_draw_column(seed: int, which: int) -> Column:
@@ -110,59 +121,75 @@ class Roots:
     limit: np.ndarray
 
 
-def grow_roots(points: np.ndarray, at: np.ndarray, roots: Roots, seed: int) -> list[dict[str, np.ndarray]]:
-    """Grow all roots level by level; ``at`` is the root of every point.
+def grow_nodes(
+    points: np.ndarray, at: np.ndarray, roots: Roots, seed: int
+) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Grow all roots level by level; ``at`` is the root of every point, and every root has points.
 
-    Gives flat arrays for each root; ``child`` is the left child, the right one follows.
+    Gives the root of every node and the nodes, the roots first; ``child`` is the left child,
+    the right one follows.
     """
-    rows, spot = np.arange(len(points)), at
+    # a row for each feature; points of a node lie together
+    part = points.T if (at[1:] >= at[:-1]).all() else points[np.argsort(at, kind="stable")].T
+    part = np.ascontiguousarray(part)
+    size = np.bincount(at, minlength=len(roots.tree))
     root, heap = np.arange(len(roots.tree)), roots.node.astype(np.int64)
+    hashed = _hash([np.full(len(root), seed), roots.salt, roots.tree])
     depth = np.array([int(h).bit_length() - 1 for h in heap], np.int64)
     levels, made = [], 0
     while len(root):
-        order = np.argsort(spot, kind="stable")
-        rows, spot = rows[order], spot[order]
-        begin = np.searchsorted(spot, np.arange(len(root)))
-        part = points[rows]
-        low, high = np.minimum.reduceat(part, begin), np.maximum.reduceat(part, begin)
-        size = np.diff(np.append(begin, len(rows)))
+        begin = np.cumsum(size) - size
+        low, high = (np.stack([end.reduceat(x, begin) for x in part]) for end in (np.minimum, np.maximum))
         usable = high > low
-        kinds = usable.sum(axis=1)
+        kinds = usable.sum(axis=0)
         cut = (depth < roots.limit[root]) & (kinds > 0)
-        pick, share = (
-            node_draws(seed, roots.salt[root], roots.tree[root], heap, which) for which in (0, 1)
-        )
-        nth = np.floor(pick * kinds).astype(np.int64)
-        feature = np.where(cut, np.argmax(np.cumsum(usable, axis=1) > nth[:, None], axis=1), -1)
-        own = np.arange(len(root)), np.maximum(feature, 0)
+        inner = np.flatnonzero(cut)
+        drawn = _hash([heap[inner]], hashed[root[inner]])
+        nth = np.floor(_draws(drawn, 0) * kinds[inner]).astype(np.int64)
+        chosen = np.argmax(np.cumsum(usable[:, inner], axis=0) > nth, axis=0)
+        bottom, top = low[chosen, inner], high[chosen, inner]
         with np.errstate(invalid="ignore"):
-            threshold = low[own] + share * (high[own] - low[own])
+            border = bottom + _draws(drawn, 1) * (top - bottom)
             # a draw that hits the upper end goes to the lower one
-            threshold = np.where(threshold < high[own], threshold, low[own])
-        threshold = np.where(cut, threshold, 0.0)
-        child = np.where(cut, made + len(root) + 2 * (np.cumsum(cut) - 1), -1)
+            border = np.where(border < top, border, bottom)
+        feature, threshold = np.full(len(root), -1), np.zeros(len(root))
+        feature[inner], threshold[inner] = chosen, border
+        child = np.full(len(root), -1)
+        child[inner] = made + len(root) + 2 * np.arange(len(inner))
         path = np.where(cut, 0.0, depth + c_factor(size))
         levels.append((root, feature, threshold, child, path))
         made += len(root)
-        on = cut[spot]
-        rows, spot = rows[on], spot[on]
-        right = points[rows, feature[spot]] > threshold[spot]
-        spot = 2 * (np.cumsum(cut) - 1)[spot] + right
-        root, depth = np.repeat(root[cut], 2), np.repeat(depth[cut] + 1, 2)
-        heap = np.repeat(2 * heap[cut], 2)
+        kept, size = np.flatnonzero(np.repeat(cut, size)), size[inner]
+        begin = np.cumsum(size) - size
+        value = part.ravel()[np.repeat(chosen * part.shape[1], size) + kept]
+        right = value > np.repeat(border, size)
+        passed = np.append(0, np.cumsum(right))
+        rights = passed[begin + size] - passed[begin]
+        # within a node the points of the left child come first
+        passed = passed[:-1] - np.repeat(passed[begin], size)
+        place = np.where(right, np.repeat(begin + size - rights, size) + passed, np.arange(len(kept)) - passed)
+        come = np.empty(len(kept), np.int64)
+        come[place] = kept
+        part = part[:, come]
+        size = np.stack([size - rights, rights], axis=1).ravel()
+        root, depth = np.repeat(root[inner], 2), np.repeat(depth[inner] + 1, 2)
+        heap = np.repeat(2 * heap[inner], 2)
         heap[1::2] += 1
-    of, feature, threshold, child, path = (np.concatenate(c) for c in zip(*levels, strict=True))
+    of, *nodes = (np.concatenate(c) for c in zip(*levels, strict=True))
+    return of, dict(zip(NODES, nodes, strict=True))
+
+
+def grow_roots(points: np.ndarray, at: np.ndarray, roots: Roots, seed: int) -> list[dict[str, np.ndarray]]:
+    """``grow_nodes`` as flat arrays for each root."""
+    of, nodes = grow_nodes(points, at, roots, seed)
     # nodes of one root lie together, in the order they were made
     order = np.argsort(of, kind="stable")
     begin = np.searchsorted(of[order], np.arange(len(roots.tree) + 1))
     place = np.empty(len(of), np.int64)
     place[order] = np.arange(len(of)) - begin[of[order]]
-    child = np.where(child >= 0, place[child], -1)
-    out = []
-    for low_, high_ in zip(begin[:-1], begin[1:], strict=True):
-        mine = order[low_:high_]
-        out.append(dict(zip(NODES, (feature[mine], threshold[mine], child[mine], path[mine]), strict=True)))
-    return out
+    nodes["child"] = np.where(nodes["child"] >= 0, place[nodes["child"]], -1)
+    bounds = zip(begin[:-1], begin[1:], strict=True)
+    return [{k: nodes[k][order[low:high]] for k in NODES} for low, high in bounds]
 
 
 def whole_tree(parts: dict[int, dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -192,20 +219,25 @@ def whole_tree(parts: dict[int, dict[str, np.ndarray]]) -> dict[str, np.ndarray]
     return dict(zip(NODES, map(np.asarray, (feature, threshold, child, path)), strict=True))
 
 
+def walk(points: np.ndarray, row: np.ndarray, node: np.ndarray, nodes: dict) -> np.ndarray:
+    """The path length of ``row`` of the points from ``node`` on; points descend level by level."""
+    feature, cut, child, path = (np.asarray(nodes[k]) for k in NODES)
+    node = node.copy()
+    active = np.arange(len(node))
+    while len(active):
+        at = node[active]
+        inner = feature[at] >= 0
+        active, at = active[inner], at[inner]
+        node[active] = child[at] + (points[row[active], feature[at]] > cut[at])
+    return path[node]
+
+
 def path_sums(points: np.ndarray, trees: list[dict]) -> np.ndarray:
-    """Sum of the path lengths of every point; points descend a tree level by level."""
+    """Sum of the path lengths of every point."""
     total = np.zeros(len(points))
-    every = np.arange(len(points))
+    every, top = np.arange(len(points)), np.zeros(len(points), np.int64)
     for tree in trees:
-        feature, cut, child, path = (np.asarray(tree[k]) for k in NODES)
-        node = np.zeros(len(points), np.int64)
-        active = every
-        while len(active):
-            at = node[active]
-            inner = feature[at] >= 0
-            active, at = active[inner], at[inner]
-            node[active] = child[at] + (points[active, feature[at]] > cut[at])
-        total += path[node]
+        total += walk(points, every, top, tree)
     return total
 
 
@@ -271,15 +303,12 @@ def _unit_hash(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / float(1 << 40)
 
 
-def sample_rows(
-    df: DataFrame, trees: int, seed: int, rate: Column, sample: Column, key: list[str], most: int
-) -> DataFrame:
-    """Rows of every tree: the ``sample`` smallest hashes of each (key, tree).
+def drawn_trees(trees: int, seed: int, rate: Column) -> Column:
+    """The trees that draw a row.
 
     ``rate`` is the expected share of rows a tree draws.  Below one row in
     ``trees`` a row is drawn once and given to one tree, so the hash work per
-    row stays constant; otherwise every tree draws for itself.  ``most`` is the
-    largest sample: one that no task may hold is numbered over all tasks.
+    row stays constant; otherwise every tree draws for itself.
     """
     ids = F.col("id")
     pool = rate * trees
@@ -290,8 +319,23 @@ def sample_rows(
         F.sequence(F.lit(0), F.lit(trees - 1)),
         lambda t: (rate >= 1) | (_unit_hash(ids, F.lit(seed), t) < rate),
     )
-    picked = df.withColumn("tree", F.explode(F.when(pool < 1, single).otherwise(each)))
-    order = F.xxhash64(ids, F.lit(seed), F.col("tree"), F.lit("order"))
+    return F.when(pool < 1, single).otherwise(each)
+
+
+def draw_order(seed: int, tree: Column) -> Column:
+    """The order in which the rows a tree draws are taken, up to its sample."""
+    return F.xxhash64(F.col("id"), F.lit(seed), tree, F.lit("order"))
+
+
+def sample_rows(
+    df: DataFrame, trees: int, seed: int, rate: Column, sample: Column, key: list[str], most: int
+) -> DataFrame:
+    """Rows of every tree: the ``sample`` smallest hashes of each (key, tree).
+
+    ``most`` is the largest sample: one that no task may hold is numbered over all tasks.
+    """
+    picked = df.withColumn("tree", F.explode(drawn_trees(trees, seed, rate)))
+    order = draw_order(seed, F.col("tree"))
     if most > group_rows(df.sparkSession):
         ranked = position_rows(picked.withColumn("_order", order), [*key, "tree"], ["_order", "id"], "_rank")
         return ranked.drop("_order").filter(F.col("_rank") <= sample)
@@ -584,42 +628,25 @@ class IsolationForestDetector(Detector):
         least = config["min_samples_fit"]
         slim, names, _ = _features(txns.df, config)
         count = len(names)
-        counted = grouped_columns(
-            slim,
-            "account_id",
-            [],
-            aggregates={
-                "_n": F.count(F.lit(1)),
-                **{f"_k{i}": F.count(f"_x{i}") for i in range(count)},
-            },
-            quantiles={f"_m{i}": (f"_x{i}", 0.5) for i in range(count)}
-            if self._has_nulls(slim, count)
-            else {},
-            hot=txns.hot,
+        by_account = Split.of(slim, "account_id", txns.hot)
+        nulls = self._has_nulls(slim, count)
+        # stays partitioned and sorted by account; growing is too much work for tasks put together by size
+        spread = by_account.cold.repartition(shuffle_partitions(slim.sparkSession), "account_id")
+        cold = self._counted(Split(spread), count, nulls)
+        counted = cold
+        values = _account_values(
+            self._sampled(cold.filter(F.col("_n") >= least), config), count, trees, seed
         )
-        if "_m0" in counted.columns:
-            counted = counted.withColumns(
-                {f"_x{i}": F.coalesce(f"_x{i}", f"_m{i}", F.lit(0.0)) for i in range(count)}
-            )
-        kept = [f"_x{i}" for i in range(count)]
-        counted = durable(counted.select("id", "account_id", "_n", *kept))
-        large = counted.filter(F.col("_n") >= least)
-        size = config["max_samples"]
-        most = AUTO_SAMPLE
-        if size != "auto":
-            most = sample_size(config, counted.agg(F.max("_n")).first()[0] or 0)
-        if size == "auto":
-            sample = F.least(F.lit(AUTO_SAMPLE), F.col("_n"))
-        elif isinstance(size, float):
-            sample = F.greatest(F.lit(1), F.floor(F.col("_n") * size))
-        else:
-            sample = F.least(F.lit(size), F.col("_n"))
-        large = large.withColumn("_psi", sample.cast("long"))
-        want = OVERSAMPLE * F.col("_psi") / F.col("_n")
-        rate = F.when(want * F.col("_n") < F.col("_psi") + 30, 1.0).otherwise(want)
-        drawn = sample_rows(large, trees, seed, rate, F.col("_psi"), ["account_id"], most)
-        forest = durable(grow_forest(drawn, count, seed, ["account_id"], F.col("_psi"), most))
-        values = durable(_score_by_parts(large, forest, count, trees, ["account_id"]))
+        if by_account.large is not None:
+            hot = durable(self._counted(Split(slim.filter(F.lit(False)), by_account.large), count, nulls))
+            large = self._sampled(hot.filter(F.col("_n") >= least), config)
+            most = large.agg(F.max("_psi")).first()[0] or 0
+            rate = F.col("_rate")
+            drawn = sample_rows(large, trees, seed, rate, F.col("_psi"), ["account_id"], most)
+            forest = durable(grow_forest(drawn, count, seed, ["account_id"], F.col("_psi"), most))
+            values = values.unionByName(_score_by_parts(large, forest, count, trees, ["account_id"]))
+            counted = cold.unionByName(hot)
+        values = durable(values)
         facts = _account_facts(values, float(config["contamination"]), txns)
         scored_rows = facts.withColumn("_d", -F.col("_s") - F.col("_offset"))
         low = -F.col("_hi") - F.col("_offset")
@@ -634,6 +661,36 @@ class IsolationForestDetector(Detector):
         small = counted.filter(F.col("_n") < least)
         return good.unionByName(_unfit(small, "account", "insufficient_account_data", 0.3))
 
+    @staticmethod
+    def _counted(rows: Split, count: int, nulls: bool) -> DataFrame:
+        """The rows with ``_n``, those of their account, and NULLs filled by its medians."""
+        counted = grouped_columns(
+            rows,
+            "account_id",
+            [],
+            aggregates={"_n": F.count(F.lit(1))},
+            quantiles={f"_m{i}": (f"_x{i}", 0.5) for i in range(count)} if nulls else {},
+        )
+        if nulls:
+            counted = counted.withColumns(
+                {f"_x{i}": F.coalesce(f"_x{i}", f"_m{i}", F.lit(0.0)) for i in range(count)}
+            )
+        return counted.select("id", "account_id", "_n", *[f"_x{i}" for i in range(count)])
+
+    @staticmethod
+    def _sampled(counted: DataFrame, config: dict) -> DataFrame:
+        """Adds ``_psi``, the sample of a tree, and ``_rate``, the share of the account it draws from."""
+        size, n = config["max_samples"], F.col("_n")
+        if size == "auto":
+            sample = F.least(F.lit(AUTO_SAMPLE), n)
+        elif isinstance(size, float):
+            sample = F.greatest(F.lit(1), F.floor(n * size))
+        else:
+            sample = F.least(F.lit(size), n)
+        counted = counted.withColumn("_psi", sample.cast("long"))
+        want = OVERSAMPLE * F.col("_psi") / n
+        return counted.withColumn("_rate", F.when(want * n < F.col("_psi") + 30, 1.0).otherwise(want))
+
     @staticmethod
     def _has_nulls(slim: DataFrame, count: int) -> bool:
         bad = F.lit(False)
@@ -642,6 +699,104 @@ class IsolationForestDetector(Detector):
         return not slim.filter(bad).isEmpty()
 
 
+def _account_values(rows: DataFrame, count: int, trees: int, seed: int) -> DataFrame:
+    """``id``, ``account_id`` and s(x) of rows that lie together by account.
+
+    An account that a task may hold draws its samples, grows its trees and walks them in one
+    place.  Where a sample is less than the account, Spark names the trees that draw a row.
+    """
+    names = [f"_x{i}" for i in range(count)]
+    drawn = F.when(F.col("_psi") < F.col("_n"), drawn_trees(trees, seed, F.col("_rate")))
+    order = F.transform("_trees", lambda t: draw_order(seed, t))
+    kept = ["id", "account_id"]
+    lean = (
+        rows.sortWithinPartitions("account_id")
+        .withColumn("_trees", drawn)
+        .select(*kept, "_n", "_psi", F.xxhash64("account_id").alias("_salt"), "_trees", order.alias("_order"), *names)
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, sizes in _whole_accounts(batches):
+            found = account_values(table, sizes, names, trees, seed)
+            columns = [table.column(c).combine_chunks() for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], [*kept, "_s"])
+
+    return lean.mapInArrow(run, "id string, account_id string, _s double")
+
+
+def _whole_accounts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole accounts, about ``ACCOUNT_ROWS`` rows or one account, and the rows of each."""
+    held: list[pa.RecordBatch] = []
+    waiting, wanted = 0, ACCOUNT_ROWS
+    for batch in batches:
+        held.append(batch)
+        waiting += batch.num_rows
+        if waiting < wanted:
+            continue
+        table = pa.Table.from_batches(held)
+        n = table.column("_n").to_numpy()
+        sizes, at, begin = [], 0, 0
+        while at < len(n) and at + n[at] <= len(n):
+            sizes.append(int(n[at]))
+            at += sizes[-1]
+            if at - begin >= ACCOUNT_ROWS:
+                yield table.slice(begin, at - begin), np.array(sizes)
+                sizes, begin = [], at
+        if sizes:
+            yield table.slice(begin, at - begin), np.array(sizes)
+        held, waiting = table.slice(at).to_batches(), len(n) - at
+        wanted = max(ACCOUNT_ROWS, int(n[at])) if waiting else ACCOUNT_ROWS
+    if waiting:
+        table = pa.Table.from_batches(held)
+        n = table.column("_n").to_numpy()
+        sizes, at = [], 0
+        while at < len(n):
+            sizes.append(int(n[at]))
+            at += sizes[-1]
+        yield table, np.array(sizes)
+
+
+def account_values(table: pa.Table, sizes: np.ndarray, names: list[str], trees: int, seed: int) -> np.ndarray:
+    """s(x) of every row; the rows of an account lie together."""
+    points = np.column_stack([table.column(c).to_numpy() for c in names]).astype(float)
+    begin = np.cumsum(sizes) - sizes
+    psi, salt = (table.column(c).to_numpy()[begin] for c in ("_psi", "_salt"))
+    accounts, rows = len(sizes), len(points)
+    limit = np.array([int(max(p, 2) - 1).bit_length() for p in psi])
+    of = np.repeat(np.arange(accounts), sizes)
+    whole = np.flatnonzero((psi >= sizes)[of])
+    lists = table.column("_trees").combine_chunks()
+    # a row of an account larger than its samples stands for itself in every tree that draws it
+    lengths = np.diff(lists.offsets.to_numpy()) if len(whole) < rows else np.zeros(rows, np.int64)
+    drawer = np.repeat(np.arange(rows), lengths)
+    tree = lists.flatten().to_numpy()
+    order = table.column("_order").combine_chunks().flatten().to_numpy()
+    paths = np.zeros(rows)
+    step = max(1, ACCOUNT_POINTS // rows)
+    for first in range(0, trees, step):
+        some = np.arange(first, min(first + step, trees))
+        mine = np.flatnonzero((tree >= first) & (tree < first + step))
+        root = (tree[mine] - first) * accounts + of[drawer[mine]]
+        sort = np.lexsort((order[mine], root))
+        row, root = drawer[mine][sort], root[sort]
+        rank = np.arange(len(root)) - np.searchsorted(root, root)
+        taken = rank < psi[of[row]]
+        row = np.append(row[taken], np.tile(whole, len(some)))
+        root = np.append(root[taken], np.repeat(np.arange(len(some)) * accounts, len(whole)) + np.tile(of[whole], len(some)))
+        # rows that all repeat an id may leave a tree without any
+        grown, at = np.unique(root, return_inverse=True)
+        account = grown % accounts
+        roots = Roots(some[grown // accounts], np.ones(len(grown), np.int64), salt[account], limit[account])
+        _, nodes = grow_nodes(points[row], at, roots, seed)
+        top = np.full(len(some) * accounts, -1)
+        top[grown] = np.arange(len(grown))
+        for k in range(len(some)):
+            start = top[k * accounts + of]
+            walked = np.flatnonzero(start >= 0)
+            paths[walked] += walk(points, walked, start[walked], nodes)
+    return anomaly_value(paths, trees, psi[of])
+
+
 def _account_facts(values: DataFrame, contamination: float, txns: Transactions) -> DataFrame:
     marked = values.withColumn("_minus", -F.col("_s"))
     return grouped_columns(

@@ -390,6 +390,68 @@ def test_large_samples_per_account(spark, task_rows, monkeypatch):
     assert (scores(forest.run(df, config)) - want).abs().max().max() < 1e-9
 
 
+def test_ordinary_accounts_are_not_copied_for_every_tree(spark, monkeypatch):
+    """Their trees are grown and walked where the rows lie; only hot accounts go the long way."""
+    forest = det.get("ml_based", "isolation_forest")
+    # accounts of 80 rows, all in every tree, and of 600 rows, sampled
+    values = np.random.default_rng(8).normal(20, 4, 1240).round(2)
+    owners = [f"a{i % 8}" for i in range(640)] + ["b"] * 600
+    df = txns(spark, values, owners)[0]
+    config = {"account_specific": True, "n_estimators": 6}
+    spark.conf.set("spark.oddledger.groupRows", "50")
+    try:
+        want = scores(forest.run(df, config))
+    finally:
+        spark.conf.unset("spark.oddledger.groupRows")
+
+    def never(*args, **kwargs):
+        raise AssertionError("rows copied for every tree")
+
+    monkeypatch.setattr(iforest, "sample_rows", never)
+    monkeypatch.setattr(iforest, "_score_by_parts", never)
+    assert (scores(forest.run(df, config)) - want).abs().max().max() < 1e-9
+
+
+@pytest.mark.parametrize("rows,points", [(1, 1), (7, 40), (1000, 10**6)])
+def test_accounts_in_batches_of_any_size(monkeypatch, rows, points):
+    """Batches cut accounts anywhere; a task's tables hold whole ones, and each tree is its own."""
+    monkeypatch.setattr(iforest, "ACCOUNT_ROWS", rows)
+    monkeypatch.setattr(iforest, "ACCOUNT_POINTS", points)
+    sizes = np.array([5, 1, 30, 2, 64, 12])
+    drawn = np.random.default_rng(2).normal(size=(sizes.sum(), 2)).round(1)
+    own_psi = np.where(sizes == 64, 16, sizes)
+    per_row = [np.repeat(x, sizes) for x in (sizes, own_psi, np.arange(6) * 977)]
+    lists = [list(range(3)) if k == 64 else None for k in per_row[0]]
+    orders = [[(i * 37 + t * 11) % 101 for t in x] if x else None for i, x in enumerate(lists)]
+    table = pa.table(
+        {
+            "_n": per_row[0], "_psi": per_row[1], "_salt": per_row[2],
+            "_trees": pa.array(lists, pa.list_(pa.int32())), "_order": pa.array(orders, pa.list_(pa.int64())),
+            "_x0": drawn[:, 0], "_x1": drawn[:, 1],
+        }
+    )
+    got, met = [], []
+    for part, own in iforest._whole_accounts(iter(table.to_batches(max_chunksize=9))):
+        assert part.num_rows == own.sum()
+        met.extend(own)
+        got.append(iforest.account_values(part, own, ["_x0", "_x1"], 3, 42))
+    assert met == sizes.tolist()
+    want, at = [], 0
+    for i, k in enumerate(sizes):
+        mine, rank = np.arange(at, at + k), np.arange(k)
+        paths = np.zeros(k)
+        for t in range(3):
+            if k == 64:
+                rank = np.argsort([orders[j][t] for j in mine], kind="stable")[:16]
+            limit = int(max(own_psi[i], 2) - 1).bit_length()
+            roots = iforest.Roots(*(np.array([x]) for x in (t, 1, i * 977, limit)))
+            tree = iforest.grow_roots(drawn[mine[rank]], np.zeros(len(rank), int), roots, 42)
+            paths += iforest.path_sums(drawn[mine], tree)
+        want.append(iforest.anomaly_value(paths, 3, own_psi[i]))
+        at += k
+    assert np.abs(np.concatenate(got) - np.concatenate(want)).max() < 1e-12
+
+
 def test_strategy_keeps_a_forest_with_large_samples(spark, task_rows):
     task_rows(1000)
     plan = {
