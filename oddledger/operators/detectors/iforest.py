@@ -44,6 +44,8 @@ SCORE_BLOCK = 200_000
 # rows of whole accounts a task takes at once, and their points in all trees grown together
 ACCOUNT_ROWS = 10_000
 ACCOUNT_POINTS = 200_000
+# slices of the hash that orders a sample no task may hold
+SLICE_BITS = 12
 # nodes of a forest that may go to every executor, or meet a block of rows; some 24 bytes each
 FOREST_NODES = 2_000_000
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -332,17 +334,41 @@ def sample_rows(
 ) -> DataFrame:
     """Rows of every tree: the ``sample`` smallest hashes of each (key, tree).
 
-    ``most`` is the largest sample: one that no task may hold is numbered over all tasks.
+    ``most`` is the largest sample: one that no task may hold is never sorted as a whole.
     """
     picked = df.withColumn("tree", F.explode(drawn_trees(trees, seed, rate)))
     order = draw_order(seed, F.col("tree"))
     if most > group_rows(df.sparkSession):
-        ranked = position_rows(picked.withColumn("_order", order), [*key, "tree"], ["_order", "id"], "_rank")
-        return ranked.drop("_order").filter(F.col("_rank") <= sample)
+        return _smallest(picked.withColumn("_order", order).withColumn("_take", sample.cast("long")), [*key, "tree"])
     rank = Window.partitionBy(*key, "tree").orderBy(order, "id")
     return picked.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= sample)
 
 
+def _smallest(drawn: DataFrame, by: list[str]) -> DataFrame:
+    """The ``_take`` rows of every group that come first by (``_order``, id).
+
+    Counts of slices of the hash say in which slice the last of them lies; only its rows are ranked.
+    """
+    sliced = drawn.withColumn("_slice", F.shiftright("_order", 64 - SLICE_BITS))
+    upto = Window.partitionBy(*by).orderBy("_slice")
+    counts = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.first("_take").alias("_want"))
+    edges = durable(
+        counts.withColumn("_left", F.col("_want") - F.sum("_n").over(upto) + F.col("_n"))
+        .filter((F.col("_left") > 0) & (F.col("_left") <= F.col("_n")))
+        .select(*by, F.col("_slice").alias("_edge"), "_left", "_n")
+    )
+    most = edges.agg(F.max("_n")).first()[0] or 0
+    met = sliced.join(join_side(edges.drop("_n")), by, "left")
+    last = met.filter(F.col("_slice") == F.col("_edge"))
+    if most > group_rows(drawn.sparkSession):
+        last = position_rows(last, by, ["_order", "id"], "_rank")
+    else:
+        last = last.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_order", "id")))
+    # without an edge a group has no more rows than are wanted
+    before = met.filter(F.col("_edge").isNull() | (F.col("_slice") < F.col("_edge")))
+    return before.select(drawn.columns).unionByName(last.filter(F.col("_rank") <= F.col("_left")).select(drawn.columns))
+
+
 def grow_forest(sampled: DataFrame, count: int, seed: int, key: list[str], sample: Column, most: int) -> DataFrame:
     """The trees in parts: (key, tree, root, nodes below root).
 
@@ -400,19 +426,18 @@ def _cut_large(
     few, tops = [], []
     while True:
         points = durable(points)
-        sizes = durable(points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
-        large = sizes.filter(F.col("_n") > bound)
+        ends = [f(F.col(x)).alias(f"_{m}{x}") for x in names for m, f in (("lo", F.min), ("hi", F.max))]
+        stats = durable(
+            points.groupBy(*by).agg(
+                F.count(F.lit(1)).alias("_n"), F.first("_salt").alias("_salt"), F.first("_limit").alias("_limit"), *ends
+            )
+        )
+        large = stats.filter(F.col("_n") > bound)
         if large.isEmpty():
             few.append(points)
             break
         # there are at most rows / bound large nodes, small ones may be many
-        mark = join_side(large.select(*by))
-        few.append(points.join(mark, by, "left_anti"))
-        points = points.join(mark, by, "left_semi")
-        ends = [f(F.col(x)).alias(f"_{m}{x}") for x in names for m, f in (("lo", F.min), ("hi", F.max))]
-        stats = points.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_n"), F.first("_salt").alias("_salt"), F.first("_limit").alias("_limit"), *ends
-        )
+        few.append(points.join(join_side(large.select(*by)), by, "left_anti"))
         spans = F.array(
             *[
                 F.when(
@@ -423,7 +448,7 @@ def _cut_large(
             ]
         )
         depth = F.length(F.bin("node")) - 1
-        chosen = stats.withColumn("_usable", F.array_compact(spans)).withColumn("_depth", depth)
+        chosen = large.withColumn("_usable", F.array_compact(spans)).withColumn("_depth", depth)
         kinds = F.size("_usable")
         nth = F.floor(node_draw_column(seed, 0) * kinds).cast("int")
         chosen = chosen.withColumn(
@@ -926,6 +951,8 @@ def _descend(
     tops = forest.filter(goes_on).select(
         *key, "tree", "root", F.col("feature")[0].alias("_f"), F.col("threshold")[0].alias("_t")
     )
+    if not key and tops.count() <= FOREST_NODES:
+        return _to_parts(rows, tops, large, names), forest.filter(~goes_on)
     tops = join_side(tops)
     levels = tops.agg(F.max(F.length(F.bin("root")))).first()[0] or 0
     if key:
@@ -946,4 +973,33 @@ def _descend(
     return at, forest.filter(~goes_on)
 
 
+def _to_parts(rows: DataFrame, tops: DataFrame, large: DataFrame, names: list[str]) -> DataFrame:
+    """``_descend`` by a broadcast of the cuts at the top, all trees of a row at once."""
+    trees = [r["tree"] for r in large.orderBy("tree").collect()]
+    cuts: dict[int, list] = {t: [] for t in trees}
+    for r in tops.orderBy("root").collect():
+        cuts[r["tree"]].append((r["root"], r["_f"], r["_t"]))
+    kinds = (np.int64, np.int64, float)
+    packed = [tuple(np.array([c[i] for c in cuts[t]], kind) for i, kind in enumerate(kinds)) for t in trees]
+    shared = rows.sparkSession.sparkContext.broadcast(packed)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def roots_of(*columns: pd.Series) -> pd.Series:
+        points = np.column_stack([c.to_numpy(float) for c in columns])
+        out = np.ones((len(points), len(shared.value)), np.int64)
+        for j, (root, feature, threshold) in enumerate(shared.value):
+            node, active = out[:, j], np.arange(len(points))
+            # a large tree that one task grew has no cuts at the top
+            while len(active) and len(root):
+                at = np.minimum(np.searchsorted(root, node[active]), len(root) - 1)
+                inner = root[at] == node[active]
+                active, at = active[inner], at[inner]
+                node[active] = 2 * node[active] + (points[active, feature[at]] > threshold[at])
+        return pd.Series(list(out))
+
+    ends = F.arrays_zip(F.array(*[F.lit(t) for t in trees]).alias("tree"), F.col("_roots").alias("root"))
+    found = rows.withColumn("_roots", roots_of(*[F.col(x) for x in names]))
+    return found.withColumn("_end", F.explode(ends)).select(*rows.columns, "_end.tree", "_end.root")
+
+
 register(IsolationForestDetector())
