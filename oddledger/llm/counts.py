@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import collections
 import itertools
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,8 @@ KEPT_WORDS = 500_000
 UNIT = re.compile(" +[^ ]*")
 # what a piece counts that no text has
 UNSEEN = 0.1
+# the most frequent units, whose tokens are counted once for all tasks
+FREQUENT = 200_000
 
 Vocabulary = list[tuple[str, float]]
 
@@ -51,7 +54,7 @@ def units(text: str) -> list[str]:
 class Counter:
     """Counts tokens; units met before are looked up, and the table is emptied when full."""
 
-    def __init__(self, vocabulary: Vocabulary, kept: int = KEPT_WORDS):
+    def __init__(self, vocabulary: Vocabulary, kept: int = KEPT_WORDS, frequent: dict[str, int] | None = None):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -59,34 +62,29 @@ class Counter:
         for piece, score in vocabulary:
             self.automaton.add_word(piece, (len(piece), score, piece == self.unknown))
         self.automaton.make_automaton()
+        self.single = {piece for piece, _ in vocabulary if len(piece) == 1 and piece != self.unknown}
         self.lowest = min(score for _, score in vocabulary) - PENALTY
         self.kept = kept
-        self.seen: dict[str, int] = {}
+        self.frequent = frequent or {}
+        self.seen: dict[str, int] = dict(self.frequent)
 
     def _known(self, word: str) -> tuple[list[float], list[int], list[int]] | None:
         """(scores, piece counts, starts of the last pieces) where every character is a piece.
 
         The automaton names the longest piece first, so the piece that begins first wins a tie.
         """
-        score, pieces, back = [0.0], [0], [0]
-        at, single = 0, True
-        for end, (length, own, literal) in self.automaton.iter(word):
-            start = end + 1 - length
-            if end == at:
-                if not single or literal:
-                    return None
-                single = False
-                at += 1
-                score.append(score[start] + own)
-                pieces.append(pieces[start] + 1)
-                back.append(start)
-            elif end > at:
-                return None
-            elif score[start] + own > score[at]:
-                score[at], pieces[at], back[at] = score[start] + own, pieces[start] + 1, start
-            if length == 1:
-                single = True
-        return (score, pieces, back) if single and at == len(word) else None
+        if self.unknown in word or not self.single.issuperset(word):
+            return None
+        n = len(word) + 1
+        score, pieces, back = [-math.inf] * n, [0] * n, [0] * n
+        score[0] = 0.0
+        for end, (length, own, _) in self.automaton.iter(word):
+            end += 1
+            start = end - length
+            total = score[start] + own
+            if total > score[end]:
+                score[end], pieces[end], back[end] = total, pieces[start] + 1, start
+        return score, pieces, back
 
     def pieces(self, word: str) -> list[str]:
         """The pieces on the best path, from the last on.
@@ -112,8 +110,19 @@ class Counter:
 
     def word(self, word: str) -> int:
         """Tokens of one word, its leading space mark included."""
-        found = self._known(word)
-        return found[1][-1] if found else self._with_unknown(word)
+        if self.unknown in word or not self.single.issuperset(word):
+            return self._with_unknown(word)
+        # as in _known, without the way back
+        n = len(word) + 1
+        score, pieces = [-math.inf] * n, [0] * n
+        score[0] = 0.0
+        for end, (length, own, _) in self.automaton.iter(word):
+            end += 1
+            total = score[end - length] + own
+            if total > score[end]:
+                score[end] = total
+                pieces[end] = pieces[end - length] + 1
+        return pieces[-1]
 
     def _with_unknown(self, word: str) -> int:
         """The same where a character has no piece of its own."""
@@ -157,8 +166,9 @@ class Counter:
         for unit in units(text):
             n = seen.get(unit)
             if n is None:
-                if len(seen) >= self.kept:
+                if len(seen) >= self.kept + len(self.frequent):
                     seen.clear()
+                    seen.update(self.frequent)
                 n = seen[unit] = self.word(unit.replace(" ", SPACE))
             total += n
         return total
@@ -217,14 +227,32 @@ def _log_probabilities(total: np.ndarray) -> list[float]:
     return np.log((total + UNSEEN) / (total.sum() + UNSEEN * len(total))).tolist()
 
 
-def learn(docs: DataFrame, path: str = MODEL, rounds: int = 1) -> Vocabulary:
+def stored_units(docs: DataFrame) -> DataFrame:
+    return staged(unit_counts(docs), "units").repartition(shuffle_partitions(docs.sparkSession), "unit")
+
+
+def frequent_units(counted: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> dict[str, int]:
+    """The tokens of the units that stand in the texts most often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(vocabulary)
+        for batch in batches:
+            tokens = [counter.word(unit.replace(" ", SPACE)) for unit in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64())], ["unit", "tokens"])
+
+    top = counted.orderBy(F.desc("n"), "unit").limit(most).select("unit")
+    found = top.repartition(shuffle_partitions(top.sparkSession)).mapInArrow(run, "unit string, tokens long")
+    return {r["unit"]: r["tokens"] for r in found.collect()}
+
+
+def learn(docs: DataFrame, path: str = MODEL, rounds: int = 1, counted: DataFrame | None = None) -> Vocabulary:
     """The pieces of the file with log-probabilities from all texts of ``docs``.
 
     ``rounds`` estimates follow the first one, each from the best segmentations under the one
     before.  Without any text all pieces are as likely.
     """
     known = [piece for piece, _ in load(path)]
-    counted = staged(unit_counts(docs), "units").repartition(shuffle_partitions(docs.sparkSession), "unit")
+    counted = stored_units(docs) if counted is None else counted
 
     def merged() -> Callable[[list[str]], list[list[int]]]:
         import sentencepiece
@@ -251,10 +279,16 @@ def count_tokens(docs: DataFrame, path: str = MODEL, vocabulary: Vocabulary | No
 
     Without ``vocabulary`` the pieces of the file get their scores from ``docs``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or learn(docs, path))
+    frequent: dict[str, int] = {}
+    if not vocabulary:
+        counted = stored_units(docs)
+        vocabulary = learn(docs, path, counted=counted)
+        frequent = frequent_units(counted, vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(shared.value)
+        pieces, frequent = shared.value
+        counter = Counter(pieces, frequent=frequent)
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -85,3 +85,20 @@ def test_operator(awkward, documents):
     counter = counts.Counter(counts.learn(awkward))
     assert got == {(i, len(t or "")): counter.text(t or "") for i, t in AWKWARD}
     assert counts.count_tokens(documents([])).count() == 0
+
+
+def test_frequent_units_are_counted_once_for_all_tasks(spark, monkeypatch):
+    """The search is not made again in a task for the units that stand most often."""
+    vocabulary = [("<unk>", -9.0), ("▁", -1.0), ("a", -2.0), ("b", -2.5), ("▁ab", -2.0)]
+    df = spark.createDataFrame([(i, "ab ab ba ba  q") for i in range(4)], "doc_id long, text string")
+    found = counts.frequent_units(counts.unit_counts(df), vocabulary, 2)
+    plain = counts.Counter(vocabulary)
+    assert found == {" ab": 1, " ba": plain.word("▁ba")}
+    want = plain.text("ab ab ba ba  q")
+    asked = []
+    word = counts.Counter.word
+    monkeypatch.setattr(counts.Counter, "word", lambda self, w: asked.append(w) or word(self, w))
+    few = counts.Counter(vocabulary, kept=1, frequent=found)
+    assert [few.text("ab ab ba ba  q") for _ in range(3)] == [want] * 3
+    assert set(asked) == {"▁▁q"} and few.text("ab zz yy ab") == plain.text("ab zz yy ab")
+    assert few.seen.keys() >= found.keys()
